@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
+from talkmill.functions.once import let
 
 PROFILE_SIZE = 300
 MAX_MODEL_ROWS = 100_000
@@ -133,7 +134,6 @@ def identify(text: Column | str, profiles: dict[str, list[str]]) -> Column:
         ]
         return F.array_min(F.array(*shared))["language"]
 
-    # Bound in a one-element array so that the trigrams are taken once, not per language.
-    found = F.get(F.transform(F.array(F.array_distinct(grams(text))), best), F.lit(0))
+    found = let(F.array_distinct(grams(text)), best)
     no_letters = F.coalesce(letters(text), F.lit("  ")) == "  "
     return F.when(no_letters, UNKNOWN).otherwise(found)

@@ -13,6 +13,7 @@ from talkmill.functions.keywords import (
     has_keyword,
     reduce_text,
 )
+from talkmill.functions.once import let, with_once
 from talkmill.functions.taxonomy import (
     DANISH_MARKERS,
     DEFAULT,
@@ -23,7 +24,7 @@ from talkmill.functions.taxonomy import (
 )
 
 REDUCED, HITS, VOICE = "__reduced", "__hits", "__voice"
-TOTALS, WINNER, FIRST_SUB, SUBS = "__totals", "__winner", "__first_sub", "__subs"
+NO_NAMES = "cast(array() as array<string>)"
 
 
 def is_voice(text: Column | str) -> Column:
@@ -36,14 +37,28 @@ def is_danish(text: Column | str) -> Column:
     return count_keywords(text, DANISH_MARKERS) >= 2
 
 
-def _item(array: str, i: int) -> Column:
-    return F.get(F.col(array), F.lit(i))
+def _sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
 
-def _total(taxonomy: Taxonomy, category: str) -> Column:
-    indexes = [taxonomy.main_index(category), *taxonomy.sub_indexes(category)]
-    first, *rest = [_item(HITS, i).cast("bigint") for i in indexes]
-    return sum(rest, first)
+def _layout(taxonomy: Taxonomy) -> Column:
+    """Per category: name, place and number of its groups, names of its subcategories.
+
+    A literal array that lambdas run over keeps the generated code small.
+    """
+    rows = []
+    for c in taxonomy.categories:
+        subs = [taxonomy.groups[i].subcategory for i in taxonomy.sub_indexes(c)]
+        names = F.array(*[F.lit(x) for x in subs]) if subs else F.expr(NO_NAMES)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("category"),
+                F.lit(taxonomy.main_index(c) + 1).alias("first"),
+                F.lit(1 + len(subs)).alias("groups"),
+                names.alias("subcategories"),
+            )
+        )
+    return F.array(*rows)
 
 
 def with_hits(df: DataFrame, text: str = "text", taxonomy: Taxonomy = DEFAULT) -> DataFrame:
@@ -62,63 +77,58 @@ def with_hits(df: DataFrame, text: str = "text", taxonomy: Taxonomy = DEFAULT) -
     return reduced.withColumns({HITS: hits, VOICE: voice}).drop(REDUCED)
 
 
-def with_labels(df: DataFrame, taxonomy: Taxonomy = DEFAULT) -> DataFrame:
-    """Turn group hits into category, subcategory and confidence.
+def labels(taxonomy: Taxonomy = DEFAULT) -> Column:
+    """``main_category, subcategory, confidence_score`` from the group hits.
 
     ``array_position`` finds the first of equal values, which is the tie rule.
     """
-    categories = taxonomy.categories
-    mains = [taxonomy.main_index(c) for c in categories]
-    names = F.array(*[F.lit(c) for c in categories])
-    sub_names = F.array(*[F.lit(g.subcategory or NO_SUBCATEGORY) for g in taxonomy.groups])
-    first_sub = F.array(*[F.lit(i + 2) for i in mains])
-    sub_count = F.array(*[F.lit(len(taxonomy.sub_indexes(c))) for c in categories])
-
-    df = df.withColumn(TOTALS, F.array(*[_total(taxonomy, c) for c in categories]))
-    df = df.withColumn("confidence_score", F.array_max(TOTALS))
-    df = df.withColumn(WINNER, F.array_position(TOTALS, F.col("confidence_score")).cast("int"))
-    df = df.withColumns(
-        {
-            FIRST_SUB: F.element_at(first_sub, F.col(WINNER)),
-            SUBS: F.slice(
-                F.col(HITS),
-                F.element_at(first_sub, F.col(WINNER)),
-                F.element_at(sub_count, F.col(WINNER)),
+    layout = _layout(taxonomy)
+    totals = F.transform(layout, lambda g: _sum(F.slice(F.col(HITS), g["first"], g["groups"])))
+
+    def of_totals(totals: Column) -> Column:
+        best = F.array_max(totals)
+        winner = F.element_at(layout, F.array_position(totals, best).cast("int"))
+        return F.struct(best.alias("best"), winner.alias("winner"))
+
+    def of_winner(found: Column) -> Column:
+        winner = found["winner"]
+        counts = F.slice(F.col(HITS), winner["first"] + 1, winner["groups"] - 1)
+        sub = let(
+            counts,
+            lambda n: F.get(
+                winner["subcategories"], (F.array_position(n, F.array_max(n)) - 1).cast("int")
             ),
-        }
-    )
-    best_sub = F.array_position(SUBS, F.array_max(SUBS)).cast("int")
-    sub = F.get(sub_names, F.col(FIRST_SUB) + best_sub - 2)
-    no_hit = F.col("confidence_score") == 0
-    return df.withColumns(
-        {
-            "main_category": F.when(no_hit, NO_CATEGORY).otherwise(
-                F.element_at(names, F.col(WINNER))
-            ),
-            "subcategory": F.when(no_hit | (F.size(SUBS) == 0), NO_SUBCATEGORY).otherwise(sub),
-        }
-    )
+        )
+        no_hit = found["best"] == 0
+        return F.struct(
+            F.when(no_hit, NO_CATEGORY).otherwise(winner["category"]).alias("main_category"),
+            F.when(no_hit, NO_SUBCATEGORY)
+            .otherwise(F.coalesce(sub, F.lit(NO_SUBCATEGORY)))
+            .alias("subcategory"),
+            found["best"].alias("confidence_score"),
+        )
+
+    return let(let(totals, of_totals), of_winner)
 
 
 def score_tree(taxonomy: Taxonomy = DEFAULT) -> Column:
     """All scores as a map from category to its main, sub and total scores."""
-    entries = []
-    for c in taxonomy.categories:
-        subs = [
+
+    def tree(g: Column) -> Column:
+        counts = F.transform(
+            F.slice(F.col(HITS), g["first"], g["groups"]), lambda n: n.cast("bigint")
+        )
+        subs = F.map_from_arrays(g["subcategories"], F.slice(counts, F.lit(2), g["groups"] - 1))
+        return F.struct(
+            g["category"],
             F.struct(
-                F.lit(taxonomy.groups[i].subcategory).alias("key"),
-                _item(HITS, i).cast("bigint").alias("value"),
-            )
-            for i in taxonomy.sub_indexes(c)
-        ]
-        empty = F.expr("cast(map() as map<string,bigint>)")
-        tree = F.struct(
-            _item(HITS, taxonomy.main_index(c)).cast("bigint").alias("main_score"),
-            (F.map_from_entries(F.array(*subs)) if subs else empty).alias("sub_scores"),
-            _total(taxonomy, c).alias("total_score"),
+                F.get(counts, F.lit(0)).alias("main_score"),
+                subs.alias("sub_scores"),
+                _sum(counts).alias("total_score"),
+            ),
         )
-        entries.append(F.struct(F.lit(c).alias("key"), tree.alias("value")))
-    return F.map_from_entries(F.array(*entries))
+
+    return F.map_from_entries(F.transform(_layout(taxonomy), tree))
 
 
 def categorize(
@@ -132,17 +142,22 @@ def categorize(
 
     Row-local: one scan of the text, no shuffle.  A null text scores nothing.
     """
-    columns = df.columns
-    labelled = with_labels(with_hits(df, text, taxonomy), taxonomy)
-    out = [F.col(c) for c in columns] + [
-        F.col("main_category"),
-        F.col("subcategory"),
-        F.coalesce(F.col(VOICE), F.lit(False)).alias("is_voice"),
-        F.col("confidence_score"),
-    ]
+    columns = [F.col(c) for c in df.columns]
+    computed = {
+        "__labels": labels(taxonomy),
+        "is_voice": F.coalesce(F.col(VOICE), F.lit(False)),
+    }
     if all_scores:
-        out.append(score_tree(taxonomy).alias("all_scores"))
-    return labelled.select(*out)
+        computed["all_scores"] = score_tree(taxonomy)
+    rows = with_once(with_hits(df, text, taxonomy), computed)
+    return rows.select(
+        *columns,
+        "__labels.main_category",
+        "__labels.subcategory",
+        "is_voice",
+        "__labels.confidence_score",
+        *(["all_scores"] if all_scores else []),
+    )
 
 
 def category_scores(

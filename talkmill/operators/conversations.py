@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
 from talkmill.functions.keywords import group_counts, joinable, reduce_text, turn_runs
+from talkmill.functions.once import with_once
 from talkmill.functions.taxonomy import DEFAULT, VOICE_KEYWORDS, Taxonomy
-from talkmill.operators.categorize import HITS, is_voice, with_labels
+from talkmill.operators.categorize import HITS, is_voice, labels
 
 CHUNK_TURNS = 4096
 
@@ -144,11 +145,12 @@ def categorize_conversations(
         F.zip_with("counts", "end_counts", lambda a, b: a + b).alias(HITS),
     )
     voice = (F.get(F.col(HITS), F.lit(n - 1)) > 0) | F.coalesce("dotted_voice", F.lit(False))
-    return with_labels(hits, taxonomy).select(
+    rows = with_once(hits, {"__labels": labels(taxonomy), "is_voice": voice})
+    return rows.select(
         key,
         "char_length",
-        "main_category",
-        "subcategory",
-        voice.alias("is_voice"),
-        "confidence_score",
+        "__labels.main_category",
+        "__labels.subcategory",
+        "is_voice",
+        "__labels.confidence_score",
     )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from talkmill.functions import text as T
+from talkmill.functions.once import let
 from talkmill.sources.store import read_store
 
 # Chunk of texts per call and the name of the usual sentence model.
@@ -116,8 +117,7 @@ def l2_normalise(vector: Column | str) -> Column:
         scaled = F.transform(s["v"], lambda x: x / s["norm"])
         return F.when(s["norm"] > 0, scaled).otherwise(s["v"])
 
-    # Bound in a one-element array: the norm is taken once, not per element.
-    return F.get(F.transform(F.array(with_norm), scale), F.lit(0))
+    return let(with_norm, scale)
 
 
 def raw_vector(text: Column | str, encoder: Encoder, chunk_size: int = CHUNK_SIZE) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
+from talkmill.functions.once import let, with_once
 
 # Search fields and bounds of the search in unknown shapes.
 SEARCH_FIELDS = ["text", "content", "message"]
@@ -41,15 +42,6 @@ _NO_TEXT = F.lit(None).cast("string")
 _NONE = "cast(array() as array<string>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def has_key(j: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(j), key), F.lit(False))
-
-
 def _is_string(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
@@ -346,13 +338,11 @@ def with_text(
     j = F.col(raw)
     kept = [c for c in conversations.columns if c not in (raw, "reject")]
     given = F.col("reject") if "reject" in conversations.columns else _NO_TEXT
-    out = conversations.withColumn(
-        "__extracted", F.when(given.isNull(), extract(j)).otherwise(_result(_NO_TEXT, given))
-    )
-    return out.select(
-        conversation_id(j, F.col("pos"), F.col("source_file"), variant=variant).alias(
-            "conversation_id"
-        ),
+    extracted = F.when(given.isNull(), extract(j)).otherwise(_result(_NO_TEXT, given))
+    named = conversation_id(j, F.col("pos"), F.col("source_file"), variant=variant)
+    rows = with_once(conversations, {"conversation_id": named, "__extracted": extracted})
+    return rows.select(
+        "conversation_id",
         F.col("__extracted.text").alias("text"),
         *kept,
         F.col("__extracted.reject").alias("reject"),
