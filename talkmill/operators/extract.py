@@ -42,12 +42,9 @@ _NO_TEXT = F.lit(None).cast("string")
 _NONE = "cast(array() as array<string>)"
 
 
-def _is_string(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-
-
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def _map(v: Column) -> Column:
+    """Entries of an object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def _items(v: Column) -> Column:
@@ -63,29 +60,61 @@ def _child(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def _is_falsy(v: Column) -> Column:
+def _kind(v: Column) -> Column:
+    """``object, list, string, scalar``, or null for an absent or null value.
+
+    The schema of a value describes everything below it, so it is only taken of
+    values without anything below.
+    """
+    return (
+        F.when(_map(v).isNotNull(), "object")
+        .when(_items(v).isNotNull(), "list")
+        .when(v.isNotNull() & ~F.is_variant_null(v), _scalar_kind(v))
+    )
+
+
+def _scalar_kind(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", "string").otherwise("scalar")
+
+
+def _by_kind(v: Column, body: Callable[[Column, Column], Column]) -> Column:
+    typed = let(v, lambda x: F.struct(x.alias("v"), _kind(x).alias("kind")))
+    return let(typed, lambda t: body(t["v"], t["kind"]))
+
+
+def _is_falsy(v: Column, kind: Column) -> Column:
     """Absent, null, false, zero, or empty."""
-    s = _string(v)
-    empty = s.isin("", "[]", "{}")
-    zero = ~_is_string(v) & ((s == "false") | (s.try_cast("double") == 0))
-    return F.coalesce(v.isNull() | F.is_variant_null(v) | empty | zero, F.lit(False))
+    zero = F.coalesce(_string(v).try_cast("double") == 0, F.lit(False))
+    return (
+        F.when(kind.isNull(), True)
+        .when(kind == "string", _string(v) == "")
+        .when(kind == "object", F.size(_map(v)) == 0)
+        .when(kind == "list", F.size(_items(v)) == 0)
+        .otherwise((_string(v) == "false") | zero)
+    )
+
+
+def _texts(*found: Column) -> Column:
+    texts = F.array(*found) if found else F.expr(_NONE)
+    return F.struct(texts.alias("texts"), F.lit(False).alias("bad"))
 
 
 def _fragment(v: Column, otherwise: Column) -> Column:
-    """A truthy ``text`` as ``(fragments, bad)``: stripped if a string, bad if not."""
-    string = F.struct(F.array(T.strip(_string(v))).alias("texts"), F.lit(False).alias("bad"))
+    """A truthy ``text`` as ``(texts, bad)``: stripped if a string, bad if not."""
     bad = F.struct(F.expr(_NONE).alias("texts"), F.lit(True).alias("bad"))
-    return F.when(_is_falsy(v), otherwise).when(_is_string(v), string).otherwise(bad)
 
+    def body(v: Column, kind: Column) -> Column:
+        string = _texts(T.strip(_string(v)))
+        return F.when(_is_falsy(v, kind), otherwise).when(kind == "string", string).otherwise(bad)
 
-def _nothing() -> Column:
-    return F.struct(F.expr(_NONE).alias("texts"), F.lit(False).alias("bad"))
+    return _by_kind(v, body)
 
 
 def _plain_string(v: Column) -> Column:
-    s = T.strip(_string(v))
-    some = F.struct(F.array(s).alias("texts"), F.lit(False).alias("bad"))
-    return F.when(_is_string(v) & (s != ""), some).otherwise(_nothing())
+    """The text of a string item, unless blank."""
+    return let(
+        T.strip(_string(v)), lambda s: F.when(s != "", _texts(s)).otherwise(_texts())
+    )
 
 
 def _gather(parts: Column) -> Column:
@@ -96,10 +125,12 @@ def _gather(parts: Column) -> Column:
     )
 
 
-def _gather_items(items: Column, of_item: Callable[[Column], Column]) -> Column:
-    return F.when(items.isNull(), _nothing()).otherwise(
-        let(F.transform(items, of_item), _gather)
+def _gather_items(items: Column, of_item: Callable[[Column, Column], Column]) -> Column:
+    """Gather over the items of a list; anything else has none."""
+    gathered = let(
+        F.transform(items, lambda x: _by_kind(x, of_item)), _gather
     )
+    return F.when(items.isNull(), _texts()).otherwise(gathered)
 
 
 def _result(text: Column, reject: Column | None = None) -> Column:
@@ -132,13 +163,16 @@ def _lost(typed: Column, raw: Column, fields: list[str]) -> Column:
 def from_message_list(j: Column) -> Column:
     """``(text, reject)`` of a conversation with a message list."""
 
-    def of_item(item: Column) -> Column:
-        return F.when(_is_object(item), _fragment(_child(item, "text"), _nothing())).otherwise(
-            _plain_string(item)
+    def of_item(item: Column, kind: Column) -> Column:
+        return (
+            F.when(kind == "object", _fragment(_child(item, "text"), _texts()))
+            .when(kind == "string", _plain_string(item))
+            .otherwise(_texts())
         )
 
     def of_message(m: Column) -> Column:
-        return _fragment(m["text"], _gather_items(_items(m["content"]), of_item))
+        content = let(_items(m["content"]), lambda items: _gather_items(items, of_item))
+        return _fragment(m["text"], content)
 
     typed_schema = f"struct<{LIST_KEY}:array<struct<text:variant,content:variant>>>"
     raw_schema = f"struct<{LIST_KEY}:array<struct<text:string,content:string>>>"
@@ -162,41 +196,57 @@ def from_message_list(j: Column) -> Column:
 def from_node_map(j: Column) -> Column:
     """``(text, reject)`` of a conversation with a node map, in document order."""
 
-    def of_part(part: Column) -> Column:
+    def of_part(part: Column, kind: Column) -> Column:
         audio = _string(_child(part, "content_type")) == AUDIO_PART
-        spoken = F.when(audio, _fragment(_child(part, "text"), _nothing())).otherwise(_nothing())
-        return F.when(_is_object(part), spoken).otherwise(_plain_string(part))
+        spoken = F.when(audio, _fragment(_child(part, "text"), _texts())).otherwise(_texts())
+        return (
+            F.when(kind == "object", spoken)
+            .when(kind == "string", _plain_string(part))
+            .otherwise(_texts())
+        )
 
     typed = F.from_json(j, f"struct<{MAP_KEY}:map<string,struct<message:variant>>>")[MAP_KEY]
     raw = F.from_json(j, f"struct<{MAP_KEY}:map<string,struct<message:string>>>")[MAP_KEY]
     raw = F.map_values(raw)
 
-    def parts_of(m: Column) -> Column:
-        return _child(_child(m, "content"), "parts")
+    def problem(m: Column, kind: Column) -> Column:
+        """Reason a message cannot be read, if any."""
+        parts = _child(_child(m, "content"), "parts")
+        listed = _items(parts).isNotNull() | F.coalesce(
+            _string(parts).isin("", "{}"), F.lit(False)
+        )
+        return F.when(kind == "object", F.when(parts.isNotNull() & ~listed, BAD_PARTS)).when(
+            ~_is_falsy(m, kind), BAD_MESSAGE
+        )
 
     def of_message(m: Column) -> Column:
-        return F.when(_is_falsy(m), _nothing()).otherwise(
-            _gather_items(_items(parts_of(m)), of_part)
+        """``(parts, problem)``: a list, or null where there is none."""
+        return _by_kind(
+            m,
+            lambda m, kind: F.struct(
+                _items(_child(_child(m, "content"), "parts")).alias("parts"),
+                problem(m, kind).alias("problem"),
+            ),
         )
 
-    def bad_parts(m: Column) -> Column:
-        parts = parts_of(m)
-        listed = _items(parts).isNotNull() | _string(parts).isin("", "{}")
-        return _is_object(m) & parts.isNotNull() & ~F.coalesce(listed, F.lit(False))
-
     def of_entries(entries: Column) -> Column:
         keys = F.transform(entries, lambda e: e["key"])
         nodes = F.transform(entries, lambda e: e["value"])
 
         def of_nodes(nodes: Column) -> Column:
-            messages = F.transform(nodes, lambda n: n["message"])
-            suspicious = F.exists(messages, lambda m: m.isNull())
-            not_object = F.exists(messages, lambda m: ~_is_falsy(m) & ~_is_object(m))
-            return (
-                F.when(suspicious & _lost(nodes, raw, ["message"]), _rejected(UNREADABLE))
-                .when(not_object, _rejected(BAD_MESSAGE))
-                .when(F.exists(messages, bad_parts), _rejected(BAD_PARTS))
-                .otherwise(let(let(F.transform(messages, of_message), _gather), _joined))
+            suspicious = F.exists(nodes, lambda n: n["message"].isNull())
+            read = F.transform(nodes, lambda n: of_message(n["message"]))
+            return F.when(
+                suspicious & _lost(nodes, raw, ["message"]), _rejected(UNREADABLE)
+            ).otherwise(let(read, of_read))
+
+        def of_read(messages: Column) -> Column:
+            problems = F.filter(
+                F.transform(messages, lambda m: m["problem"]), lambda p: p.isNotNull()
+            )
+            parts = F.transform(messages, lambda m: _gather_items(m["parts"], of_part))
+            return F.when(F.size(problems) > 0, _result(_NO_TEXT, F.get(problems, F.lit(0)))).otherwise(
+                let(let(parts, _gather), _joined)
             )
 
         return (
@@ -210,12 +260,7 @@ def from_node_map(j: Column) -> Column:
 
 def _tagged(keys: Column, raw: Column, typed: Column) -> Column:
     """``(key, raw, kind)`` of JSON values; ``raw`` keeps their document order below."""
-    kinds = F.transform(
-        typed,
-        lambda v: F.when(_is_string(v), "string")
-        .when(_is_object(v), "object")
-        .when(_items(v).isNotNull(), "list"),
-    )
+    kinds = F.transform(typed, _kind)
     return F.arrays_zip(keys.alias("key"), raw.alias("raw"), kinds.alias("kind"))
 
 
