@@ -38,10 +38,13 @@ BAD_PARTS = "parts_not_a_list"
 UNREADABLE = "unreadable_value"
 DUPLICATE_KEY = "duplicate_key"
 
-_NO_TEXT = F.lit(None).cast("string")
 _NONE = "cast(array() as array<string>)"
 
 
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
 def _map(v: Column) -> Column:
     """Entries of an object; null for anything else."""
     return F.try_variant_get(v, "$", "map<string,variant>")
@@ -135,12 +138,12 @@ def _gather_items(items: Column, of_item: Callable[[Column, Column], Column]) ->
 
 def _result(text: Column, reject: Column | None = None) -> Column:
     return F.struct(
-        text.alias("text"), (_NO_TEXT if reject is None else reject).alias("reject")
+        text.alias("text"), (_no_text() if reject is None else reject).alias("reject")
     )
 
 
 def _rejected(reason: str) -> Column:
-    return _result(_NO_TEXT, F.lit(reason))
+    return _result(_no_text(), F.lit(reason))
 
 
 def _joined(gathered: Column) -> Column:
@@ -245,7 +248,7 @@ def from_node_map(j: Column) -> Column:
                 F.transform(messages, lambda m: m["problem"]), lambda p: p.isNotNull()
             )
             parts = F.transform(messages, lambda m: _gather_items(m["parts"], of_part))
-            return F.when(F.size(problems) > 0, _result(_NO_TEXT, F.get(problems, F.lit(0)))).otherwise(
+            return F.when(F.size(problems) > 0, _result(_no_text(), F.get(problems, F.lit(0)))).otherwise(
                 let(let(parts, _gather), _joined)
             )
 
@@ -382,8 +385,8 @@ def with_text(
     """Replace raw conversations by ``conversation_id, text, reject``."""
     j = F.col(raw)
     kept = [c for c in conversations.columns if c not in (raw, "reject")]
-    given = F.col("reject") if "reject" in conversations.columns else _NO_TEXT
-    extracted = F.when(given.isNull(), extract(j)).otherwise(_result(_NO_TEXT, given))
+    given = F.col("reject") if "reject" in conversations.columns else _no_text()
+    extracted = F.when(given.isNull(), extract(j)).otherwise(_result(_no_text(), given))
     named = conversation_id(j, F.col("pos"), F.col("source_file"), variant=variant)
     rows = with_once(conversations, {"conversation_id": named, "__extracted": extracted})
     return rows.select(
