@@ -81,7 +81,7 @@ def scored(source: str) -> str:
     return f"""
     src AS ({source}),
     folded AS (SELECT *, {fold("text")} AS f FROM src),
-    hit AS (SELECT * EXCLUDE (f), {HITS} AS h, {VOICE} AS is_voice FROM folded),
+    hit AS MATERIALIZED (SELECT * EXCLUDE (f), {HITS} AS h, {VOICE} AS is_voice FROM folded),
     summed AS (SELECT *, {_sums()} AS t FROM hit),
     named AS (SELECT *, {_main()} AS main_category, list_max(t) AS confidence_score FROM summed),
     labelled AS (SELECT *, {_sub()} AS subcategory FROM named)"""
@@ -126,7 +126,7 @@ def round_1(x: str) -> str:
 
 TURNS = f"""said AS (SELECT conv_id, turn, {strip("text")} AS x FROM conversations WHERE text <> ''),
     joined AS (SELECT conv_id, string_agg(x, ' ' ORDER BY turn, x) AS text FROM said GROUP BY 1),
-    conv AS (SELECT * FROM joined WHERE {strip("text")} <> '')"""
+    conv AS MATERIALIZED (SELECT * FROM joined WHERE {strip("text")} <> '')"""
 
 
 def letters(c: str) -> str:
@@ -144,7 +144,7 @@ def profiles(source: str) -> str:
     gram AS (SELECT lang AS language, unnest({grams()}) AS gram
         FROM (SELECT lang, {letters("text")} AS l FROM train WHERE lang IS NOT NULL)),
     counted AS (SELECT language, gram, count(*) AS n FROM gram GROUP BY ALL),
-    profile AS (SELECT language, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram)
+    profile AS MATERIALIZED (SELECT language, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram)
         AS rank, gram FROM counted QUALIFY rank <= {PROFILE_SIZE})"""
 
 
@@ -153,7 +153,7 @@ IDENTIFIED = f"""
         FROM (SELECT doc_id, text, {letters("text")} AS l FROM documents)),
     shared AS (SELECT doc_id, language, count(*) AS n FROM own JOIN profile USING (gram) GROUP BY ALL),
     least AS (SELECT min(language) AS language FROM profile),
-    best AS (SELECT doc_id, language FROM shared
+    best AS MATERIALIZED (SELECT doc_id, language FROM shared
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) = 1),
     identified AS (SELECT d.doc_id, d.text, CASE WHEN {letters("d.text")} = '  ' THEN 'unknown'
         ELSE coalesce(b.language, (SELECT language FROM least)) END AS language
@@ -220,7 +220,7 @@ FILES = f"""
         'f' || doc_id || '.json' AS source_file, 1 AS pos,
         CASE WHEN lang = 'de' THEN 'malformed_json' ELSE 'not_an_object' END AS reject
         FROM documents WHERE lang IN ('de', 'es')),
-    flat AS (SELECT * FROM titled UNION ALL SELECT * FROM single UNION ALL SELECT * FROM bad),
+    flat AS MATERIALIZED (SELECT * FROM titled UNION ALL SELECT * FROM single UNION ALL SELECT * FROM bad),
     ok AS (SELECT * FROM flat WHERE reject IS NULL AND {strip("text")} <> '')"""
 
 UP_ROWS = f"{UPLOADED} SELECT * FROM up"
@@ -265,7 +265,7 @@ def _sizes() -> str:
             n = len(DEFAULT.groups[i].keywords)
             rows.append(
                 f"SELECT {c_ord} AS cat_ord, {s_ord} AS sub_ord, {_s(c)} AS category, "
-                f"{n} AS keywords, CAST(sum(h[{i + 1}]) AS BIGINT) AS hits FROM hit"
+                f"CAST({n} AS BIGINT) AS keywords, CAST(sum(h[{i + 1}]) AS BIGINT) AS hits FROM hit"
             )
     return " UNION ALL ".join(rows)
 
