@@ -1,8 +1,9 @@
 """Text embeddings: batched inference in tasks, kept by content.
 
-An encoder is anything with ``model_name``, ``dim`` and ``predict_fn()``, which
-loads the model and returns a function from an array of texts to a matrix.  It
-runs once per Python worker and gets Arrow batches; nothing is shuffled for it.
+An encoder is a name, a size and a function that loads the model and returns a
+function from an array of texts to a matrix.  It runs once per Python worker and
+gets Arrow batches; nothing is shuffled for it.  Encoder functions are closures,
+which travel to the workers by value, so the workers need not have this package.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
-from typing import Protocol
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -32,27 +33,23 @@ STORE_SCHEMA = "text_sha string, embedding array<float>, model string"
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
-class Encoder(Protocol):
+@dataclass(frozen=True)
+class Encoder:
+    """``make_predict`` loads the model, on the worker, and returns its function."""
+
     model_name: str
     dim: int
-
-    def predict_fn(self) -> Predict: ...
+    make_predict: Callable[[], Predict]
 
 
-class HashingEncoder:
+def hashing_encoder(dim: int = 256) -> Encoder:
     """Signed feature hashing of words; needs no model.
 
     A word adds +1 or -1 at one position, both taken from its MD5.  The values
     are whole numbers, so they are exact before normalisation.
     """
 
-    def __init__(self, dim: int = 256):
-        self.dim = dim
-        self.model_name = f"feature-hashing-{dim}"
-
-    def predict_fn(self) -> Predict:
-        dim = self.dim
-
+    def make_predict() -> Predict:
         @lru_cache(maxsize=100_000)
         def place(word: str) -> tuple[int, int]:
             digest = hashlib.md5(word.encode("utf-8")).hexdigest()
@@ -69,21 +66,25 @@ class HashingEncoder:
 
         return predict
 
+    return Encoder(f"feature-hashing-{dim}", dim, make_predict)
 
-class SentenceEncoder:
-    """A sentence-transformers model, where that package is installed."""
 
-    def __init__(self, model_name: str = SENTENCE_MODEL, dim: int = 768, batch_size: int = 32):
-        self.model_name, self.dim, self.batch_size = model_name, dim, batch_size
+def sentence_encoder(
+    model_name: str = SENTENCE_MODEL, dim: int = 768, batch_size: int = 32
+) -> Encoder:
+    """A sentence-transformers model, where the workers have that package."""
 
-    def predict_fn(self) -> Predict:
-        name, size = self.model_name, self.batch_size
+    def make_predict() -> Predict:
         try:
             from sentence_transformers import SentenceTransformer
         except ImportError as error:
             raise RuntimeError("sentence-transformers is not installed") from error
-        encoder = SentenceTransformer(name)
-        return lambda texts: encoder.encode(list(texts), batch_size=size, convert_to_numpy=True)
+        model = SentenceTransformer(model_name)
+        return lambda texts: model.encode(
+            list(texts), batch_size=batch_size, convert_to_numpy=True
+        )
+
+    return Encoder(model_name, dim, make_predict)
 
 
 def retrying(make: Callable[[], Predict]) -> Callable[[], Predict]:
@@ -123,7 +124,7 @@ def l2_normalise(vector: Column | str) -> Column:
 def raw_vector(text: Column | str, encoder: Encoder, chunk_size: int = CHUNK_SIZE) -> Column:
     """The encoder's vector of a text, not yet normalised."""
     udf = predict_batch_udf(
-        retrying(encoder.predict_fn),
+        retrying(encoder.make_predict),
         return_type=ST.ArrayType(ST.FloatType()),
         batch_size=chunk_size,
     )

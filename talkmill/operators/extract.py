@@ -36,7 +36,6 @@ BAD_TEXT = "text_not_a_string"
 BAD_MESSAGE = "message_not_an_object"
 BAD_PARTS = "parts_not_a_list"
 UNREADABLE = "unreadable_value"
-DUPLICATE_KEY = "duplicate_key"
 
 _NONE = "cast(array() as array<string>)"
 
@@ -163,6 +162,20 @@ def _lost(typed: Column, raw: Column, fields: list[str]) -> Column:
     return F.coalesce(F.exists(pairs, lost), F.lit(False))
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Entries with a repeated key kept once: its last value at its first place."""
+
+    def of_keys(keys: Column) -> Column:
+        def last(k: Column) -> Column:
+            return F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+
+        once = F.transform(F.array_distinct(keys), last)
+        repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+        return F.when(repeated, once).otherwise(entries)
+
+    return let(F.transform(entries, lambda e: e["key"]), of_keys)
+
+
 def from_message_list(j: Column) -> Column:
     """``(text, reject)`` of a conversation with a message list."""
 
@@ -233,28 +246,30 @@ def from_node_map(j: Column) -> Column:
         )
 
     def of_entries(entries: Column) -> Column:
-        keys = F.transform(entries, lambda e: e["key"])
         nodes = F.transform(entries, lambda e: e["value"])
+        last = F.transform(_last_of_each(entries), lambda e: e["value"])
 
         def of_nodes(nodes: Column) -> Column:
             suspicious = F.exists(nodes, lambda n: n["message"].isNull())
-            read = F.transform(nodes, lambda n: of_message(n["message"]))
-            return F.when(
-                suspicious & _lost(nodes, raw, ["message"]), _rejected(UNREADABLE)
-            ).otherwise(let(read, of_read))
+            read = F.transform(last, lambda n: of_message(n["message"]))
+            return (
+                F.when(F.exists(nodes, lambda n: n.isNull()), _rejected(BAD_MAPPING))
+                .when(suspicious & _lost(nodes, raw, ["message"]), _rejected(UNREADABLE))
+                .otherwise(let(read, of_read))
+            )
 
         def of_read(messages: Column) -> Column:
             problems = F.filter(
                 F.transform(messages, lambda m: m["problem"]), lambda p: p.isNotNull()
             )
             parts = F.transform(messages, lambda m: _gather_items(m["parts"], of_part))
-            return F.when(F.size(problems) > 0, _result(_no_text(), F.get(problems, F.lit(0)))).otherwise(
+            first = _result(_no_text(), F.get(problems, F.lit(0)))
+            return F.when(F.size(problems) > 0, first).otherwise(
                 let(let(parts, _gather), _joined)
             )
 
         return (
             F.when(entries.isNull(), _rejected(BAD_MAPPING))
-            .when(F.size(F.array_distinct(keys)) < F.size(keys), _rejected(DUPLICATE_KEY))
             .otherwise(let(nodes, of_nodes))
         )
 
@@ -270,7 +285,8 @@ def _tagged(keys: Column, raw: Column, typed: Column) -> Column:
 def _object_entries(j: Column) -> Column:
     raw = F.from_json(j, "map<string,string>")
     typed = F.from_json(j, "map<string,variant>")
-    return _tagged(F.map_keys(raw), F.map_values(raw), F.map_values(typed))
+    tagged = _tagged(F.map_keys(raw), F.map_values(raw), F.map_values(typed))
+    return let(tagged, _last_of_each)
 
 
 def _list_entries(j: Column) -> Column:

@@ -119,7 +119,7 @@ def run_embed(
     rows = S.csv_for_embed(spark, csv)
     if "conversation_id" not in rows.columns:
         rows = rows.withColumn("conversation_id", T.text_hash("text"))
-    vectors = E.embed(rows, encoder or E.HashingEncoder(), store, chunk_size=chunk_size)
+    vectors = E.embed(rows, encoder or E.hashing_encoder(), store, chunk_size=chunk_size)
     S.write_parquet(vectors, output)
     return spark.read.parquet(output)
 

@@ -419,7 +419,7 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoder = E.HashingEncoder(HASH_DIM)
+    encoder = E.hashing_encoder(HASH_DIM)
     docs = E.to_embed(documents(spark, sf_dir).select("doc_id", "text"))
     raw = docs.withColumn("raw", E.raw_vector("text", encoder))
     return raw.select("doc_id", vector_text(E.l2_normalise("raw")).alias("vector"))
@@ -443,7 +443,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding with a store: the second call finds every text kept."""
     docs, store = documents(spark, sf_dir), shared_folder(spark, "vectors")
-    encoder = E.HashingEncoder(HASH_DIM)
+    encoder = E.hashing_encoder(HASH_DIM)
     E.embed(docs.filter("lang <> 'en'"), encoder, store, key="doc_id")
     vectors = E.embed(docs, encoder, store, key="doc_id")
     return vectors.select(
