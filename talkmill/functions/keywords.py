@@ -20,6 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talkmill.functions.once import sql_text
 from talkmill.functions.text import fold_original
 
 # Java's \b treats numerals and combining marks in its own way, so the word
@@ -86,10 +87,15 @@ def run_pattern(keywords: Iterable[str], *, at_edges: bool = False) -> str:
     if at_edges:
         starts = inner = starts | inner
     goes_on = f"{_separators(keywords)}{prefix_pattern(inner)}"
+    start = prefix_pattern(starts)
     if not at_edges:
-        alone = {ws[0] for ws in split if len(ws) == 1}
-        starts = {w: NOT_BEFORE_WORD if w in alone else f"(?={goes_on})" for w in starts}
-    return f"{NOT_AFTER_WORD}{prefix_pattern(starts)}(?:{goes_on})*+"
+        alone = {ws[0]: NOT_BEFORE_WORD for ws in split if len(ws) == 1}
+        opening = {w: "" for w in starts if w not in alone}
+        choices = [prefix_pattern(alone)] if alone else []
+        if opening:
+            choices.append(f"{prefix_pattern(opening)}(?={goes_on})")
+        start = f"(?:{'|'.join(choices)})"
+    return f"{NOT_AFTER_WORD}{start}(?:{goes_on})*+"
 
 
 def reduce_text(folded: Column, keywords: Iterable[str]) -> Column:
@@ -122,16 +128,16 @@ def joinable(runs: Column) -> Column:
     return F.when(runs == "", "\n").otherwise(F.concat(left, inner, right))
 
 
-def count_matches(reduced: Column, keywords: Iterable[str]) -> Column:
-    """Matches of one group in a reduced text."""
-    return F.regexp_count(reduced, F.lit(group_pattern(keywords)))
+def group_counts(reduced: str, groups: list[Iterable[str]]) -> Column:
+    """Matches of every group in a column of reduced texts, as ``array<int>``.
 
-
-def group_counts(reduced: Column, groups: list[Iterable[str]]) -> Column:
-    """Matches of every group as ``array<int>``; most texts have no run and stop early."""
-    none = F.array(*[F.lit(0) for _ in groups])
-    counts = F.array(*[count_matches(reduced, g) for g in groups])
-    return F.when(reduced == "", none).otherwise(counts)
+    Most texts have no run at all and stop early.
+    """
+    none = ", ".join("0" for _ in groups)
+    counts = ", ".join(
+        f"regexp_count(`{reduced}`, {sql_text(group_pattern(g))})" for g in groups
+    )
+    return F.expr(f"CASE WHEN `{reduced}` = '' THEN array({none}) ELSE array({counts}) END")
 
 
 def has_keyword(text: Column | str, keywords: Iterable[str]) -> Column:

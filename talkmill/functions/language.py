@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
-from talkmill.functions.once import let
+from talkmill.functions.once import let, sql_list
 
 PROFILE_SIZE = 300
 MAX_MODEL_ROWS = 100_000
@@ -127,7 +127,7 @@ def identify(text: Column | str, profiles: dict[str, list[str]]) -> Column:
     def best(own: Column) -> Column:
         shared = [
             F.struct(
-                (-F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in known])))).alias("n"),
+                (-F.size(F.array_intersect(own, F.expr(sql_list(known))))).alias("n"),
                 F.lit(language).alias("language"),
             )
             for language, known in profiles.items()

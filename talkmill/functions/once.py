@@ -1,4 +1,4 @@
-"""Keeping costly expressions from being computed again."""
+"""Building blocks for large expressions: literals in bulk, and computing a value once."""
 
 from __future__ import annotations
 
@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 ONCE = "__once"
 
 
+def sql_text(value: str) -> str:
+    """A string as SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: list[str]) -> str:
+    """Strings as an SQL array; one parsed expression instead of a JVM call per literal."""
+    items = ", ".join(sql_text(v) for v in values)
+    return f"array({items})" if values else "cast(array() as array<string>)"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

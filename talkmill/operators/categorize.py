@@ -13,7 +13,7 @@ from talkmill.functions.keywords import (
     has_keyword,
     reduce_text,
 )
-from talkmill.functions.once import let, with_once
+from talkmill.functions.once import let, sql_list, sql_text, with_once
 from talkmill.functions.taxonomy import (
     DANISH_MARKERS,
     DEFAULT,
@@ -24,7 +24,6 @@ from talkmill.functions.taxonomy import (
 )
 
 REDUCED, HITS, VOICE = "__reduced", "__hits", "__voice"
-NO_NAMES = "cast(array() as array<string>)"
 
 
 def is_voice(text: Column | str) -> Column:
@@ -49,16 +48,11 @@ def _layout(taxonomy: Taxonomy) -> Column:
     rows = []
     for c in taxonomy.categories:
         subs = [taxonomy.groups[i].subcategory for i in taxonomy.sub_indexes(c)]
-        names = F.array(*[F.lit(x) for x in subs]) if subs else F.expr(NO_NAMES)
         rows.append(
-            F.struct(
-                F.lit(c).alias("category"),
-                F.lit(taxonomy.main_index(c) + 1).alias("first"),
-                F.lit(1 + len(subs)).alias("groups"),
-                names.alias("subcategories"),
-            )
+            f"named_struct('category', {sql_text(c)}, 'first', {taxonomy.main_index(c) + 1}, "
+            f"'groups', {1 + len(subs)}, 'subcategories', {sql_list(subs)})"
         )
-    return F.array(*rows)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def with_hits(df: DataFrame, text: str = "text", taxonomy: Taxonomy = DEFAULT) -> DataFrame:
@@ -73,7 +67,7 @@ def with_hits(df: DataFrame, text: str = "text", taxonomy: Taxonomy = DEFAULT) -
     voice = F.when(F.contains(F.col(text), F.lit("İ")), is_voice(text)).otherwise(
         F.rlike(F.col(REDUCED), F.lit(group_pattern(VOICE_KEYWORDS)))
     )
-    hits = group_counts(F.col(REDUCED), [g.keywords for g in taxonomy.groups])
+    hits = group_counts(REDUCED, [g.keywords for g in taxonomy.groups])
     return reduced.withColumns({HITS: hits, VOICE: voice}).drop(REDUCED)
 
 
@@ -164,14 +158,14 @@ def category_scores(
     df: DataFrame, keys: list[str], text: str = "text", taxonomy: Taxonomy = DEFAULT
 ) -> DataFrame:
     """Scores in long form: ``keys, category, subcategory, hits`` (null subcategory = main)."""
-    names = F.array(
-        *[
-            F.struct(
-                F.lit(g.category).alias("category"),
-                F.lit(g.subcategory).cast("string").alias("subcategory"),
-            )
+    names = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('category', {sql_text(g.category)}, 'subcategory', "
+            f"{'cast(null as string)' if g.subcategory is None else sql_text(g.subcategory)})"
             for g in taxonomy.groups
-        ]
+        )
+        + ")"
     )
     scored = with_hits(df.select(*keys, text), text, taxonomy).select(
         *keys, F.explode(F.arrays_zip(names.alias("g"), F.col(HITS).alias("h"))).alias("e")

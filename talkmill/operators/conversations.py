@@ -124,11 +124,12 @@ def categorize_conversations(
         "dotted_voice",
         F.when(broken, F.concat(left, F.lit("\n"), right)).otherwise(piece).alias("ends"),
         reduce_text(F.when(broken, inside).otherwise(""), words).alias("inside"),
-    ).withColumn("counts", group_counts(F.col("inside"), groups))
+    ).withColumn("counts", group_counts("inside", groups))
+    summed = ", ".join(f"sum(counts[{i}])" for i in range(n))
     whole = (
         counted.groupBy(key)
         .agg(
-            F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(n)]).alias("counts"),
+            F.expr(f"array({summed})").alias("counts"),
             _in_order("chunk", "ends").alias("ends"),
             (F.sum("chars") + F.sum("fragments") - 1).alias("char_length"),
             F.bool_or("said").alias("said"),
@@ -136,7 +137,7 @@ def categorize_conversations(
         )
         .filter("said")
         .withColumn("ends", reduce_text(F.col("ends"), words))
-        .withColumn("end_counts", group_counts(F.col("ends"), groups))
+        .withColumn("end_counts", group_counts("ends", groups))
     )
     hits = whole.select(
         key,

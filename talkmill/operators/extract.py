@@ -14,7 +14,9 @@ whole file.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -359,8 +361,18 @@ def from_unknown(j: Column) -> Column:
     )
 
 
-def extract(j: Column) -> Column:
-    """``(text, reject)`` of one conversation; a known shape never falls back."""
+def extract(name: str) -> Column:
+    """``(text, reject)`` of the conversation in a column; a known shape never falls back.
+
+    The expression is large and is put together once per session, call by call to
+    the JVM, so it is kept.
+    """
+    return _extract(name, SparkContext.getOrCreate().applicationId)
+
+
+@lru_cache(maxsize=16)
+def _extract(name: str, application: str) -> Column:
+    j = F.col(name)
 
     def of_keys(keys: Column) -> Column:
         return (
@@ -402,7 +414,7 @@ def with_text(
     j = F.col(raw)
     kept = [c for c in conversations.columns if c not in (raw, "reject")]
     given = F.col("reject") if "reject" in conversations.columns else _no_text()
-    extracted = F.when(given.isNull(), extract(j)).otherwise(_result(_no_text(), given))
+    extracted = F.when(given.isNull(), extract(raw)).otherwise(_result(_no_text(), given))
     named = conversation_id(j, F.col("pos"), F.col("source_file"), variant=variant)
     rows = with_once(conversations, {"conversation_id": named, "__extracted": extracted})
     return rows.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import language as L
 from talkmill.functions import text as T
+from talkmill.functions.once import with_once
 from talkmill.operators import categorize as C
 from talkmill.operators import conversations as V
 from talkmill.operators import embed as E
@@ -34,11 +35,11 @@ def query(f: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return CSV.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return CSV.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,20 +506,21 @@ def map_export(line_list: Column) -> Column:
     return F.concat(F.lit('{"root":{"message":null},'), nodes, F.lit("}"))
 
 
+def _extracted(rows: DataFrame) -> DataFrame:
+    found = with_once(rows, {"x": J.extract("raw")})
+    return found.select("doc_id", "x.text", "x.reject")
+
+
 @query
 def extract_list_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _object([("title", F.lit('"t"')), (J.LIST_KEY, list_export(_lines()))])
-    out = documents(spark, sf_dir).withColumn("raw", raw)
-    out = out.withColumn("x", J.extract(F.col("raw")))
-    return out.select("doc_id", F.col("x.text").alias("text"), F.col("x.reject").alias("reject"))
+    return _extracted(documents(spark, sf_dir).select("doc_id", raw.alias("raw")))
 
 
 @query
 def extract_map_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _object([("title", F.lit('"t"')), (J.MAP_KEY, map_export(_lines()))])
-    out = documents(spark, sf_dir).withColumn("raw", raw)
-    out = out.withColumn("x", J.extract(F.col("raw")))
-    return out.select("doc_id", F.col("x.text").alias("text"), F.col("x.reject").alias("reject"))
+    return _extracted(documents(spark, sf_dir).select("doc_id", raw.alias("raw")))
 
 
 @query
@@ -528,9 +530,7 @@ def extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _object(
         [("z", _list(items)), ("text", _json_text(F.get(_lines(), F.lit(0)))), ("n", F.lit("1"))]
     )
-    out = documents(spark, sf_dir).withColumn("raw", raw)
-    out = out.withColumn("x", J.extract(F.col("raw")))
-    return out.select("doc_id", F.col("x.text").alias("text"), F.col("x.reject").alias("reject"))
+    return _extracted(documents(spark, sf_dir).select("doc_id", raw.alias("raw")))
 
 
 @query

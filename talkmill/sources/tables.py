@@ -129,6 +129,17 @@ def upload_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan handed out to all cores if its files would keep most of them idle.
+
+    Scoring a text costs far more than moving it, so a few small files are worth
+    a shuffle.  A scan with a task for every core, as large tables have, is left
+    as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write with header; quotes are doubled and white space is kept."""
     options = {k: v for k, v in _CSV.items() if k != "multiLine"}

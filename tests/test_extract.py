@@ -53,7 +53,7 @@ BAD = {
 
 def extracted(spark, raw):
     df = spark.createDataFrame(list(enumerate(raw)), "i int, raw string").repartition(8)
-    rows = with_once(df, {"x": J.extract(F.col("raw"))}).select("i", "x.text", "x.reject").collect()
+    rows = with_once(df, {"x": J.extract("raw")}).select("i", "x.text", "x.reject").collect()
     return {r["i"]: (r["text"], r["reject"]) for r in rows}
 
 
