@@ -27,6 +27,11 @@ def _in_order(order: str, value: str) -> Column:
     )
 
 
+def _chunk(order: str) -> Column:
+    """First turn number of the chunk a turn belongs to."""
+    return (F.col(order) - F.pmod(F.col(order), F.lit(CHUNK_TURNS))).alias("chunk")
+
+
 def _fragments(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """A turn contributes its stripped text unless it has none at all."""
     fragment = F.when(F.col(text) != "", T.strip(text))
@@ -51,10 +56,9 @@ def conversation_text(
         .groupBy(key)
         .agg(F.when(some, joined).alias("head"))
     )
-    chunk = F.floor(F.col(order) / CHUNK_TURNS).alias("chunk")
     tail = (
         fragments.filter(F.col(order) >= CHUNK_TURNS)
-        .groupBy(key, chunk)
+        .groupBy(key, _chunk(order))
         .agg(F.when(some, joined).alias("piece"))
         .groupBy(key)
         .agg(F.when(F.count("piece") > 0, _in_order("chunk", "piece")).alias("tail"))
@@ -93,7 +97,7 @@ def categorize_conversations(
     )
     pieces = (
         reduced.withColumn("runs", F.when(F.col("runs").isNotNull(), joinable(F.col("runs"))))
-        .groupBy(key, F.floor(F.col(order) / CHUNK_TURNS).alias("chunk"))
+        .groupBy(key, _chunk(order))
         .agg(
             F.when(F.count("runs") > 0, _in_order(order, "runs")).alias("piece"),
             F.sum("chars").alias("chars"),

@@ -155,13 +155,13 @@ def cache_misses(keyed: DataFrame, known: DataFrame, text: str = "text") -> Data
     """``text_sha`` and text of each distinct text not kept yet.
 
     Copies are merged inside each task first, so even a text making up a large
-    part of all rows is shuffled once per task and embedded once.
+    part of all rows is shuffled once per task and embedded once.  An anti join
+    would be moved below that merge; an outer join stays above it and works on
+    its partitioning.
     """
-    return (
-        keyed.select("text_sha", text)
-        .join(known.select("text_sha"), "text_sha", "left_anti")
-        .dropDuplicates(["text_sha"])
-    )
+    distinct = keyed.select("text_sha", text).dropDuplicates(["text_sha"])
+    kept = known.select("text_sha", F.lit(True).alias("__kept"))
+    return distinct.join(kept, "text_sha", "left").filter("__kept IS NULL").drop("__kept")
 
 
 def embed(

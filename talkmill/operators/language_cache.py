@@ -22,13 +22,13 @@ def misses(hashed: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     """``text_hash, prefix`` of each distinct text without a kept result.
 
     Copies are merged inside each task before the shuffle, so a text that makes
-    up a large part of all rows arrives once per task.
+    up a large part of all rows arrives once per task.  An anti join would be
+    moved below that merge; an outer join stays above it.
     """
-    return (
-        hashed.select("text_hash", T.detection_prefix(text).alias("prefix"))
-        .join(known, "text_hash", "left_anti")
-        .dropDuplicates(["text_hash"])
-    )
+    prefixes = hashed.select("text_hash", T.detection_prefix(text).alias("prefix"))
+    distinct = prefixes.dropDuplicates(["text_hash"])
+    kept = known.select("text_hash", F.lit(True).alias("__kept"))
+    return distinct.join(kept, "text_hash", "left").filter("__kept IS NULL").drop("__kept")
 
 
 def identify_cached(

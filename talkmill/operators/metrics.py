@@ -92,7 +92,7 @@ def complexity_distribution(df: DataFrame, count: str = "conversations") -> Data
     spark = df.sparkSession
     labels = spark.createDataFrame([(c,) for c in COMPLEXITIES], "complexity string")
     counts = df.groupBy("complexity").agg(F.count(F.lit(1)).alias(count))
-    return F.broadcast(labels).join(counts, "complexity", "left").select(
+    return labels.join(counts, "complexity", "left").select(
         "complexity", F.coalesce(count, F.lit(0)).cast("bigint").alias(count)
     )
 
@@ -209,8 +209,7 @@ def ingest_summary(extracted: DataFrame) -> DataFrame:
         F.min("length").alias("shortest"),
         F.max("length").alias("longest"),
     )
-    lengths = facts.withColumn("one", F.lit(1))
-    rolled = lengths.groupingSets(
+    rolled = facts.groupingSets(
         [[F.col("language")], [F.col("source_file")], []], F.col("language"), F.col("source_file")
     ).agg(
         F.grouping_id().alias("gid"),

@@ -23,8 +23,8 @@ def read_export_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_export_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source_file, pos, conversation`` of JSON Lines files, which Spark splits.
 
-    The position is the byte-order rank of the line in its split, made unique by
-    the split's start; it orders the lines of a file without a shuffle.
+    Positions are unique and grow along each split, so that no file has to be
+    gathered in one task to number it; they are not consecutive.
     """
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     return lines.select(
