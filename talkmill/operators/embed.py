@@ -160,7 +160,7 @@ def cache_misses(keyed: DataFrame, known: DataFrame, text: str = "text") -> Data
     its partitioning.
     """
     distinct = keyed.select("text_sha", text).dropDuplicates(["text_sha"])
-    kept = known.select("text_sha", F.lit(True).alias("__kept"))
+    kept = known.select("text_sha").distinct().withColumn("__kept", F.lit(True))
     return distinct.join(kept, "text_sha", "left").filter("__kept IS NULL").drop("__kept")
 
 

@@ -27,7 +27,7 @@ def misses(hashed: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
     """
     prefixes = hashed.select("text_hash", T.detection_prefix(text).alias("prefix"))
     distinct = prefixes.dropDuplicates(["text_hash"])
-    kept = known.select("text_hash", F.lit(True).alias("__kept"))
+    kept = known.select("text_hash").distinct().withColumn("__kept", F.lit(True))
     return distinct.join(kept, "text_hash", "left").filter("__kept IS NULL").drop("__kept")
 
 
