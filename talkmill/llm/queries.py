@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, jaccard, line_windows, secret_scan
+from talkmill.llm import bpe, jaccard, line_windows, order_minhash, secret_scan
 
 QUERIES = {
     "op3_secret_scan": secret_scan.secrets_query,
     "op5_byte_bpe": bpe.bpe_query,
     "op7_line_dedup": line_windows.line_dedup_query,
     "op9_jaccard_join": jaccard.jaccard_query,
+    "op10_order_minhash": order_minhash.fingerprint_query,
 }
 ORACLE = {
     "op7_line_dedup": line_windows.LINE_DEDUP_SQL,
