@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, jaccard, line_windows, order_minhash, secret_scan
+from talkmill.llm import bpe, jaccard, line_windows, order_minhash, secret_scan, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.toxicity_query,
     "op3_secret_scan": secret_scan.secrets_query,
     "op5_byte_bpe": bpe.bpe_query,
     "op7_line_dedup": line_windows.line_dedup_query,
