@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, jaccard, line_windows, order_minhash, secret_scan, toxicity
+from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
+    "op2_decontamination": decontam.decontam_query,
     "op3_secret_scan": secret_scan.secrets_query,
+    "op4_quality": quality.quality_query,
     "op5_byte_bpe": bpe.bpe_query,
     "op7_line_dedup": line_windows.line_dedup_query,
     "op9_jaccard_join": jaccard.jaccard_query,
