@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, toxicity
+from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.quality_query,
     "op5_byte_bpe": bpe.bpe_query,
     "op7_line_dedup": line_windows.line_dedup_query,
+    "op8_suffix_dedup": suffix_dedup.suffix_query,
     "op9_jaccard_join": jaccard.jaccard_query,
     "op10_order_minhash": order_minhash.fingerprint_query,
 }
