@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, suffix_dedup, toxicity
+from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.secrets_query,
     "op4_quality": quality.quality_query,
     "op5_byte_bpe": bpe.bpe_query,
+    "op6_url_filter": url_filter.url_query,
     "op7_line_dedup": line_windows.line_dedup_query,
     "op8_suffix_dedup": suffix_dedup.suffix_query,
     "op9_jaccard_join": jaccard.jaccard_query,

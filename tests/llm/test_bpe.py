@@ -44,6 +44,7 @@ def test_same_ids_as_the_library_and_round_trip(ranks, library):
 
 def test_full_caches_change_nothing(ranks, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 20)
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
     texts = invented()[:60]
     assert [codec.encode([text])[0] for text in texts] == bpe.Codec(ranks, public_tokenizers.PATTERN).encode(texts)
