@@ -71,12 +71,12 @@ WITH lines AS (
 ), ranked AS (
   SELECT doc_id, text, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS n FROM windows WHERE NOT blank
 ), covered AS (
-  SELECT DISTINCT doc_id, pos + k AS at FROM ranked, (SELECT unnest(range(3)) AS k) WHERE n > 1
+  SELECT DISTINCT doc_id, pos + k AS place FROM ranked, (SELECT unnest(range(3)) AS k) WHERE n > 1
 ), kept AS (
-  SELECT l.doc_id, l.at, l.x, c.at IS NOT NULL AS gone
-  FROM (SELECT doc_id, unnest(line) AS x, unnest(range(len(line))) AS at FROM lines) l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.at = l.at
+  SELECT l.doc_id, l.place, l.x, c.place IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(line) AS x, unnest(range(len(line))) AS place FROM lines) l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.place = l.place
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-       sha256(coalesce(string_agg(x, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
 """

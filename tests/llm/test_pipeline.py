@@ -8,8 +8,8 @@ import tiktoken
 
 import corpus_pipeline
 from talkmill.llm import bpe
-from tests.llm.test_jaccard import brute as classes
-from tests.llm.test_line_windows import brute as without_lines
+from test_jaccard import brute as classes
+from test_line_windows import brute as without_lines
 
 SF = "/root/testdata/sf0.001"
 
