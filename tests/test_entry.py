@@ -3,6 +3,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from talkmill.plans.oracle import ORACLE
+from talkmill.plans.queries import QUERIES
 
 SF_DIR = entry.SMOKE_DIR
 TABLES = "documents embeddings benchmark conversations".split()
@@ -11,7 +13,8 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test table
 
 
 def test_every_query_has_an_sql_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):

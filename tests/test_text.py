@@ -62,10 +62,10 @@ def test_interaction_counts(spark):
 
 def test_markers(spark):
     rows = [
-        ("This is an audio transcript", True, False),
-        ("This is a regular text conversation", False, False),
-        ("Hvordan kan jeg hjælp med denne opgave?", False, True),
-        ("How can I help you with this task?", False, False),
+        ("The audio of our call was kept", True, False),
+        ("Typed by hand on a rainy day", False, False),
+        ("Jeg har ikke tid, og det er en skam", False, True),
+        ("Nobody has time for such chores", False, False),
         ("a voİce in capitals", True, False),
         ("soundtrack, audiobook", False, False),
         ("og og", False, True),
