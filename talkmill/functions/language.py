@@ -1,9 +1,10 @@
 """Language identification by character n-gram profiles.
 
-A language's profile is its most frequent trigrams, blanks at the word ends
-included.  A text is given the language whose profile shares most distinct
-trigrams with the text.  Only the first 1000 characters of a text are looked at,
-by definition.
+A language's profile is its most frequent trigrams over whole texts, blanks at the
+word ends included; how many is a parameter of the model.  A text is given the
+language whose profile shares most distinct trigrams with the text, and none if no
+profile shares any.  Of a text to identify only the first 1000 characters are looked
+at, by definition.
 
 Identification is row-local: the profiles are a model of a few hundred trigrams
 per language, and a text's own trigrams never leave its row.
@@ -72,8 +73,9 @@ SAMPLES = {
 
 
 def letters(text: Column | str) -> Column:
-    """The words of the detection prefix, lower-cased, each with a blank on both sides."""
-    words = F.regexp_replace(F.lower(T.detection_prefix(text)), r"[^\p{L}]+", " ")
+    """The words of a text, lower-cased, each with a blank on both sides."""
+    given = F.col(text) if isinstance(text, str) else text
+    words = F.regexp_replace(F.lower(given), r"[^\p{L}]+", " ")
     return F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
 
 
@@ -122,7 +124,7 @@ def sample_model(spark: SparkSession) -> dict[str, list[str]]:
 
 
 def identify(text: Column | str, profiles: dict[str, list[str]]) -> Column:
-    """Language of a text: most shared trigrams, the lesser code on a tie."""
+    """Language of a text: most shared trigrams, the lesser code on a tie, ``unknown`` without any."""
 
     def best(own: Column) -> Column:
         shared = [
@@ -132,8 +134,8 @@ def identify(text: Column | str, profiles: dict[str, list[str]]) -> Column:
             )
             for language, known in profiles.items()
         ]
-        return F.array_min(F.array(*shared))["language"]
+        most = F.array_min(F.array(*shared, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("language"))))
+        return F.when(most["n"] < 0, most["language"]).otherwise(UNKNOWN)
 
-    found = let(F.array_distinct(grams(text)), best)
-    no_letters = F.coalesce(letters(text), F.lit("  ")) == "  "
-    return F.when(no_letters, UNKNOWN).otherwise(found)
+    own = F.coalesce(grams(T.detection_prefix(text)), F.array().cast("array<string>"))
+    return let(F.array_distinct(own), best)

@@ -20,16 +20,20 @@ CHUNK_TURNS = 4096
 
 
 def _in_order(order: str, value: str) -> Column:
-    """Values of a group joined by a blank in turn order; null values are left out."""
-    present = F.when(F.col(value).isNotNull(), F.struct(order, value))
+    """Values of a group joined by a blank in turn order, turns without a number last.
+
+    Null values are left out; equal turn numbers are ordered by value.
+    """
+    place = F.struct(F.col(order).isNull().alias("unplaced"), order, value)
+    present = F.when(F.col(value).isNotNull(), place)
     return F.array_join(
         F.transform(F.array_sort(F.collect_list(present)), lambda x: x[value]), " "
     )
 
 
-def _chunk(order: str) -> Column:
-    """First turn number of the chunk a turn belongs to."""
-    return (F.col(order) - F.pmod(F.col(order), F.lit(CHUNK_TURNS))).alias("chunk")
+def _chunk(order: str, size: int) -> Column:
+    """First turn number of the chunk a turn belongs to; null for turns without a number."""
+    return (F.col(order) - F.pmod(F.col(order), F.lit(size))).alias("chunk")
 
 
 def _fragments(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -43,29 +47,12 @@ def conversation_text(
 ) -> DataFrame:
     """One row ``key, text`` per conversation: stripped turns in order, joined by a blank.
 
-    The first chunk of every conversation, which is all of it for nearly every
-    one, takes a single shuffle.  Later turns are joined chunk by chunk and then
-    appended; the filter on the turn number is pushed to the scan, so a table
-    without long conversations is not read again.
+    The result holds a conversation in one cell, so its turns meet in one group; ``categorize_conversations``
+    does without that.
     """
     fragments = _fragments(turns, key, order, text)
-    joined = _in_order(order, "fragment")
-    some = F.count("fragment") > 0
-    head = (
-        fragments.filter(F.col(order) < CHUNK_TURNS)
-        .groupBy(key)
-        .agg(F.when(some, joined).alias("head"))
-    )
-    tail = (
-        fragments.filter(F.col(order) >= CHUNK_TURNS)
-        .groupBy(key, _chunk(order))
-        .agg(F.when(some, joined).alias("piece"))
-        .groupBy(key)
-        .agg(F.when(F.count("piece") > 0, _in_order("chunk", "piece")).alias("tail"))
-    )
-    return head.join(tail, key, "full_outer").select(
-        key, F.concat_ws(" ", "head", "tail").alias("text")
-    )
+    joined = F.when(F.count("fragment") > 0, _in_order(order, "fragment"))
+    return fragments.groupBy(key).agg(F.coalesce(joined, F.lit("")).alias("text"))
 
 
 def categorize_conversations(
@@ -74,6 +61,7 @@ def categorize_conversations(
     order: str = "turn",
     text: str = "text",
     taxonomy: Taxonomy = DEFAULT,
+    chunk_turns: int = CHUNK_TURNS,
 ) -> DataFrame:
     """Categorize conversations without ever putting their texts together.
 
@@ -97,7 +85,7 @@ def categorize_conversations(
     )
     pieces = (
         reduced.withColumn("runs", F.when(F.col("runs").isNotNull(), joinable(F.col("runs"))))
-        .groupBy(key, _chunk(order))
+        .groupBy(key, _chunk(order, chunk_turns))
         .agg(
             F.when(F.count("runs") > 0, _in_order(order, "runs")).alias("piece"),
             F.sum("chars").alias("chars"),

@@ -35,20 +35,43 @@ Predict = Callable[[np.ndarray], np.ndarray]
 
 @dataclass(frozen=True)
 class Encoder:
-    """``make_predict`` loads the model, on the worker, and returns its function."""
+    """``make_predict`` loads the model, on the worker, and returns its function.
+
+    An encoder that Spark's functions can express has an ``expression`` as well, which is used instead.
+    """
 
     model_name: str
     dim: int
     make_predict: Callable[[], Predict]
+    expression: Callable[[Column], Column] | None = None
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
     """Signed feature hashing of words; needs no model.
 
     A word adds +1 or -1 at one position, both taken from its MD5.  The values
-    are whole numbers, so they are exact before normalisation.
+    are whole numbers, so they are exact before normalisation.  Spark's own functions
+    do it; ``make_predict`` does the same for batches of texts in Python.
     """
 
+    def expression(text: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+        def signed_place(word: Column) -> Column:
+            at = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim + 1
+            odd = F.substring(F.md5(word), 9, 1).isin(*"13579bdf")
+            return F.when(odd, -at).otherwise(at).cast("int")
+
+        def folded(places: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.lit(dim)),
+                lambda i: (
+                    F.size(F.array_remove(places, -i)) - F.size(F.array_remove(places, i))
+                ).cast("float"),
+            )
+
+        return let(F.transform(words, signed_place), folded)
+
     def make_predict() -> Predict:
         @lru_cache(maxsize=100_000)
         def place(word: str) -> tuple[int, int]:
@@ -66,25 +89,7 @@ def hashing_encoder(dim: int = 256) -> Encoder:
 
         return predict
 
-    return Encoder(f"feature-hashing-{dim}", dim, make_predict)
-
-
-def sentence_encoder(
-    model_name: str = SENTENCE_MODEL, dim: int = 768, batch_size: int = 32
-) -> Encoder:
-    """A sentence-transformers model, where the workers have that package."""
-
-    def make_predict() -> Predict:
-        try:
-            from sentence_transformers import SentenceTransformer
-        except ImportError as error:
-            raise RuntimeError("sentence-transformers is not installed") from error
-        model = SentenceTransformer(model_name)
-        return lambda texts: model.encode(
-            list(texts), batch_size=batch_size, convert_to_numpy=True
-        )
-
-    return Encoder(model_name, dim, make_predict)
+    return Encoder(f"feature-hashing-{dim}", dim, make_predict, expression)
 
 
 def retrying(make: Callable[[], Predict]) -> Callable[[], Predict]:
@@ -123,12 +128,15 @@ def l2_normalise(vector: Column | str) -> Column:
 
 def raw_vector(text: Column | str, encoder: Encoder, chunk_size: int = CHUNK_SIZE) -> Column:
     """The encoder's vector of a text, not yet normalised."""
+    given = F.col(text) if isinstance(text, str) else text
+    if encoder.expression:
+        return encoder.expression(given)
     udf = predict_batch_udf(
         retrying(encoder.make_predict),
         return_type=ST.ArrayType(ST.FloatType()),
         batch_size=chunk_size,
     )
-    return udf(F.col(text) if isinstance(text, str) else text)
+    return udf(given)
 
 
 def cache_key(text: Column | str, model_name: str) -> Column:
@@ -154,14 +162,16 @@ def embed_texts(
 def cache_misses(keyed: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``text_sha`` and text of each distinct text not kept yet.
 
-    Copies are merged inside each task first, so even a text making up a large
-    part of all rows is shuffled once per task and embedded once.  An anti join
-    would be moved below that merge; an outer join stays above it and works on
-    its partitioning.
+    Hashes alone are compared first; texts move only if their hash is missing, and copies are merged
+    inside each task before the shuffle.
     """
-    distinct = keyed.select("text_sha", text).dropDuplicates(["text_sha"])
-    kept = known.select("text_sha").distinct().withColumn("__kept", F.lit(True))
-    return distinct.join(kept, "text_sha", "left").filter("__kept IS NULL").drop("__kept")
+    missing = keyed.select("text_sha").distinct().join(known.select("text_sha"), "text_sha", "left_anti")
+    return (
+        keyed.select("text_sha", text)
+        .join(missing, "text_sha", "left_semi")
+        .groupBy("text_sha")
+        .agg(F.any_value(text).alias(text))
+    )
 
 
 def embed(
@@ -192,9 +202,18 @@ def embed(
         .parquet(store)
     )
     # Two runs at the same time may both have kept a text; one vector is enough.
+    asked = keyed.select("text_sha").distinct()
     kept = (
-        read_store(spark, store, STORE_SCHEMA).filter(mine).dropDuplicates(["text_sha"])
+        read_store(spark, store, STORE_SCHEMA)
+        .filter(mine)
+        .join(asked, "text_sha", "left_semi")
+        .dropDuplicates(["text_sha"])
     )
-    return keyed.select(key, "text_sha").join(kept, "text_sha").select(
-        key, "model", "text_sha", "embedding"
+    found = keyed.select(key, "text_sha").join(kept, "text_sha", "left")
+    lost = F.raise_error(F.concat(F.lit("no vector kept for "), F.col("text_sha")))
+    return found.select(
+        key,
+        F.coalesce("model", lost.cast("string")).alias("model"),
+        "text_sha",
+        "embedding",
     )

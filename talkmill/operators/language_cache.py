@@ -21,14 +21,15 @@ def known_languages(df: DataFrame, store: str) -> DataFrame:
 def misses(hashed: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """``text_hash, prefix`` of each distinct text without a kept result.
 
-    Copies are merged inside each task before the shuffle, so a text that makes
-    up a large part of all rows arrives once per task.  An anti join would be
-    moved below that merge; an outer join stays above it.
+    Hashes alone are compared first; only prefixes whose hash is missing move.
     """
-    prefixes = hashed.select("text_hash", T.detection_prefix(text).alias("prefix"))
-    distinct = prefixes.dropDuplicates(["text_hash"])
-    kept = known.select("text_hash").distinct().withColumn("__kept", F.lit(True))
-    return distinct.join(kept, "text_hash", "left").filter("__kept IS NULL").drop("__kept")
+    missing = hashed.select("text_hash").distinct().join(known.select("text_hash"), "text_hash", "left_anti")
+    return (
+        hashed.select("text_hash", T.detection_prefix(text).alias("prefix"))
+        .join(missing, "text_hash", "left_semi")
+        .groupBy("text_hash")
+        .agg(F.any_value("prefix").alias("prefix"))
+    )
 
 
 def identify_cached(

@@ -7,7 +7,7 @@ distributions and totals are rolled up from that relation by grouping sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
@@ -255,23 +255,21 @@ def ingest_summary(extracted: DataFrame) -> DataFrame:
 def top_categories(df: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
     """The most common categories with their share of all rows in percent.
 
-    Ranks and total come from the label counts, one row per category.
+    The first ``n`` of the label counts, one row per category, are the report.
     """
     counts = label_counts(df, ["main_category"])
-    total = F.max(F.when(F.col("metric") == TOTAL, F.col("value")))
-    entry = F.struct((-F.col("value")).alias("rank"), F.col("key"), F.col("value"))
-    ranked = F.slice(
-        F.array_sort(F.collect_list(F.when(F.col("metric") != TOTAL, entry))), 1, n
+    total = counts.filter(F.col("metric") == TOTAL).select(F.col("value").alias("total"))
+    first = (
+        counts.filter(F.col("metric") != TOTAL).orderBy(F.desc("value"), "key").limit(n)
     )
-    return (
-        counts.agg(total.alias("total"), ranked.alias("ranked"))
-        .select("total", F.posexplode("ranked").alias("pos", "e"))
-        .select(
-            (F.col("pos") + 1).cast("bigint").alias("rank"),
-            F.col("e.key").alias("main_category"),
-            F.col("e.value").alias("conversations"),
-            (F.col("e.value") / F.col("total") * 100).alias("share_pct"),
-        )
+    ranked = first.withColumn(
+        "rank", F.row_number().over(Window.orderBy(F.desc("value"), "key")).cast("bigint")
+    )
+    return ranked.join(total).select(
+        "rank",
+        F.col("key").alias("main_category"),
+        F.col("value").alias("conversations"),
+        (F.col("value") / F.col("total") * 100).alias("share_pct"),
     )
 
 

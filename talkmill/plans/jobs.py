@@ -61,13 +61,16 @@ def ingest(
     *,
     profiles: Profiles | None = None,
     detect: bool = True,
-    lines: bool = False,
-    spread: int | None = None,
+    **source,
 ) -> Ingested:
-    """Exports to clean rows.  Without ``profiles`` the built-in samples tell languages."""
+    """Exports to clean rows.  Without ``profiles`` the built-in samples tell languages.
+
+    ``source`` goes to ``read_exports``.  Each of the three relations reads the exports anew; ``run_ingest``
+    reads them once.
+    """
     if detect and profiles is None:
         profiles = sample_model(spark)
-    flattened = flatten(read_exports(spark, path, lines=lines, spread=spread))
+    flattened = flatten(read_exports(spark, path, **source))
     language = F.when(
         F.col("reject").isNull() & ~T.is_blank("text"), _language(profiles if detect else None)
     )
@@ -109,14 +112,14 @@ def run_ingest(spark: SparkSession, path: str | list[str], output: str, **option
 
 def run_embed(
     spark: SparkSession,
-    csv: str | list[str],
+    source: str | list[str] | DataFrame,
     store: str,
     output: str,
     encoder: E.Encoder | None = None,
     chunk_size: int = E.CHUNK_SIZE,
 ) -> DataFrame:
-    """Embed the text column of a CSV; vectors are keyed, never positional."""
-    rows = S.csv_for_embed(spark, csv)
+    """Embed the text column of a CSV or of any rows; vectors are keyed, never positional."""
+    rows = source if isinstance(source, DataFrame) else S.csv_for_embed(spark, source)
     if "conversation_id" not in rows.columns:
         rows = rows.withColumn("conversation_id", T.text_hash("text"))
     vectors = E.embed(rows, encoder or E.hashing_encoder(), store, chunk_size=chunk_size)
@@ -131,24 +134,26 @@ def categorize_rows(df: DataFrame, taxonomy: Taxonomy = DEFAULT, text: str = "te
 
 def run_categorize(
     spark: SparkSession,
-    cleaned_csv: str | list[str],
+    source: str | list[str] | DataFrame,
     output: str,
     taxonomy: Taxonomy = DEFAULT,
 ) -> DataFrame:
-    """Categorize a CSV; writes ``<output>/categorized_csv`` and ``metrics``, returns the metrics.
+    """Categorize a CSV or any rows with a text; writes ``<output>/categorized_csv`` and ``metrics``, returns the metrics.
 
     The texts are scored once, while the Parquet copy is written; the CSV, the
     metrics and the throughput come from that copy.
     """
     start = time.monotonic()
     seen = Observation("categorized")
-    rows = categorize_rows(S.csv_for_categorize(spark, cleaned_csv), taxonomy)
+    given = source if isinstance(source, DataFrame) else S.csv_for_categorize(spark, source)
+    rows = categorize_rows(given, taxonomy)
     counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    S.write_parquet(counted, f"{output}/categorized", by=["main_category"])
-    elapsed = time.monotonic() - start
+    S.write_parquet(counted, f"{output}/categorized")
     n = seen.get["rows"]
 
     kept = spark.read.schema(rows.schema).parquet(f"{output}/categorized")
+    S.write_csv(kept, f"{output}/categorized_csv")
+    elapsed = time.monotonic() - start
     performance = F.struct(
         F.lit(round(elapsed, 2)).alias("processing_time_seconds"),
         F.lit(round(n / elapsed, 1) if elapsed > 0 else 0.0).alias("conversations_per_second"),
@@ -156,7 +161,6 @@ def run_categorize(
     )
     metrics = M.metrics_cli(kept).withColumn("performance", performance)
     S.write_json(metrics, f"{output}/metrics")
-    S.write_csv(kept, f"{output}/categorized_csv")
     return spark.read.json(f"{output}/metrics")
 
 

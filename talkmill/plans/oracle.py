@@ -130,7 +130,7 @@ TURNS = f"""said AS (SELECT conv_id, turn, {strip("text")} AS x FROM conversatio
 
 
 def letters(c: str) -> str:
-    return rf"' ' || trim(regexp_replace(lower(substr({c}, 1, 1000)), '[^\pL]+', ' ', 'g')) || ' '"
+    return rf"' ' || trim(regexp_replace(lower({c}), '[^\pL]+', ' ', 'g')) || ' '"
 
 
 def grams(c: str = "l") -> str:
@@ -150,13 +150,11 @@ def profiles(source: str) -> str:
 
 IDENTIFIED = f"""
     own AS (SELECT doc_id, text, l, unnest(list_distinct({grams()})) AS gram
-        FROM (SELECT doc_id, text, {letters("text")} AS l FROM documents)),
+        FROM (SELECT doc_id, text, {letters("substr(text, 1, 1000)")} AS l FROM documents)),
     shared AS (SELECT doc_id, language, count(*) AS n FROM own JOIN profile USING (gram) GROUP BY ALL),
-    least AS (SELECT min(language) AS language FROM profile),
     best AS MATERIALIZED (SELECT doc_id, language FROM shared
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) = 1),
-    identified AS (SELECT d.doc_id, d.text, CASE WHEN {letters("d.text")} = '  ' THEN 'unknown'
-        ELSE coalesce(b.language, (SELECT language FROM least)) END AS language
+    identified AS (SELECT d.doc_id, d.text, coalesce(b.language, 'unknown') AS language
         FROM documents d LEFT JOIN best b USING (doc_id))"""
 
 SAMPLE_ROWS = "SELECT * FROM (VALUES " + ", ".join(
@@ -272,6 +270,32 @@ def _sizes() -> str:
 
 DOCS = "SELECT * FROM documents"
 
+# Texts made of keywords; see the query of the same name.
+GROUP_TEXTS = "[" + ", ".join(_s(" ".join(g.keywords)) for g in DEFAULT.groups) + "]"
+PLANTED_TEXT = f"""CASE WHEN doc_id % 13 = 0 THEN ' ' || chr(9) || ' ' WHEN doc_id % 17 = 0 THEN 'qwrt zzz mnop'
+    ELSE concat_ws(' ', {GROUP_TEXTS}[CAST(doc_id % {len(DEFAULT.groups)} AS INTEGER) + 1],
+        CASE WHEN doc_id % 3 = 0 THEN {GROUP_TEXTS}[CAST(doc_id * 31 % {len(DEFAULT.groups)} AS INTEGER) + 1] END,
+        CASE WHEN doc_id % 7 = 0 THEN {_s(" ".join(VOICE_KEYWORDS))} END,
+        CASE WHEN doc_id % 5 = 0 THEN 'why? what?? follow up, additional' END) END"""
+PLANTED = f"SELECT * REPLACE ({PLANTED_TEXT} AS text) FROM documents"
+
+
+def on_planted(sql: str) -> str:
+    """The same SQL over the planted texts."""
+    return f"WITH planted AS ({PLANTED}), " + sql.strip().removeprefix(
+        "WITH "
+    ).replace("FROM documents", "FROM planted")
+
+
+# Turns of which every fifth has lost its number.
+UNPLACED = TURNS.replace(
+    "SELECT conv_id, turn,", "SELECT conv_id, CASE WHEN (conv_id + turn) % 5 <> 0 THEN turn END AS turn,"
+)
+# One conversation per document, a message per line.
+MESSAGES = f"""array_to_string(list_transform(list_filter({LINES}, lambda x: x <> ''), lambda x: {strip("x")}), ' ')"""
+EXPORTED = f"""exported AS (SELECT doc_id, 'd' || doc_id AS conversation_id, {MESSAGES} AS text FROM documents),
+    said AS (SELECT * FROM exported WHERE {strip("text")} <> '')"""
+
 ORACLE: dict[str, str] = {
     "conv_text": f"WITH {TURNS} SELECT conv_id, text FROM conv",
     "conv_categorize": f"""WITH {TURNS}, {scored("SELECT * FROM conv")}
@@ -294,8 +318,8 @@ ORACLE: dict[str, str] = {
     "interaction_counts": f"SELECT doc_id, {QUESTIONS} AS questions, {FOLLOW_UPS} AS follow_ups FROM documents",
     "interaction_patterns": f"""SELECT CAST(sum({QUESTIONS}) AS BIGINT) AS questions,
         CAST(sum({FOLLOW_UPS}) AS BIGINT) AS follow_ups FROM documents""",
-    "default_fill": """SELECT doc_id, coalesce(nullif(lang, 'de'), 'unknown') AS language,
-        coalesce(source, 'unknown') AS source_file FROM documents""",
+    "default_fill": f"""SELECT 'row_' || n AS conversation_id, text, 'unknown' AS language
+        FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE {strip("text")} <> ''""",
     "taxonomy_table": f"WITH {scored(DOCS)} {_sizes()}",
     "category_scores": f"""WITH {scored(DOCS)} SELECT doc_id, category, subcategory, h[i] AS hits
         FROM {_long_scores("hit")}""",
@@ -381,8 +405,8 @@ ORACLE: dict[str, str] = {
     "embed_key": f"SELECT doc_id, {SHA} AS text_sha FROM documents",
     "cache_misses": f"""SELECT DISTINCT {SHA} AS text_sha, text FROM documents
         WHERE {strip("text")} <> '' AND text NOT IN (SELECT text FROM documents WHERE lang = 'en')""",
-    "embed_cached": f"""SELECT doc_id, 'feature-hashing-{HASH_DIM}' AS model, {HASH_SHA} AS text_sha,
-        CAST({HASH_DIM} AS BIGINT) AS dim FROM documents WHERE {strip("text")} <> ''""",
+    "embed_cached": f"""WITH {VECTORS} SELECT doc_id, 'feature-hashing-{HASH_DIM}' AS model, {HASH_SHA} AS text_sha,
+        vector FROM documents JOIN vector USING (doc_id)""",
     "extract_list_dialect": f"SELECT doc_id, {joined(LIST_PARTS)} AS text, CAST(NULL AS VARCHAR) AS reject FROM documents",
     "extract_map_dialect": f"SELECT doc_id, {joined(MAP_PARTS)} AS text, CAST(NULL AS VARCHAR) AS reject FROM documents",
     "extract_fallback": f"""SELECT doc_id, array_to_string({FALLBACK}, ' ') AS text,
@@ -418,13 +442,51 @@ ORACLE: dict[str, str] = {
         FROM both_sources GROUP BY 1""",
     "admission": """WITH files AS (SELECT source || '.json' AS name,
             CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1),
-        first AS (SELECT * FROM files ORDER BY name, bytes LIMIT 21),
         run AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY name, bytes) AS BIGINT) AS running_bytes,
-            count(*) OVER () AS n FROM first)
+            count(*) OVER () AS n FROM files)
         SELECT name, bytes, running_bytes, CASE WHEN n > 20 THEN 'too_many_files'
             WHEN bytes > 150000 THEN 'file_too_large'
             WHEN running_bytes > 1000000 THEN 'total_too_large' END AS problem FROM run""",
-    "categorize_job": f"""{CATEGORIZED} SELECT count(*) AS total_conversations,
-        count(*) FILTER (is_voice) AS voice_conversations,
-        count(*) FILTER (confidence_score > 5) AS high_confidence FROM cat""",
 }
+ORACLE |= {
+    "conv_text_null_turns": ORACLE["conv_text"].replace(TURNS, UNPLACED),
+    "conv_categorize_null_turns": ORACLE["conv_categorize"].replace(TURNS, UNPLACED),
+    "planted_scores": on_planted(ORACLE["category_scores"]),
+    "planted_categorize": on_planted(ORACLE["categorize"]),
+    "planted_interactions": f"""SELECT doc_id, {VOICE} AS is_voice, {QUESTIONS} AS questions, {FOLLOW_UPS} AS follow_ups
+        FROM (SELECT *, {fold("text")} AS f FROM ({PLANTED}))""",
+    "planted_summary": on_planted(ORACLE["ingest_summary"]),
+    "planted_metrics_cli": on_planted(ORACLE["metrics_cli"]),
+    "planted_metrics_upload": on_planted(ORACLE["metrics_upload"]),
+    "categorized_sink": on_planted(f"""{CATEGORIZED} SELECT conversation_id, main_category, subcategory, is_voice,
+        confidence_score, char_length, complexity FROM cat"""),
+    "categorize_job": f"""SELECT *, total_conversations AS written_total, avg_length AS written_avg,
+        total_conversations AS written_rows FROM ({ORACLE["metrics_cli"]})""",
+    "embed_retry": ORACLE["embed_hash"],
+    "embed_job": f"""WITH {VECTORS} SELECT CAST(doc_id AS VARCHAR) AS conversation_id,
+        'feature-hashing-{HASH_DIM}' AS model, {HASH_SHA} AS text_sha, vector
+        FROM documents JOIN vector USING (doc_id) WHERE lang <> 'es'""",
+    "ingest_job": f"""WITH {profiles(SAMPLE_ROWS)}, {EXPORTED}, {IDENTIFIED.replace("FROM documents", "FROM said")}
+        SELECT s.conversation_id, s.text, i.language, CAST(1 AS BIGINT) AS pos, substr(md5(s.text), 1, 16) AS text_hash
+        FROM said s JOIN identified i USING (doc_id)""",
+    "ingest_job_summary": f"""WITH {EXPORTED} SELECT count(*) AS total_files_processed,
+        (SELECT count(*) FROM exported) AS total_conversations,
+        (SELECT count(*) FROM exported) - count(*) AS empty_conversations, count(*) AS valid_conversations,
+        CAST(0 AS BIGINT) AS rejected_conversations,
+        count(*) / (SELECT count(*) FROM exported) * 100 AS success_rate,
+        max({LENGTH}) AS length_max FROM said""",
+    "language_unknown_script": "SELECT doc_id, 'unknown' AS language FROM documents",
+}
+
+
+def _analyze() -> str:
+    """The upload analysis of exported conversations and of planted texts without ids and languages."""
+    both = f"""SELECT conversation_id, s.text, language, 'exports' AS source_file
+            FROM said s JOIN identified USING (doc_id)
+        UNION ALL SELECT 'row', text, 'unknown', 'rows' FROM ({PLANTED}) WHERE {strip("text")} <> ''"""
+    head = f"WITH {profiles(SAMPLE_ROWS)}, {EXPORTED}, {IDENTIFIED.replace('FROM documents', 'FROM said')}, "
+    body = ORACLE["metrics_upload"].replace(CLEAN, both).strip().removeprefix("WITH ")
+    return head + body.replace(",\n        count(DISTINCT source_file) AS files_processed", "")
+
+
+ORACLE["analyze_job"] = _analyze()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +35,31 @@ def query(f: Query) -> Query:
     return f
 
 
+# A session may ask for tables that are one small file to be dealt out to so many tasks.
+DEAL = "spark.talkmill.deal"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get(DEAL, None)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CSV.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return table(spark, sf_dir, "documents")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CSV.spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return table(spark, sf_dir, "conversations")
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as clean rows; ``source`` stands for the file."""
-    return documents(spark, sf_dir).select(
+    return as_clean(documents(spark, sf_dir))
+
+
+def as_clean(docs: DataFrame) -> DataFrame:
+    """Documents as clean rows; ``source`` stands for the file."""
+    return docs.select(
         F.col("doc_id").cast("string").alias("conversation_id"),
         "text",
         F.col("lang").alias("language"),
@@ -94,6 +109,88 @@ def conv_category_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.distribution(V.categorize_conversations(turns(spark, sf_dir)), "main_category")
 
 
+def unplaced_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth turn has lost its number."""
+    number = F.when((F.col("conv_id") + F.col("turn")) % 5 != 0, F.col("turn"))
+    return turns(spark, sf_dir).withColumn("turn", number)
+
+
+@query
+def conv_text_null_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.non_blank(V.conversation_text(unplaced_turns(spark, sf_dir)))
+
+
+@query
+def conv_categorize_null_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In chunks of two turns, so that most keywords of two words meet a chunk's end."""
+    return V.categorize_conversations(unplaced_turns(spark, sf_dir), chunk_turns=2)
+
+
+# Texts made of the taxonomy's keywords, so that every group and label is met
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose texts hold all keywords of one group, and by id a second group, voice words,
+    questions, follow-ups, nothing known, or only blanks."""
+    n = F.col("doc_id")
+    groups = F.array(*[F.lit(" ".join(g.keywords)) for g in C.DEFAULT.groups])
+
+    def every(k: int, words: str | Column) -> Column:
+        return F.when(n % k == 0, words if isinstance(words, Column) else F.lit(words))
+
+    size = len(C.DEFAULT.groups)
+    text = F.concat_ws(
+        " ",
+        F.get(groups, (n % size).cast("int")),
+        every(3, F.get(groups, (n * 31 % size).cast("int"))),
+        every(7, " ".join(C.VOICE_KEYWORDS)),
+        every(5, "why? what?? follow up, additional"),
+    )
+    only = F.when(n % 13 == 0, F.lit(" \t ")).when(n % 17 == 0, F.lit("qwrt zzz mnop"))
+    return documents(spark, sf_dir).withColumn("text", F.coalesce(only, text))
+
+
+def planted_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_clean(planted(spark, sf_dir))
+
+
+@query
+def planted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.category_scores(planted(spark, sf_dir), ["doc_id"])
+
+
+@query
+def planted_categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.categorize(planted(spark, sf_dir)).select(
+        "doc_id", "main_category", "subcategory", "is_voice", "confidence_score"
+    )
+
+
+@query
+def planted_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir).select(
+        "doc_id",
+        C.is_voice("text").alias("is_voice"),
+        T.question_marks("text").alias("questions"),
+        T.follow_ups("text").alias("follow_ups"),
+    )
+
+
+@query
+def planted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_fields(M.ingest_summary(planted_clean(spark, sf_dir)))
+
+
+@query
+def planted_metrics_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cli_fields(M.metrics_cli(jobs.categorize_rows(planted_clean(spark, sf_dir))))
+
+
+@query
+def planted_metrics_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upload_fields(M.metrics_upload(jobs.upload_rows(planted_clean(spark, sf_dir))))
+
+
 # Scalar functions
 
 
@@ -168,14 +265,11 @@ def interaction_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = documents(spark, sf_dir).select(
-        "doc_id", F.nullif("lang", F.lit("de")).alias("lang"), "source"
-    )
-    return bare.select(
-        "doc_id",
-        F.coalesce("lang", F.lit("unknown")).alias("language"),
-        F.coalesce("source", F.lit("unknown")).alias("source_file"),
-    )
+    """An uploaded CSV that has neither ids nor languages: ids are positions in its one file."""
+    folder = shared_folder(spark, "bare")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(1).sortWithinPartitions("doc_id")
+    CSV.write_csv(rows.select("text"), folder)
+    return CSV.upload_csv_rows(spark, folder).select("conversation_id", "text", "language")
 
 
 # Scores and labels
@@ -191,7 +285,7 @@ def taxonomy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (per_group["category"] == sizes["category"]) & per_group["subcategory"].eqNullSafe(
         sizes["subcategory"]
     )
-    return F.broadcast(sizes).join(per_group, same).select(
+    return sizes.join(per_group, same).select(
         "cat_ord", "sub_ord", sizes["category"], "keywords", "hits"
     )
 
@@ -268,7 +362,10 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = M.ingest_summary(clean(spark, sf_dir))
+    return summary_fields(M.ingest_summary(clean(spark, sf_dir)))
+
+
+def summary_fields(s: DataFrame) -> DataFrame:
     return s.select(
         "total_files_processed",
         "total_conversations",
@@ -285,7 +382,10 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metrics_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = M.metrics_cli(categorized(spark, sf_dir))
+    return cli_fields(M.metrics_cli(categorized(spark, sf_dir)))
+
+
+def cli_fields(m: DataFrame) -> DataFrame:
     return m.select(
         "total_conversations",
         "avg_length",
@@ -302,7 +402,10 @@ def metrics_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metrics_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = M.metrics_upload(uploaded(spark, sf_dir))
+    return upload_fields(M.metrics_upload(uploaded(spark, sf_dir)))
+
+
+def upload_fields(m: DataFrame) -> DataFrame:
     return m.select(
         "total_conversations",
         "avg_length",
@@ -447,9 +550,38 @@ def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = E.hashing_encoder(HASH_DIM)
     E.embed(docs.filter("lang <> 'en'"), encoder, store, key="doc_id")
     vectors = E.embed(docs, encoder, store, key="doc_id")
-    return vectors.select(
-        "doc_id", "model", "text_sha", F.size("embedding").cast("bigint").alias("dim")
-    )
+    return vectors.select("doc_id", "model", "text_sha", vector_text("embedding").alias("vector"))
+
+
+@query
+def embed_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch encoder that fails on every batch of more than one text."""
+    whole = E.hashing_encoder(HASH_DIM)
+
+    def make_predict() -> E.Predict:
+        predict = whole.make_predict()
+
+        def one_only(texts: np.ndarray) -> np.ndarray:
+            if len(texts) > 1:
+                raise MemoryError("batch too large")
+            return predict(texts)
+
+        return one_only
+
+    docs = E.to_embed(documents(spark, sf_dir).select("doc_id", "text"))
+    vectors = E.embed_texts(docs, E.Encoder("one-by-one", HASH_DIM, make_predict), chunk_size=16)
+    return vectors.select("doc_id", vector_text("embedding").alias("vector"))
+
+
+@query
+def embed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embed job from CSV with blank texts to the written vectors."""
+    folder = shared_folder(spark, "embed-job")
+    blanked = F.when(F.col("language") == "es", "  ").otherwise(F.col("text"))
+    CSV.write_csv(clean(spark, sf_dir).withColumn("text", blanked), f"{folder}/clean")
+    encoder = E.hashing_encoder(HASH_DIM)
+    vectors = jobs.run_embed(spark, f"{folder}/clean", f"{folder}/store", f"{folder}/out", encoder)
+    return vectors.select("conversation_id", "model", "text_sha", vector_text("embedding").alias("vector"))
 
 
 # Exports, built from the documents: every line of a document is one message.
@@ -618,7 +750,7 @@ def json_lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit('"d'), F.col("doc_id").cast("string"), F.lit('"'))
     raw = _object([("uuid", name), (J.LIST_KEY, list_export(_lines()))])
     documents(spark, sf_dir).select(raw.alias("value")).write.text(folder)
-    result = jobs.ingest(spark, folder, lines=True, detect=False)
+    result = jobs.ingest(spark, folder, lines=True, detect=False, pattern="*.txt")
     return result.clean.select("conversation_id", "text", "language")
 
 
@@ -677,9 +809,86 @@ def categorize_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The categorize job from CSV to the written metrics."""
     folder = shared_folder(spark, "job")
     CSV.write_csv(clean(spark, sf_dir), f"{folder}/clean")
-    metrics = jobs.run_categorize(spark, f"{folder}/clean", f"{folder}/out")
-    return metrics.select(
+    jobs.run_categorize(spark, f"{folder}/clean", f"{folder}/out")
+    # what the written rows give must be what the job wrote as metrics
+    rows = spark.read.parquet(f"{folder}/out/categorized")
+    written = spark.read.json(f"{folder}/out/metrics").select(
+        F.col("total_conversations").alias("written_total"),
+        F.col("avg_length").alias("written_avg"),
+        F.col("performance.rows").alias("written_rows"),
+    )
+    return cli_fields(M.metrics_cli(rows)).join(written)
+
+
+@query
+def categorized_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categorize job's rows, read back from its CSV."""
+    folder = shared_folder(spark, "sink")
+    jobs.run_categorize(spark, planted_clean(spark, sf_dir), f"{folder}/out")
+    rows = CSV.read_csv(spark, f"{folder}/out/categorized_csv")
+    return rows.select(
+        "conversation_id",
+        "main_category",
+        "subcategory",
+        (F.col("is_voice") == "true").alias("is_voice"),
+        F.col("confidence_score").cast("bigint").alias("confidence_score"),
+        F.col("char_length").cast("bigint").alias("char_length"),
+        "complexity",
+    )
+
+
+def export_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Every document as a JSON file of its own, each line a message."""
+    messages = F.transform(_lines(), lambda line: F.struct(line.alias("text")))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("uuid")
+    rows = documents(spark, sf_dir).select(name, messages.alias(J.LIST_KEY))
+    rows.write.option("maxRecordsPerFile", 1).json(folder)
+
+
+@query
+def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest job over a folder of JSON files, languages told by the samples."""
+    folder = shared_folder(spark, "ingest-job")
+    export_files(spark, sf_dir, f"{folder}/exports")
+    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out/clean")
+    return rows.select("conversation_id", "text", "language", "pos", "text_hash")
+
+
+@query
+def ingest_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary that the ingest job writes as JSON."""
+    folder = shared_folder(spark, "ingest-summary")
+    export_files(spark, sf_dir, f"{folder}/exports")
+    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out")
+    s = spark.read.json(f"{folder}/out/summary")
+    return s.select(
+        "total_files_processed",
         "total_conversations",
-        "voice_conversations",
-        F.col("confidence_metrics.high_confidence").alias("high_confidence"),
+        "empty_conversations",
+        "valid_conversations",
+        "rejected_conversations",
+        "success_rate",
+        F.col("text_length_stats.max").alias("length_max"),
     )
+
+
+@query
+def analyze_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upload analysis of a folder of JSON files and one of CSV without ids and languages."""
+    folder = shared_folder(spark, "upload")
+    export_files(spark, sf_dir, f"{folder}/exports")
+    bare = planted_clean(spark, sf_dir).select("text").coalesce(1)
+    CSV.write_csv(bare, f"{folder}/rows.csv")
+    _, metrics = jobs.analyze(spark, [f"{folder}/exports", f"{folder}/rows.csv"], limits=False)
+    fields = upload_fields(metrics)
+    return fields.drop("files_processed")
+
+
+@query
+def language_unknown_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in letters that no sample has."""
+    strange = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщьъз")
+    docs = documents(spark, sf_dir).withColumn("text", F.regexp_replace(strange, "[a-zà-ÿ]", ""))
+    model = L.sample_model(spark)
+    return docs.select("doc_id", L.identify("text", model).alias("language"))

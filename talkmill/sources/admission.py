@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkmill.sources.store import shared_folder
+
 # Limits of an upload.
 EXTENSIONS = ["json", "csv"]
 MAX_FILES = 20
@@ -32,25 +34,33 @@ def admission(
     max_file_bytes: int = MAX_FILE_BYTES,
     max_total_bytes: int = MAX_TOTAL_BYTES,
 ) -> DataFrame:
-    """``name, bytes, running_bytes, problem`` of the first files by name.
+    """``name, bytes, running_bytes, problem`` of every file.
 
-    One more file than allowed is enough to refuse the upload, so the running
-    total never covers more rows than that however long the listing is.
+    Names are dealt into ranges; a range's running total starts from the sum of the ranges before it, so only
+    one row for each range meets in one place.  The ranges are written down, as both steps must see the same.
     """
-    first = files.select("name", "bytes").orderBy("name", "bytes").limit(max_files + 1)
-    everything = Window.orderBy("name", "bytes").rowsBetween(
+    spark = files.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_folder(spark, "listing")
+    dealt = files.select("name", "bytes").repartitionByRange(ranges, "name", "bytes")
+    dealt.withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    listed = spark.read.schema("name string, bytes bigint, part int").parquet(folder)
+    sums = listed.groupBy("part").agg(F.sum("bytes").alias("sum"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("name", "bytes").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    extension = F.lower(F.regexp_extract(F.trim("name"), r"\.([^.]*)$", 1))
-    running = F.sum("bytes").over(everything)
-    rows = first.withColumns(
-        {"running_bytes": running, "n": F.count(F.lit(1)).over(Window.partitionBy())}
+    too_many = listed.count() > max_files
+    extension = F.lower(F.regexp_extract(F.trim("name"), r".\.([^.]*)$", 1))
+    rows = listed.join(starts, "part").withColumn(
+        "running_bytes", F.col("start") + F.sum("bytes").over(inside)
     )
     return rows.select(
         "name",
         "bytes",
         "running_bytes",
-        F.when(F.col("n") > max_files, TOO_MANY)
+        F.when(F.lit(too_many), TOO_MANY)
         .when(~extension.isin(EXTENSIONS), UNSUPPORTED)
         .when(F.col("bytes") > max_file_bytes, FILE_TOO_LARGE)
         .when(F.col("running_bytes") > max_total_bytes, TOTAL_TOO_LARGE)

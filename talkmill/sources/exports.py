@@ -20,17 +20,24 @@ def read_export_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("source_file"), "value")
 
 
-def read_export_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``source_file, pos, conversation`` of JSON Lines files, which Spark splits.
+# Names of files taken as JSON Lines.
+LINES_PATTERN = "*.{json,jsonl,ndjson,jsonl.gz}"
+
+
+def read_export_lines(
+    spark: SparkSession, path: str | list[str], pattern: str = LINES_PATTERN
+) -> DataFrame:
+    """``source_file, pos, conversation, reject`` of JSON Lines files, which Spark splits.
 
     Positions are unique and grow along each split, so that no file has to be
     gathered in one task to number it; they are not consecutive.
     """
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    return lines.select(
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    return lines.filter(F.length(F.trim("value")) > 0).select(
         F.col("_metadata.file_name").alias("source_file"),
         (F.monotonically_increasing_id() + 1).alias("pos"),
         F.col("value").alias("conversation"),
+        F.when(F.try_parse_json("value").isNull(), MALFORMED).alias("reject"),
     )
 
 
@@ -92,7 +99,8 @@ def split_files(files: DataFrame) -> DataFrame:
 
 
 def read_exports(
-    spark: SparkSession, path: str | list[str], *, lines: bool = False, spread: int | None = None
+    spark: SparkSession, path: str | list[str], *, lines: bool = False, spread: int | None = None,
+    pattern: str = LINES_PATTERN,
 ) -> DataFrame:
     """``source_file, pos, conversation, reject`` of all exports under ``path``.
 
@@ -100,7 +108,7 @@ def read_exports(
     tasks before the costly work; with many files leave it out and save a shuffle.
     """
     if lines:
-        rows = read_export_lines(spark, path).withColumn("reject", F.lit(None).cast("string"))
+        rows = read_export_lines(spark, path, pattern)
     else:
         rows = split_files(read_export_files(spark, path))
     return rows.repartition(spread) if spread else rows

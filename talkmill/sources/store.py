@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows kept in a store; none before the first write, unreadable files left out."""
+    """Rows kept in a store; none before the first write. An unreadable file fails the read."""
     try:
-        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -76,7 +76,7 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def _require_text(df: DataFrame) -> DataFrame:
     if "text" not in df.columns:
-        raise ValueError("CSV must contain a 'text' column")
+        raise ValueError(f"no 'text' among the columns {df.columns}")
     return df
 
 
@@ -129,17 +129,6 @@ def upload_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan handed out to all cores if its files would keep most of them idle.
-
-    Scoring a text costs far more than moving it, so a few small files are worth
-    a shuffle.  A scan with a task for every core, as large tables have, is left
-    as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write with header; quotes are doubled and white space is kept."""
     options = {k: v for k, v in _CSV.items() if k != "multiLine"}
@@ -151,9 +140,6 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_parquet(
-    df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None
-) -> None:
-    """Write a relation for later steps, optionally one folder per label."""
-    writer = df.write.mode(mode)
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a relation for later steps."""
+    df.write.mode(mode).parquet(path)
