@@ -5,9 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.operators.embed import Encoder
+from talkmill.plans import jobs
+
 
 def time_stage(name: str, build: Callable[[], DataFrame]) -> dict[str, object]:
     """Seconds, rows and rows per second to produce every row and column of a result."""
@@ -25,6 +28,21 @@ def time_stage(name: str, build: Callable[[], DataFrame]) -> dict[str, object]:
     }
 
 
+def job_stages(
+    spark: SparkSession, exports: str, output: str, encoder: Encoder | None = None
+) -> dict[str, Callable[[], DataFrame]]:
+    """Ingest, embed and categorize, each on what the one before has written under ``output``."""
+    return {
+        "ingest": lambda: jobs.run_ingest(spark, exports, f"{output}/ingest").clean,
+        "embed": lambda: jobs.run_embed(
+            spark, spark.read.parquet(f"{output}/ingest/clean"), f"{output}/store", f"{output}/vectors", encoder
+        ),
+        "categorize": lambda: jobs.run_categorize(
+            spark, spark.read.parquet(f"{output}/ingest/clean"), f"{output}/categorize"
+        ),
+    }
+
+
 def run(stages: dict[str, Callable[[], DataFrame]]) -> dict[str, object]:
     """Time several stages one after the other."""
     results = [time_stage(name, build) for name, build in stages.items()]

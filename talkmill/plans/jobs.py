@@ -171,8 +171,8 @@ def upload_rows(
     return C.upload_rows(C.categorize(clean, "text", taxonomy))
 
 
-def _upload_json(spark: SparkSession, path: str, profiles: Profiles | None) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(
+def _upload_json(spark: SparkSession, paths: list[str], profiles: Profiles | None) -> DataFrame:
+    files = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_name").alias("source_file"), "value"
     )
     flattened = flatten(split_files(files), variant="upload")
@@ -189,18 +189,20 @@ def analyze(
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows and metrics of uploaded files; JSON and CSV may be mixed.
 
+    All JSON files are one scan, and so are all CSV files with one header, so the plan does not grow with
+    the number of files.
+
     Files are admitted as a whole or not at all; ``limits=False`` lifts that.
     """
     if limits:
         admission.check(admission.list_files(spark, paths))
     profiles = profiles or sample_model(spark)
-    parts = [
-        S.upload_csv_rows(spark, p)
-        if p.lower().endswith(".csv")
-        else _upload_json(spark, p, profiles)
-        for p in paths
-    ]
-    clean = parts[0]
+    tables = [p for p in paths if p.lower().endswith(".csv")]
+    exports = [p for p in paths if p not in tables]
+    parts = [_upload_json(spark, exports, profiles)] if exports else []
+    if tables:
+        parts += [S.upload_csv_rows(spark, group) for group in S.by_header(spark, tables)]
+    clean = parts[0] if parts else spark.createDataFrame([], ", ".join(f"{c} string" for c in S.CLEAN_COLUMNS))
     for p in parts[1:]:
         clean = clean.unionByName(p)
     rows = upload_rows(clean, taxonomy)

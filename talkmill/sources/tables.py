@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,21 @@ def _read_same_header(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files under ``paths``, those with the same first line together; one job for all of them.
+
+    One line for each file comes to the driver, which has to name the files of a scan in any case.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value"
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["file"]):
+        groups.setdefault(r["header"], []).append(unquote(r["file"]))
+    return list(groups.values())
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV files with every field as text and pandas' null spellings as null.
 
@@ -63,11 +80,7 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     if isinstance(paths, str):
         return _read_same_header(spark, [paths])
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        columns = tuple(spark.read.options(**_CSV, inferSchema=False).csv(p).columns)
-        by_header.setdefault(columns, []).append(p)
-    frames = [_read_same_header(spark, group) for group in by_header.values()]
+    frames = [_read_same_header(spark, group) for group in by_header(spark, paths)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -103,13 +116,13 @@ def _row_in_file(df: DataFrame) -> DataFrame:
     return numbered.join(starts, "__file").withColumn("__row", F.col("__id") - F.col("__start"))
 
 
-def upload_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Clean rows of an uploaded CSV; none if it has no text column.
+def upload_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Clean rows of an uploaded CSV, or of several with one header; none without a text column.
 
     A missing id column gives ``row_<position>``, a missing language ``unknown``;
     an empty field in either becomes the text ``nan``.
     """
-    df = read_csv(spark, path)
+    df = _read_same_header(spark, [path] if isinstance(path, str) else path)
     if "text" not in df.columns:
         schema = ", ".join(f"{c} string" for c in CLEAN_COLUMNS)
         return spark.createDataFrame([], schema)

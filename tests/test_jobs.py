@@ -231,6 +231,36 @@ def test_stream_of_exports(spark, folder):
     assert spark.table("arrived").count() == 4
 
 
+def test_job_stages(spark, folder, tmp_path):
+    stages = benchmark.job_stages(spark, str(folder), str(tmp_path / "bench"), E.hashing_encoder(16))
+    report = benchmark.run(stages)
+    assert [s["stage"] for s in report["stages"]] == ["ingest", "embed", "categorize"]
+    assert [s["rows"] for s in report["stages"]] == [4, 4, 1]
+
+
+def test_many_uploads_are_one_scan_each(spark, tmp_path):
+    def parts(n):
+        paths = []
+        for i in range(n):
+            (tmp_path / f"{n}-{i}.json").write_text(json.dumps(SAMPLE[:2]), encoding="utf-8")
+            (tmp_path / f"{n}-{i}.csv").write_text(f"text,note\nrow {i} of many,x\n", encoding="utf-8")
+            paths += [str(tmp_path / f"{n}-{i}.json"), str(tmp_path / f"{n}-{i}.csv")]
+        rows, metrics = jobs.analyze(spark, paths, limits=False)
+        assert metrics.first()["total_conversations"] == 3 * n
+        assert rows.filter("source_file like '%.csv'").select("conversation_id").distinct().collect() == [("row_0",)]
+        return rows._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert parts(2) == parts(12)
+
+
+def test_broken_and_foreign_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text":"one"}\n{"text":\n', encoding="utf-8")
+    (tmp_path / "readme.txt").write_text("not an export", encoding="utf-8")
+    result = jobs.ingest(spark, str(tmp_path), lines=True, detect=False)
+    assert [r["text"] for r in result.clean.collect()] == ["one"]
+    assert [r["reason"] for r in result.rejects.collect()] == ["malformed_json"]
+
+
 def test_benchmark(spark):
     report = benchmark.run({"range": lambda: spark.range(1000).withColumn("x", F.col("id") * 2)})
     assert report["stages"][0]["rows"] == 1000
