@@ -282,13 +282,14 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit("").alias("spans"))
     now = train_field(sample, counts[1], counts[0])
     weights = fit_logistic(*_evidence_of(sample, now))
-    model = docs.sparkSession.sparkContext.broadcast((now, weights))  # DIMENSIONS numbers
+    # DIMENSIONS numbers; plain arrays, as a broadcast's classes would have to be importable by executors
+    model = docs.sparkSession.sparkContext.broadcast((now.weights, now.transitions, weights))
 
     def task(batches):
         import pandas as pd
 
-        now, weights = model.value
-        tagger = Tagger(now)
+        *field_parts, weights = model.value
+        tagger = Tagger(Field(*field_parts))
         for batch in batches:
             texts = batch["text"].tolist()
             score, spans = [], []
