@@ -164,3 +164,49 @@ def secrets_query(spark, sf_dir: str) -> DataFrame:
         f"sha2({span_text('base')}, 256) as base_sha256",
         f"{span_text('array_sort(concat(base, entropy))')} as spans",
     )
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def secrets_sql() -> str:
+    """DuckDB SQL for secrets_query: windows one by one, with no running counts."""
+    keys = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    assign = f"""(?:{keys})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+    def found(kind: str, k: int, pattern: str, keep: str) -> str:
+        return f"""SELECT doc_id, row_id, {k} AS k, '{kind}' AS kind, at_ AS s, at_ + length(m) AS e, m FROM (
+            SELECT *, list_sum(list_transform(piece[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS at_, ms[i] AS m
+            FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+                SELECT doc_id, row_id, string_split_regex(text, {quote(pattern)}) AS piece, regexp_extract_all(text, {quote(pattern)}) AS ms FROM docs))
+        ) WHERE {keep}"""
+
+    allowed = " OR ".join(f"regexp_matches(m, {quote(p)})" for p in ALLOW)
+    candidates = " UNION ALL ".join(
+        found(c.kind, 3 + n, f"[{c.candidate.split('[')[-1].split(']')[0]}]{{{c.candidate.split('{')[1].split(',')[0]},}}", f"NOT ({allowed})") for n, c in enumerate(CLASSES)
+    )
+    window = "CASE k " + " ".join(f"WHEN {3 + n} THEN {c.window}" for n, c in enumerate(CLASSES)) + " END"
+    most = "CASE k " + " ".join(f"WHEN {3 + n} THEN {math.floor((math.log2(c.window) - c.least_bits) * c.window * SCALE)}" for n, c in enumerate(CLASSES)) + " END"
+    weigh = "[" + ", ".join(str(round(n * math.log2(n) * SCALE) if n else 0) for n in range(max(c.window for c in CLASSES) + 1)) + "]"
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
+    return f"""
+    WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+    base AS MATERIALIZED (
+        {found("assign", 0, assign, f"length(regexp_extract(m, {quote(assign)}, 1)) >= 6")}
+        UNION ALL {found("access", 1, ACCESS, "TRUE")} UNION ALL {found("hex", 2, HEX, "TRUE")}),
+    candidate AS MATERIALIZED ({candidates}),
+    windows AS (SELECT *, {window} AS w, {most} AS most, unnest(range(length(m) - {window} + 1)) AS j FROM candidate),
+    hot AS (SELECT * FROM windows WHERE list_sum(list_transform(list_distinct(string_split(substr(m, j + 1, w), '')),
+        lambda c: {weigh}[w - length(replace(substr(m, j + 1, w), c, '')) + 1])) <= most),
+    marked AS (SELECT *, coalesce(j - lag(j) OVER run > w, TRUE) AS fresh FROM hot WINDOW run AS (PARTITION BY row_id, k, s ORDER BY j)),
+    island AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY row_id, k, s ORDER BY j) AS part FROM marked),
+    entropy AS (SELECT doc_id, row_id, k, kind, s + min(j) AS s, s + max(j) + max(w) AS e FROM island GROUP BY doc_id, row_id, k, kind, s, part),
+    added AS (SELECT * FROM entropy h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = h.row_id AND b.s <= h.s AND h.e <= b.e)),
+    spans AS (SELECT row_id, k, kind, s, e FROM base UNION ALL SELECT row_id, k, kind, s, e FROM added)
+    SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        count(*) FILTER (k > 2) AS n_entropy,
+        sha256(coalesce({joined} FILTER (k < 3), '')) AS base_sha256, coalesce({joined}, '') AS spans
+    FROM docs d LEFT JOIN spans USING (row_id) GROUP BY d.doc_id, row_id
+    """
