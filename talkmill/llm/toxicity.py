@@ -32,7 +32,7 @@ ROUNDS = 15
 LEAST_SEEN, LEAST_ODDS, MOST_WORDS = 3, 2.5, 2000
 PREDICTED = 0.7
 BLOCK = 32
-TOGETHER = 300_000
+TOGETHER = 2_000_000
 CACHED = 200_000
 
 _WORD = re.compile(r"\w+")
@@ -118,16 +118,16 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
     return out, pairs
 
 
-def _in_parts(tokens: list[list[str]]):
-    """Consecutive runs of sequences with about TOGETHER tokens."""
+def _in_parts(texts: list[str]):
+    """Consecutive runs of texts with about TOGETHER characters, so that few tokens are held at a time."""
     start = size = 0
-    for n, row in enumerate(tokens):
-        size += len(row)
+    for n, text in enumerate(texts):
+        size += len(text)
         if size >= TOGETHER:
             yield slice(start, n + 1)
             start, size = n + 1, 0
-    if start < len(tokens):
-        yield slice(start, len(tokens))
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def training_sample(df: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
@@ -165,10 +165,11 @@ def _gradient(sample: DataFrame, now: Field, lexicon: set[str]) -> tuple[np.ndar
 
         total, pairs = np.zeros(DIMENSIONS), np.zeros((2, 2))
         for batch in batches:
-            tokens = [text.lower().split() for text in batch["text"]]
-            for part in _in_parts(tokens):
+            texts = batch["text"].tolist()
+            for part in _in_parts(texts):
+                tokens = [text.lower().split() for text in texts[part]]
                 number: dict[str, int] = {}
-                ids = np.array([number.setdefault(t, len(number)) for row in tokens[part] for t in row], np.int64)
+                ids = np.array([number.setdefault(t, len(number)) for row in tokens for t in row], np.int64)
                 if not len(ids):
                     continue
                 owned = [features(t) for t in number]
@@ -176,7 +177,7 @@ def _gradient(sample: DataFrame, now: Field, lexicon: set[str]) -> tuple[np.ndar
                 flat = np.concatenate(owned).astype(np.int64)
                 emission = np.add.reduceat(now.weights[flat], np.cumsum(sizes) - sizes)
                 marked = np.array([any(w in lexicon for w in _WORD.findall(t)) for t in number])
-                lengths = np.array([len(row) for row in tokens[part]])
+                lengths = np.array([len(row) for row in tokens])
                 truth = marked[ids] & (np.repeat(batch["toxic"].to_numpy()[part], lengths) == 1)
                 chance, expected = marginals(emission[ids], lengths, now.transitions)
                 gap = np.bincount(ids, truth - chance, len(number))
@@ -213,15 +214,15 @@ class Tagger:
 
     def __call__(self, texts: list[str]):
         """For each text: its number of tokens and the marginals of its tokens."""
-        tokens = [text.lower().split() for text in texts]
-        for part in _in_parts(tokens):
+        for part in _in_parts(texts):
+            tokens = [text.lower().split() for text in texts[part]]
             if len(self.known) > CACHED:
                 self.known = {}
             known, weights = self.known, self.now.weights
-            for token in {t for row in tokens[part] for t in row} - known.keys():
+            for token in {t for row in tokens for t in row} - known.keys():
                 known[token] = float(weights[features(token)].sum())
-            lengths = np.array([len(row) for row in tokens[part]])
-            emission = np.fromiter((known[t] for row in tokens[part] for t in row), np.float64, int(lengths.sum()))
+            lengths = np.array([len(row) for row in tokens])
+            emission = np.fromiter((known[t] for row in tokens for t in row), np.float64, int(lengths.sum()))
             chance, _ = marginals(emission, lengths, self.now.transitions)
             ends = np.cumsum(lengths)
             yield from (chance[end - n : end] for n, end in zip(lengths, ends, strict=True))
