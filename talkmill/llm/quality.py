@@ -13,6 +13,7 @@ repeat get equal results. An empty table has no rows to score.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable
 
@@ -164,14 +165,21 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class _Kinds(dict):
+    """Code points to A, a, 0 for letters and digits, others to themselves."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KIND_OF, _LONG_RUN = _Kinds(), re.compile(r"(.)\1{3,}", re.DOTALL)
+
+
 def _shape(word: str) -> str:
     """The word's pattern of letters, digits and others, runs cut to three."""
-    out = ""
-    for c in word[:40]:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out.endswith(kind * 3):
-            out += kind
-    return out
+    return _LONG_RUN.sub(r"\1\1\1", word[:40].translate(_KIND_OF))
 
 
 class Hasher:
@@ -185,7 +193,7 @@ class Hasher:
         if len(self.known) > CACHED:
             self.known = {}
         known = self.known
-        for word in set(words) - known.keys():
+        for word in [w for w in set(words) if w not in known]:
             parts = ("w" + word[:40], "s" + _shape(word), "e" + word[-2:])
             known[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % DIMENSIONS for p in parts)
         if not words:
@@ -217,10 +225,10 @@ def _train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
         def task(batches, now=now, at=at):
             import pandas as pd
 
-            total, slope, hasher = np.zeros(DIMENSIONS), 0.0, Hasher()
+            total, slope = np.zeros(DIMENSIONS), 0.0
             for batch in batches:
-                for text, truth in zip(batch["text"], batch["posterior"], strict=True):
-                    ids, values = hasher(text)
+                for raw_ids, raw_values, truth in zip(batch["ids"], batch["counts"], batch["posterior"], strict=True):
+                    ids, values = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_values)
                     gap = truth - 1 / (1 + math.exp(-max(-30.0, min(30.0, float(now[ids] @ values) + at))))
                     total[ids] += gap * values
                     slope += gap
@@ -247,11 +255,15 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < math.ceil(1e6 * min(1, sample / total)))
 
     def label(batches):
+        import pandas as pd
+
+        hasher = Hasher()
         for batch in batches:
-            yield batch.assign(posterior=[posterior[pattern(t)] for t in batch["text"]])
+            found = [hasher(t) for t in batch["text"]]
+            yield pd.DataFrame({"ids": [i.astype(np.int64).tobytes() for i, _ in found], "counts": [v.tobytes() for _, v in found], "posterior": [posterior[pattern(t)] for t in batch["text"]]})
 
     # copies of one text count once: a hot group would be all of the sample
-    labelled = written(chosen.dropDuplicates(["text"]).mapInPandas(label, "text string, posterior double").repartition(12), "quality-sample")
+    labelled = written(chosen.dropDuplicates(["text"]).mapInPandas(label, "ids binary, counts binary, posterior double").repartition(12), "quality-sample")
     model = docs.sparkSession.sparkContext.broadcast((*_train(labelled), posterior))  # DIMENSIONS numbers, at most 3 ** labellers posteriors
 
     def task(batches):
