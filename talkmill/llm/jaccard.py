@@ -37,8 +37,8 @@ FREQUENT, MOST_FREQUENT = 100, 100_000
 #: Tokens counted together in a task before the counts that matter go on.
 COUNTED = 2_000_000
 SALTS = 64
-#: Words of a bitmap that travels with a bucket's member.
-BUCKET_WORDS = 32
+#: Most 64-bit words of a bitmap that travels with a bucket's member: two bits a token up to 32,768 tokens.
+BUCKET_WORDS = 1024
 #: Members of a bucket compared together; a larger bucket is put together as a whole.
 MOST_MEMBERS = 4096
 #: Tokens of a component's block.
