@@ -43,38 +43,53 @@ BUCKET_WORDS = 1024
 MOST_MEMBERS = 4096
 #: Tokens of a component's block.
 BLOCK = 4_000_000
-CACHED_WORDS = 300_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes."""
+    """Texts to sorted arrays of distinct shingle hashes.
+
+    A word's hash is the sum of its bytes times a factor for their place in the word, for all words of a text at once.
+    """
+
+    #: The six bytes between words: blank, tab, line feed, vertical tab, form feed, carriage return.
+    BETWEEN = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, _WordHashes()
+        self.size, self.factors = size, np.empty(0, np.uint64)
+
+    def words(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes: ASCII only
+        between = self.BETWEEN[data]
+        first = ~between
+        first[1:] &= between[:-1]
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
+        longest = int(place.max()) + 1
+        if longest > len(self.factors):
+            self.factors = _mixed(np.arange(1, 2 * longest + 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        value = (data.astype(np.uint64) + np.uint64(1)) * self.factors[place]
+        value[between] = 0
+        return _mixed(np.add.reduceat(value, starts))
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: both know ASCII only
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        size = min(self.size, len(words))
-        count = len(words) - size + 1
+        hashes = self.words(text)
+        if not len(hashes):
+            return hashes
+        size = min(self.size, len(hashes))
+        count = len(hashes) - size + 1
         mixed = np.full(count, size, np.uint64)
         for k in range(size):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
+        found = np.sort(_mixed(mixed))
+        return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def digest(tokens: np.ndarray) -> bytes:
