@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talkmill.llm.rows import narrow
 
 LONG = 200
-CACHED_PIECES = 150_000
+CACHED_PIECES, CACHED_WORDS = 250_000, 600_000
 #: Texts of so many characters go through the database together.
 TOGETHER = 4_000_000
 MEMORY = "300MB"
@@ -168,7 +168,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut_pieces(text) for text in texts]
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces, self.words = {}, {}
+            self.pieces = {}
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
         known = self.pieces
         new = dict.fromkeys(piece for pieces in cut for piece in pieces if piece not in known)
         split = {piece: self.pattern.findall(piece) for piece in new}
