@@ -288,7 +288,8 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.hex(F.xxhash64(text)))
     docs = df.select(name.alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     found = written(_anchors_of(docs, length), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # a table of its own, so that both sides of the join are dealt out for it and a hot gram can be split
+    often = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     spots = found.join(often, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "place", "first", "last")).alias("spots"))
     # a repeated row's spots come twice under its key, and so do its contexts: they are merged here and counted
     spots = spots.withColumn("spots", F.array_distinct("spots"))
