@@ -7,7 +7,8 @@ training sample; forward-backward runs on blocks of tokens, vectorised over all
 logistic function of the marginals' sum, maximum and density, fitted on the same sample, is the score.
 
 The sample is bounded by TOXIC and CLEAN documents, the least by hash of their id, from rows whose
-crc32(id) mod 3 is not 1; a document with several labels is toxic if one says so. Every text is scored, whole.
+crc32(id) mod 3 is not 1; a document with several labels is toxic if one says so. Every text is scored, whole: what
+stands between white space is a token, and one of more than WORDS words is several, of WORDS words each.
 Null and empty texts have no tokens and get the score of an empty text; rows that repeat get equal
 results; rows without an id are never learned from. Without both kinds of labels every score is 0.
 """
@@ -32,6 +33,7 @@ ROUNDS = 15
 LEAST_SEEN, LEAST_ODDS, MOST_WORDS = 3, 2.5, 2000
 PREDICTED = 0.7
 BLOCK = 32
+WORDS = 8
 TOGETHER = 2_000_000
 CACHED = 200_000
 
@@ -39,10 +41,26 @@ _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\S+")
 
 
+def _cuts(token: str) -> list[tuple[int, int]]:
+    """Where the tokens begin and end in what stands between white space: a new one with each WORDS words."""
+    if len(token) <= 2 * WORDS:  # too short for more words
+        return [(0, len(token))]
+    edges = [0, *[m.start() for m in _WORD.finditer(token)][WORDS::WORDS], len(token)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def tokens_of(text: str) -> list[str]:
+    """The text's tokens in lower case."""
+    found = text.split()
+    if max(map(len, found), default=0) <= 2 * WORDS:
+        return text.lower().split()
+    return [t[a:z].lower() for t in found for a, z in _cuts(t)]
+
+
 def features(token: str) -> list[int]:
-    """Hashed features of one token (what stands between white space), in lower case."""
+    """Hashed features of one token, in lower case."""
     found = []
-    for word in _WORD.findall(token)[:8]:
+    for word in _WORD.findall(token):
         found += ["w" + word, "p" + word[:4], "s" + word[-3:]]
     found.append(f"l{min(len(token), 20)}")
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % DIMENSIONS for f in found]
@@ -167,7 +185,7 @@ def _gradient(sample: DataFrame, now: Field, lexicon: set[str]) -> tuple[np.ndar
         for batch in batches:
             texts = batch["text"].tolist()
             for part in _in_parts(texts):
-                tokens = [text.lower().split() for text in texts[part]]
+                tokens = [tokens_of(text) for text in texts[part]]
                 number: dict[str, int] = {}
                 ids = np.array([number.setdefault(t, len(number)) for row in tokens for t in row], np.int64)
                 if not len(ids):
@@ -215,7 +233,7 @@ class Tagger:
     def __call__(self, texts: list[str]):
         """For each text: its number of tokens and the marginals of its tokens."""
         for part in _in_parts(texts):
-            tokens = [text.lower().split() for text in texts[part]]
+            tokens = [tokens_of(text) for text in texts[part]]
             if len(self.known) > CACHED:
                 self.known = {}
             known, weights = self.known, self.now.weights
@@ -264,12 +282,13 @@ def _offsets(text: str, chance: np.ndarray) -> str:
     if not (chance >= 0.5).any():
         return ""
     spans, last = [], -2
-    for k, m in enumerate(_TOKEN.finditer(text)):
+    places = ((m.start() + a, m.start() + z) for m in _TOKEN.finditer(text) for a, z in _cuts(m.group()))
+    for k, (start, end) in enumerate(places):
         if chance[k] >= 0.5:
             if last == k - 1:
-                spans[-1][1] = m.end()
+                spans[-1][1] = end
             else:
-                spans.append([m.start(), m.end()])
+                spans.append([start, end])
             last = k
     return ",".join(f"{a}:{b}" for a, b in spans)
 

@@ -68,3 +68,29 @@ def test_odd_rows(spark):
     assert by[3].spans and by[102].spans.endswith(str(30000 * 8 + 24))
     assert toxicity.score_toxicity(df.filter("false"), labels).count() == 0
     assert {r.score for r in toxicity.score_toxicity(df, labels.filter("false")).collect()} == {0.0}
+
+
+def test_words_without_blanks_all_count(spark):
+    """Toxic words behind the first eight of a text without blanks, in training and in scoring."""
+    rows = [(i, "you awful grubbit person" if i % 2 else "a fine calm day of walking", 0.0, 1) for i in range(40)]
+    calm = ",".join(["walking"] * 40)
+    joined = f"{calm},you,awful,grubbit,person"
+    rows += [(100, calm, 0.0, 1), (101, joined, 0.0, 1), (102, f"{calm} {joined} {calm}", 0.0, 1)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    by = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert by[101].score > 2 * by[100].score and not by[100].spans
+    for doc_id in (101, 102):
+        (a, b), = [map(int, span.split(":")) for span in by[doc_id].spans.split(",")]
+        assert "grubbit" in rows[40 + doc_id - 100][1][a:b] and b - a < 80
+
+
+def test_tokens_and_their_places_agree():
+    texts = ["", " a  b ", "x/" * 50, "..." * 30, "İ" * 30 + " 1.2.3.4.5.6.7.8.9 short " + "一二，三" * 20, "a-" * 16 + "\x85" + "b:" * 9]
+    for text in texts:
+        tokens = toxicity.tokens_of(text)
+        whole = toxicity._offsets(text, np.ones(len(tokens)))
+        a, b = map(int, (whole or "0:0").split(":"))
+        assert text[a:b] == text.strip() and "".join(tokens) == "".join(text.lower().split())
+        found = [toxicity._offsets(text, np.eye(len(tokens))[k]) for k in range(len(tokens))]
+        assert [text[int(a) : int(b)].lower() for a, b in (x.split(":") for x in found)] == tokens
+    assert len(toxicity.features(",".join("abcdefghijkl"))) == 3 * 12 + 1
