@@ -28,6 +28,7 @@ DIMENSIONS = 1 << 16
 ROUNDS = 20
 KEEP = 0.5
 CACHED = 200_000
+RUN = 100
 JUNK, ABSTAIN, CLEAN = 0, 1, 2
 
 #: Classes of the first 256 code points: letter in lower case or caseless, upper case, digit, white space, other; the rest are letters.
@@ -44,6 +45,8 @@ class Measures:
         self.letters = max(1, int(kinds[0] + kinds[1] + (points >= 256).sum()))
         self.upper, self.digits, self.symbols = int(kinds[1]), int(kinds[2]), int(kinds[4])
         self.words = text.split()
+        #: Distinct words of each run of RUN words, summed over all runs.
+        self.fresh = sum(len(set(self.words[k : k + RUN])) for k in range(0, len(self.words), RUN))
         self.lines = [line for line in text.split("\n") if line.strip()]
 
 
@@ -82,7 +85,7 @@ def variety(m: Measures) -> int:
     """Few distinct words among each hundred, so length does not count."""
     if len(m.words) < 20:
         return ABSTAIN
-    return _over(1 - sum(len(set(m.words[k : k + 100])) for k in range(0, len(m.words), 100)) / len(m.words), 0.5)
+    return _over(1 - m.fresh / len(m.words), 0.5)
 
 
 def line_copies(m: Measures) -> int:
@@ -108,16 +111,16 @@ def sentences(m: Measures) -> int:
 def prose(m: Measures) -> int:
     """Sentences with the punctuation of prose and changing words; anything else says nothing."""
     usual = len(m.words) >= 10 and 0.02 <= _sentence_share(m) <= 0.4 and m.symbols / m.chars <= 0.05
-    return CLEAN if usual and len(set(m.words[:100])) >= 0.6 * len(m.words[:100]) else ABSTAIN
+    return CLEAN if usual and m.fresh >= 0.6 * len(m.words) else ABSTAIN
 
 
 def plain_words(m: Measures) -> int:
-    """Words of usual length, nearly all of them letters but for a mark at the end, in lines that differ."""
+    """Words of usual length, nearly all of them letters but for a mark at the end, changing, in lines that differ."""
     if len(m.words) < 3:
         return ABSTAIN
     size = sum(map(len, m.words)) / len(m.words)
     plain = sum(w.isalpha() or w[:-1].isalpha() for w in m.words) / len(m.words)
-    return CLEAN if 2.5 <= size <= 9 and plain >= 0.9 and len(set(m.words)) > 0.5 * min(len(m.words), 100) and len(set(m.lines)) > 0.6 * len(m.lines) else ABSTAIN
+    return CLEAN if 2.5 <= size <= 9 and plain >= 0.9 and m.fresh > 0.5 * len(m.words) and len(set(m.lines)) > 0.6 * len(m.lines) else ABSTAIN
 
 
 LABELLERS: tuple[Callable[[Measures], int], ...] = (

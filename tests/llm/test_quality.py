@@ -51,3 +51,14 @@ def test_rows_and_columns(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(3) == 2 and None in ids and set(range(40)) <= set(ids) and 53 in ids
     assert quality.keep_clean(df.filter("false")).count() == 0
+
+
+def test_repeats_after_a_varied_opening():
+    """Variety is judged over the whole text, not over its first hundred words."""
+    opening = [f"{a}{b}" for a in ("river", "mill", "flood", "stone", "quiet") for b in "abcdefghijklmnopqrst"]
+    ended = [w + "." if k % 10 == 9 else w for k, w in enumerate(opening)]
+    text = " ".join(ended + "the wheel stands still again.".split() * 300)
+    votes = dict(zip(quality.LABELLERS, quality.votes_of(quality.pattern(text)), strict=True))
+    assert votes[quality.prose] == votes[quality.plain_words] == quality.ABSTAIN
+    votes = dict(zip(quality.LABELLERS, quality.votes_of(quality.pattern(" ".join(ended))), strict=True))
+    assert votes[quality.prose] == votes[quality.plain_words] == quality.CLEAN
