@@ -29,6 +29,7 @@ ROUNDS = 20
 KEEP = 0.5
 CACHED = 200_000
 RUN = 100
+PIECE = 40
 JUNK, ABSTAIN, CLEAN = 0, 1, 2
 
 #: Classes of the first 256 code points: letter in lower case or caseless, upper case, digit, white space, other; the rest are letters.
@@ -182,11 +183,14 @@ _KIND_OF, _LONG_RUN = _Kinds(), re.compile(r"(.)\1{3,}", re.DOTALL)
 
 def _shape(word: str) -> str:
     """The word's pattern of letters, digits and others, runs cut to three."""
-    return _LONG_RUN.sub(r"\1\1\1", word[:40].translate(_KIND_OF))
+    return _LONG_RUN.sub(r"\1\1\1", word.translate(_KIND_OF))
 
 
 class Hasher:
-    """Texts to sparse features: words, their shapes, their ends, and whether a word repeats the one before."""
+    """Texts to sparse features: words, their shapes, their ends, and whether a word repeats the one before.
+
+    A word of more than PIECE characters is as many words of PIECE characters, and a rest, as it takes.
+    """
 
     def __init__(self):
         self.known: dict[str, tuple[int, int, int]] = {}
@@ -196,8 +200,12 @@ class Hasher:
         if len(self.known) > CACHED:
             self.known = {}
         known = self.known
-        for word in [w for w in set(words) if w not in known]:
-            parts = ("w" + word[:40], "s" + _shape(word), "e" + word[-2:])
+        new = [w for w in set(words) if w not in known]
+        if any(len(w) > PIECE for w in new):  # such words are never among the known
+            words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+            new = [w for w in set(words) if w not in known]
+        for word in new:
+            parts = ("w" + word, "s" + _shape(word), "e" + word[-2:])
             known[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % DIMENSIONS for p in parts)
         if not words:
             return np.empty(0, np.int64), np.empty(0)

@@ -62,3 +62,17 @@ def test_repeats_after_a_varied_opening():
     assert votes[quality.prose] == votes[quality.plain_words] == quality.ABSTAIN
     votes = dict(zip(quality.LABELLERS, quality.votes_of(quality.pattern(" ".join(ended))), strict=True))
     assert votes[quality.prose] == votes[quality.plain_words] == quality.CLEAN
+
+
+def test_a_text_without_blanks_counts_whole():
+    """Features of a long token come from all of it; those of other words are as they were."""
+    hasher, opening = quality.Hasher(), "a" * 40
+    same, other = (dict(zip(*map(list, hasher(opening + rest * 50 + "zz")), strict=True)) for rest in ("junk$", "mill."))
+    assert same.keys() != other.keys()
+    token = "".join(f"{k:05d}-" for k in range(1000))
+    ids, _ = hasher(token)
+    crc = lambda part: quality.zlib.crc32(part.encode()) % quality.DIMENSIONS
+    assert {crc("w" + token[k : k + 40]) for k in range(0, 6000, 40)} <= set(ids.tolist())
+    short = hasher("a quiet river " + "x" * 40)
+    assert np.allclose(hasher("a quiet river " + "x" * 40)[1], short[1]) and crc("w" + "x" * 40) in short[0]
+    assert np.array_equal(hasher("y" * 40 + "river")[0], hasher("y" * 40 + " river")[0])
