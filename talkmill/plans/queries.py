@@ -265,11 +265,23 @@ def interaction_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An uploaded CSV that has neither ids nor languages: ids are positions in its one file."""
+    """An uploaded CSV that has neither ids nor languages, in parts by ``doc_id``.
+
+    Ids are positions in the parts laid end to end: a row's position in its own part, and the rows of all parts before it.
+    """
     folder = shared_folder(spark, "bare")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(1).sortWithinPartitions("doc_id")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     CSV.write_csv(rows.select("text"), folder)
-    return CSV.upload_csv_rows(spark, folder).select("conversation_id", "text", "language")
+    # one small row for each part comes to the driver; parts are named in the order of their ranges
+    sizes = CSV.read_csv(spark, folder).groupBy("__file").count().orderBy("__file").collect()
+    before = np.cumsum([0, *[r["count"] for r in sizes]]).tolist()
+    parts = spark.createDataFrame(
+        [(r["__file"], n) for r, n in zip(sizes, before, strict=False)], "source_file string, before long"
+    )
+    own = F.substring_index("conversation_id", "_", -1).cast("long")
+    return CSV.upload_csv_rows(spark, folder).join(F.broadcast(parts), "source_file").select(
+        F.concat(F.lit("row_"), (own + F.col("before")).cast("string")).alias("conversation_id"), "text", "language"
+    )
 
 
 # Scores and labels
@@ -878,7 +890,7 @@ def analyze_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upload analysis of a folder of JSON files and one of CSV without ids and languages."""
     folder = shared_folder(spark, "upload")
     export_files(spark, sf_dir, f"{folder}/exports")
-    bare = planted_clean(spark, sf_dir).select("text").coalesce(1)
+    bare = planted_clean(spark, sf_dir).select("text")
     CSV.write_csv(bare, f"{folder}/rows.csv")
     _, metrics = jobs.analyze(spark, [f"{folder}/exports", f"{folder}/rows.csv"], limits=False)
     fields = upload_fields(metrics)

@@ -48,3 +48,16 @@ def test_query_matches_its_sql(spark, name):
     rows = sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect())))
     picked = ", ".join(f'"{c}"' for c in columns)
     assert rows == sorted(map(str, expected.project(picked).fetchall()))
+
+
+def test_positions_run_on_over_the_parts_of_an_upload(spark, tmp_path, monkeypatch):
+    from talkmill.plans import queries
+
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_query_matches_its_sql(spark, "default_fill")
+        test_query_matches_its_sql(spark, "analyze_job")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "bare").glob("part-*.csv"))) > 1
