@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_filter
+from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.suffix_query,
     "op9_jaccard_join": jaccard.jaccard_query,
     "op10_order_minhash": order_minhash.fingerprint_query,
+    "op13_packing": packing.packing_query,
 }
 
 #: All pairs that share a shingle, and all that links reach: for tables of a few thousand documents.
