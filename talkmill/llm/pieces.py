@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: Texts longer than this are handled in parts that end at a border.
 PART = 2_000_000
 #: Pieces to encode are joined to strings of about so many characters.
@@ -67,3 +69,25 @@ def batched(pieces: list[str]) -> Iterator[list[str]]:
             together, size = [], 0
     if together:
         yield together
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter of byte-level vocabularies for every byte: its own if visible, else the next from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
+def byte_entries(tokenizer) -> list[bytes]:
+    """The bytes of every entry of a byte-level tokenizer, by id; those of an added one are its string's."""
+    letters = byte_letters()
+    added = {number: token.content for number, token in tokenizer.get_added_tokens_decoder().items()}
+    entries = tokenizer.get_vocab(with_added_tokens=True)
+    raw = [b""] * (max(entries.values()) + 1)
+    for entry, number in entries.items():
+        raw[number] = added[number].encode() if number in added else bytes(letters[c] for c in entry)
+    return raw
+
+
+def byte_widths(tokenizer) -> np.ndarray:
+    return np.array([len(entry) for entry in byte_entries(tokenizer)], np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import bpe, decontam, jaccard, line_windows, order_minhash, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
+from talkmill.llm import alignment, bpe, collocations, decontam, jaccard, line_windows, order_minhash, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.suffix_query,
     "op9_jaccard_join": jaccard.jaccard_query,
     "op10_order_minhash": order_minhash.fingerprint_query,
+    "op11_alignment": alignment.alignment_query,
+    "op12_collocations": collocations.collocations_query,
     "op13_packing": packing.packing_query,
 }
 
@@ -50,4 +52,5 @@ ORACLE = {
     "op3_secret_scan": secret_scan.secrets_sql(),
     "op7_line_dedup": line_windows.LINE_DEDUP_SQL,
     "op9_jaccard_join": JACCARD_SQL,
+    "op12_collocations": collocations.COLLOCATIONS_SQL,
 }
