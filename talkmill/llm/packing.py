@@ -29,17 +29,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from talkmill.llm.components import written
-from talkmill.llm.pieces import batched, cut, parts
+from talkmill.llm.pieces import JOINED, byte_widths, parts
 from talkmill.llm.rows import narrow
 
 CAPACITY = 2048
 END = 0
-#: Pieces of text kept with their ids in a task; beyond it the cache is emptied.
+#: Words kept with their ids in a task; beyond it the cache is emptied.
 CACHED = 600_000
 
 
 class Encoder:
-    """Token ids of whole texts, each distinct piece between safe borders encoded once."""
+    """Token ids of whole texts, each distinct word behind a blank encoded once.
+
+    A blank before a character that is not white space opens a word of the tokenizer's pattern, so what follows it does not
+    depend on what came before. Texts with a blank before other white space or at their end are encoded whole.
+    """
 
     def __init__(self, definition: str):
         import os
@@ -48,29 +52,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.width = byte_widths(self.tokenizer)
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {"": b""}
+        self.uneven: set[str] = set()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Pieces joined behind each other keep their borders, so many are encoded in one call."""
-        joined = list(batched(new))
-        for pieces, found in zip(joined, self.tokenizer.encode_batch(["".join(p) for p in joined], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            if len(pieces) == 1:
-                self.known[pieces[0]] = ids.tobytes()
-                continue
-            starts = np.array([start for start, _ in found.offsets])
-            edges = np.searchsorted(starts, np.cumsum([0] + [len(p) for p in pieces])).tolist()
-            for piece, a, b in zip(pieces, edges[:-1], edges[1:], strict=True):
-                self.known[piece] = ids[a:b].tobytes()
+        """Words joined behind each other are encoded in one call and told apart by the bytes of their tokens."""
+        groups, size = [[]], 0
+        for word in new:
+            if not word or word[0].isspace():
+                self.uneven.add(word)
+            elif word[-1].isspace():
+                groups.append([word])
+                groups.append([])
+            else:
+                groups[-1].append(word)
+                size += len(word)
+                if size > JOINED:
+                    groups.append([])
+                    size = 0
+        groups = [words for words in groups if words]
+        for words, raw in zip(groups, self.whole([" " + " ".join(words) for words in groups]), strict=True):
+            ends = np.cumsum(self.width[np.frombuffer(raw, "<u4")])
+            edges = (4 * np.searchsorted(ends, np.cumsum([0] + [len(w.encode()) + 1 for w in words])[1:]) + 4).tolist()
+            start = 0
+            for word, end in zip(words, edges, strict=True):
+                self.known[word] = raw[start:end]
+                start = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [[piece for part in parts(text) for piece in cut(part)] for text in texts]
         if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        self.learn(list(dict.fromkeys(piece for pieces in split for piece in pieces if piece not in known)))
-        return [b"".join([known[piece] for piece in pieces]) for pieces in split]
+            self._clear()
+        rows = [(n, *part.split(" ")) for n, text in enumerate(texts) for part in parts(text)]
+        known, heads = self.known, self.heads
+        new: set[str] = set()
+        for row in rows:
+            new.update(row[2:])
+        self.learn([word for word in new if word not in known and word not in self.uneven])
+        first = list({row[1] for row in rows if row[1] not in heads})
+        heads.update(zip(first, self.whole(first), strict=True))
+        out, plain = [[] for _ in texts], [True] * len(texts)
+        for n, head, *words in rows:
+            if self.uneven.isdisjoint(words) and not head[-1:].isspace():
+                out[n] += [heads[head], *map(known.__getitem__, words)]
+            else:
+                plain[n] = False
+        odd = [n for n, even in enumerate(plain) if not even]
+        for n, raw in zip(odd, self.whole([texts[n] for n in odd]), strict=True):
+            out[n] = [raw]
+        return [b"".join(ids) for ids in out]
 
 
 def cut_document(size: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
