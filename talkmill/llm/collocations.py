@@ -9,7 +9,7 @@ phrase's own stripe) and to the left (the maximum over entries that end in the p
 What a level counts is narrowed by the one before: a phrase is seen at least MIN times only if both the phrase
 without its last word and the one without its first are. Tasks test this on a bitmap of BITS bits,
 broadcast, whose size never changes; a full one narrows less, but counts are exact and the threshold
-is applied to them. The stripe of a prefix seen HOT times or more, which a second bitmap tells, is dealt out by its next
+is applied to them. In a task words are told apart by hashes of 64 bits, between tasks by their letters. The stripe of a prefix seen HOT times or more, which a second bitmap tells, is dealt out by its next
 words, so no prefix is gathered whole. Tasks hold at most ROWS phrases and WORDS words, then pass on what they counted.
 
 Scores multiply counts as decimals of 38 digits. Whether a longer phrase takes in a shorter one
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from talkmill.llm.components import written
 from talkmill.llm.rows import text_or_empty
@@ -39,10 +39,12 @@ TOP = 2000
 BITS = 26
 HOT = 100_000
 SHARDS = 64
-ROWS = 4_000_000
-WORDS = 800_000
+ROWS = 1_500_000
+WORDS = 400_000
 #: Bytes of text cut into words at a time.
-BLOCK = 8_000_000
+BLOCK = 2_000_000
+#: Words of more bytes are hashed one by one.
+LONG = 64
 UNKNOWN = "und"
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -57,22 +59,63 @@ def _turned(x: np.ndarray, by: int) -> np.ndarray:
     return x if not by else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _turned_column(x: str, by: str) -> str:
-    return f"(shiftleft({x}, {by}) | shiftrightunsigned({x}, 64 - {by}))"
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
-def phrase_hash(language: str = "lang", phrase: str = "phrase") -> Column:
-    """Hash of a phrase in a language: exclusive or of its words' hashes, each turned by its place."""
-    own = _turned_column("xxhash64(x)", f"(i * {_TURN} % 64)")
-    start = _turned_column(f"xxhash64({language})", str(_LANGUAGE_TURN))
-    return F.expr(f"aggregate(transform(split({phrase}, ' ', -1), (x, i) -> {own}), {start}, (a, b) -> a ^ b)")
+def text_hash(raw: bytes) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(raw)
 
-def word_hash(raw: bytes) -> int:
-    """Spark's xxhash64 of the same string."""
-    import xxhash
 
-    return xxhash.xxh64_intdigest(raw, 42)
+class Hasher:
+    """Finds the words of a folded block and hashes all at once, as polynomials over their bytes modulo 2**64."""
+
+    _BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) <= size:
+            steps = np.full(size + 1, self._BASE, np.uint64)
+            steps[0] = 1
+            self.powers = np.cumprod(steps, dtype=np.uint64)
+            steps[1:] = pow(self._BASE, -1, 1 << 64)
+            self.inverse = np.cumprod(steps, dtype=np.uint64)
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where words begin and end, the number of their piece, and their hashes."""
+        letters = np.frombuffer(data, np.uint8)
+        ends_piece = letters == 10
+        blank = np.ones(len(letters) + 2, bool)
+        blank[1:-1] = ends_piece | (letters == 32)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        piece = np.searchsorted(np.flatnonzero(ends_piece), starts)
+        self._grow(len(letters))
+        sums = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * self.powers[: len(letters)], out=sums[1:])
+        hashes = _mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > LONG):
+            hashes[k] = text_hash(data[starts[k] : ends[k]])
+        return starts, ends, piece, hashes
+
+
+def phrase_hashes(hashes: np.ndarray, length: int, begin: np.uint64) -> np.ndarray:
+    """Hash of the words from each place on: exclusive or of the words' hashes, each turned by its place, and the language's."""
+    count = len(hashes) - length + 1
+    whole = np.full(max(count, 0), begin, np.uint64)
+    for k in range(length):
+        whole ^= _turned(hashes[k : k + count], k * _TURN)
+    return whole
+
+
+def language_hash(language: str) -> np.uint64:
+    return _turned(np.array([text_hash(language.encode())], np.uint64), _LANGUAGE_TURN)[0]
 
 
 def blocks(data: bytes, most: int = BLOCK) -> Iterator[bytes]:
@@ -85,26 +128,6 @@ def blocks(data: bytes, most: int = BLOCK) -> Iterator[bytes]:
         start = end + 1
 
 
-class Words(dict):
-    """Numbers of words, given out as they are met, and the words' hashes."""
-
-    def __init__(self):
-        self.names: list[bytes] = []
-        self.hashes = np.empty(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        return number
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        new = self.names[len(self.hashes) :]
-        if new:
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), np.uint64, len(new))])
-        return out
-
-
 @dataclass
 class Known:
     """What the level before found: bits of frequent phrases, then bits of hot ones."""
@@ -127,53 +150,62 @@ class Stripes:
     def __init__(self, length: int, known: Known | None):
         self.length, self.known = length, known
         self.languages: dict[str, int] = {}
+        self.hasher = Hasher()
         self._clear()
 
     def _clear(self) -> None:
-        self.words = Words()
+        self.number: dict[int, int] = {}
+        self.names: list[bytes] = []
         self.rows = [np.empty((0, self.length + 1), np.int32)]
         self.counts = [np.empty(0, np.int64)]
         self.held = 0
 
-    def _start(self, language: str) -> np.uint64:
-        return _turned(np.array([word_hash(language.encode())], np.uint64), _LANGUAGE_TURN)[0]
+    def _numbers(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words in this task, given out as they are met."""
+        out = np.empty(len(hashes), np.int64)
+        for k, h in enumerate(hashes.tolist()):
+            number = self.number.get(h)
+            if number is None:
+                number = self.number[h] = len(self.names)
+                self.names.append(data[starts[k] : ends[k]])
+            out[k] = number
+        return out
 
     def add(self, language: str, data: bytes) -> Iterator:
         """Counts a block of folded text; yields batches when the bound is met."""
-        words = data.split()
-        if words:
-            ids = self.words.numbers(words)
-            at = self._places(language, data, ids)
-            rows = np.empty((len(at), self.length + 1), np.int32)
-            rows[:, 0] = self.languages.setdefault(language, len(self.languages))
+        starts, ends, piece, hashes = self.hasher(data)
+        if self.length == 1:
+            distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+            words = self._numbers(data, distinct, starts[first], ends[first])[:, None]
+        else:
+            at = self._places(language, piece, hashes)
+            used = np.zeros(len(hashes), bool)
             for k in range(self.length):
-                rows[:, k + 1] = ids[at + k]
-            self.rows.append(rows)
-            self.counts.append(np.ones(len(at), np.int64))
-            self.held += len(at)
-        if self.held > ROWS or len(self.words.names) > WORDS:
+                used[at + k] = True
+            place = np.cumsum(used) - 1
+            used = np.flatnonzero(used)
+            distinct, first, inverse = np.unique(hashes[used], return_index=True, return_inverse=True)
+            numbers = self._numbers(data, distinct, starts[used[first]], ends[used[first]])[inverse] if len(used) else inverse
+            words = np.stack([numbers[place[at + k]] for k in range(self.length)], axis=1)
+            counts = np.ones(len(at), np.int64)
+        rows = np.empty((len(words), self.length + 1), np.int32)
+        rows[:, 0] = self.languages.setdefault(language, len(self.languages))
+        rows[:, 1:] = words
+        self.rows.append(rows)
+        self.counts.append(counts)
+        self.held += len(rows)
+        if self.held > ROWS or len(self.names) > WORDS:
             self._merge()
-            if self.held > ROWS // 2 or len(self.words.names) > WORDS:
+            if self.held > ROWS // 2 or len(self.names) > WORDS:
                 yield from self.flush()
 
-    def _places(self, language: str, data: bytes, ids: np.ndarray) -> np.ndarray:
+    def _places(self, language: str, piece: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Where the phrases to count begin."""
-        if self.length == 1:
-            return np.arange(len(ids))
-        letters = np.frombuffer(data, np.uint8)
-        ends = letters == 10
-        blank = ends | (letters == 32)
-        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        piece = np.searchsorted(np.flatnonzero(ends), starts)
         shorter = self.length - 1
-        count = len(ids) - shorter
+        count = len(hashes) - shorter
         if count <= 0:
             return np.empty(0, np.int64)
-        hashes = self.words.hashes[ids]
-        whole = np.full(count + 1, self._start(language), np.uint64)
-        for k in range(shorter):
-            whole ^= _turned(hashes[k : k + count + 1], k * _TURN)
-        good = self.known.frequent(whole)
+        good = self.known.frequent(phrase_hashes(hashes, shorter, language_hash(language)))
         return np.flatnonzero(good[:-1] & good[1:] & (piece[:count] == piece[shorter:]))
 
     def _merge(self) -> None:
@@ -183,11 +215,11 @@ class Stripes:
             return
         key, most = rows[:, 0].astype(np.int64), len(self.languages)
         for k in range(1, self.length + 1):
-            if most * len(self.words.names) >= 1 << 62:
+            if most * len(self.names) >= 1 << 62:
                 found, key = np.unique(key, return_inverse=True)
                 most = len(found)
-            key = key * len(self.words.names) + rows[:, k]
-            most *= len(self.words.names)
+            key = key * len(self.names) + rows[:, k]
+            most *= len(self.names)
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -203,16 +235,16 @@ class Stripes:
         rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
         if not len(rows):
             return
-        names = pa.array(self.words.names, pa.string())
+        names = pa.array(self.names, pa.string())
+        hashes = np.fromiter(self.number, np.uint64, len(self.number))
         languages = pa.array(list(self.languages), pa.string())
         prefix = rows[:, :-1]
         change = np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(axis=1)])
-        shard = (self.words.hashes[rows[:, -1]] % np.uint64(SHARDS)).astype(np.int32)
+        shard = (hashes[rows[:, -1]] % np.uint64(SHARDS)).astype(np.int32)
         if self.length > 1:
-            starts = np.array([self._start(language) for language in self.languages], np.uint64)
-            whole = starts[prefix[:, 0]]
+            whole = np.array([language_hash(language) for language in self.languages], np.uint64)[prefix[:, 0]]
             for k in range(1, self.length):
-                whole = whole ^ _turned(self.words.hashes[prefix[:, k]], (k - 1) * _TURN)
+                whole = whole ^ _turned(hashes[prefix[:, k]], (k - 1) * _TURN)
             shard[~self.known.hot(whole)] = 0
         group = np.cumsum(change)
         order = np.lexsort((shard, group))
@@ -266,11 +298,25 @@ def stripes(docs: DataFrame, length: int, known: np.ndarray | None = None) -> Da
     return dealt.groupBy("lang", "prefix", "shard", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("f")).drop("shard")
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray | None:
-    """Bits of the phrases' hashes, put together by Spark in segments; None without any phrase."""
-    slot = F.shiftrightunsigned(phrase_hash(), 64 - BITS)
-    hot = frequent.filter(F.col("f") >= HOT).select((slot + (1 << BITS)).alias("slot"))
-    slots = frequent.select(slot.alias("slot")).union(hot)
+def _bitmap(frequent: DataFrame, length: int) -> np.ndarray | None:
+    """Bits of the hashes of phrases of one length, put together by Spark in segments; None without any phrase."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        hasher = Hasher()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            language, phrase, f = (batch.column(k).to_pylist() for k in range(3))
+            hashes = hasher("\n".join(phrase).encode())[3]
+            begins = np.array([language_hash(x) for x in language], np.uint64)
+            whole = phrase_hashes(hashes, length, np.uint64(0))[::length] ^ begins
+            slots = (whole >> np.uint64(64 - BITS)).astype(np.int64)
+            hot = slots[np.array(f) >= HOT] + (1 << BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([slots, hot]))], ["slot"])
+
+    slots = frequent.select("lang", "phrase", "f").mapInArrow(task, "slot long")
     parts = slots.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits"))
     found = parts.collect()
     if not found:
@@ -292,7 +338,7 @@ def frequent_phrases(docs: DataFrame, least: int = MIN, longest: int = LONGEST)
             totals = level.filter("prefix is null").select("lang", F.col("f").alias("n"))
             level = level.filter("prefix is not null")
         levels.append(level)
-        known = _bitmap(level) if length < longest else None
+        known = _bitmap(level, length) if length < longest else None
         if known is None:
             break
     frequent = levels[0]
