@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -33,14 +34,30 @@ def test_parts_and_pieces_join_to_the_text():
         assert sum(map(pieces.cut, pieces.parts(text, 7)), []) == pieces.cut(text)
 
 
-def test_ids_are_those_of_the_library_on_whole_texts(library, monkeypatch):
-    texts = [*EDGES, *strange(random.Random(2))]
+@pytest.mark.parametrize("ranked", [True, False])
+def test_ids_are_those_of_the_library_on_whole_texts(library, monkeypatch, ranked):
+    rng = random.Random(2)
+    texts = [*EDGES, *strange(rng), *("".join(rng.choices("aeioürstn'1.,-\n ", k=200)) for _ in range(300))]
     with open(PATH, encoding="utf-8") as file:
-        encoder = packing.Encoder(file.read())
+        definition = file.read()
+    ranks = packing.merge_ranks(definition)
+    assert len(ranks) == 50_256
+    encoder = packing.Encoder(definition, ranks, public_tokenizers.PATTERN) if ranked else packing.Encoder(definition)
     monkeypatch.setattr(packing, "CACHED", 50)
-    for group in (texts, texts[:40]):
-        for text, raw in zip(group, encoder(group), strict=True):
-            assert [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw), 4)] == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for group in (texts, texts[:40], texts[30:]):
+        for text, ids in zip(group, encoder(group), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ranks_are_refused_where_they_would_merge_otherwise():
+    letters = {c: n for n, c in enumerate(pieces.byte_letters())}
+
+    def definition(*merges):
+        return json.dumps({"model": {"type": "BPE", "vocab": letters | {a + b: 256 + n for n, (a, b) in enumerate(merges)}, "merges": merges}})
+
+    assert packing.merge_ranks(definition(("a", "b"), ("ab", "c")))
+    # "abc" itself comes to "ab", "c", which has no merge.
+    assert packing.merge_ranks(definition(("a", "b"), ("b", "c"), ("a", "bc"))) is None
 
 
 def expand(runs):
@@ -145,7 +162,7 @@ def test_cutting():
 def test_rows(spark, library):
     texts = dict(enumerate([None, "", "one", "two words here", "long " * 200, "x" * 3000, *strange(random.Random(6), 60)], 2**60))
     df = spark.createDataFrame([(k, v, "x", 1) for k, v in texts.items()], "doc_id long, text string, task string, nth int").repartition(5)
-    used = check(packing.pack(df, PATH, 64).collect(), texts, library, 64)
+    used = check(packing.pack(df, PATH, public_tokenizers.PATTERN, 64).collect(), texts, library, 64)
     total = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values())
     assert used <= -(-total // 64) + 3
     assert packing.pack(df.filter("false"), PATH).count() == 0
