@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the bytes of each text.
 
 Side A is a byte-level BPE file of the tokenizers library, side B a sentencepiece model with byte fallback, which
-itself puts a blank in front; A is given that blank. A's character offsets and the byte spans of sentencepiece's
-encoded message (the class that came after its immutable proto) are coarse cuts: the end of a token counts as known
+itself puts a blank in front; A is given that blank. A's character offsets and the byte spans of sentencepiece (its
+offset mapping, which took the place of the immutable proto) are coarse cuts: the end of a token counts as known
 where its span is as long as its decoded bytes. Where it is not, within a character of several bytes, at byte-fallback tokens and
 at the blank put in front, the end follows from the last known one and the decoded bytes between. Byte offsets
 at which a token of A and one of B end cut both into groups; every token of A in a group is linked to every one of B.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -32,9 +33,9 @@ from talkmill.llm.rows import narrow
 
 HEAVY = 400_000
 #: Pieces kept with their groups in a task; beyond it the cache is emptied.
-CACHED = 400_000
+CACHED = 600_000
 #: Texts, or parts of long ones, of so many characters are added up together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Distinct pairs a task holds while it counts documents.
 COUNTED = 2_000_000
 
@@ -55,6 +56,10 @@ def _each(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(starts - before, counts)
 
 
+def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+
+
 _NONE = np.empty(0, np.int64)
 #: What a piece has whose bytes its tokens do not give.
 _UNFIT = [""], np.zeros((1, 5), np.int64), _NONE, _NONE, np.zeros(1, np.int64)
@@ -66,6 +71,7 @@ class Side:
     def __init__(self, raw: list[bytes]):
         self.raw = raw
         self.size = len(raw)
+        self.shown = list(map(str, range(len(raw))))
         self.width = np.array([len(r) for r in raw], np.int64)
 
     def ends(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -90,15 +96,14 @@ class ByteLevel(Side):
         self.tokenizer.encode_special_tokens = True
         super().__init__(byte_entries(self.tokenizer))
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for text, found in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.int64)
-            spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-            if not text.isascii():
-                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-                spans = np.concatenate([[0], np.cumsum(widths)])[spans]
-            yield ids, self.ends(ids, spans[:, 0], spans[:, 1])
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids, spans = np.array(found.ids, np.int64), _spans(found.offsets)
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            spans = np.concatenate([[0], np.cumsum(widths)])[spans]
+        return ids, self.ends(ids, spans[:, 0], spans[:, 1])
 
 
 class Pieces(Side):
@@ -110,11 +115,10 @@ class Pieces(Side):
         super().__init__([bytes([int(e[3:5], 16)]) if self.model.is_byte(n) else e.replace("▁", " ").encode() for n, e in enumerate(entries)])
         self.safe = safe_for(entries)
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for text in texts:
-            message = self.model.encode(text[1:], return_type="proto")
-            found = np.array([(p.id, p.begin, p.end) for p in message.pieces], np.int64).reshape(-1, 3)
-            yield found[:, 0], self.ends(found[:, 0], found[:, 1] + 1, found[:, 2] + 1)
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        ids, spans = np.array(found["ids"], np.int64), _spans(found["offsets"]) + 1
+        return ids, self.ends(ids, spans[:, 0], spans[:, 1])
 
 
 class Aligner:
@@ -126,6 +130,7 @@ class Aligner:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.uneven: set[str] = set()
         self.shown: list[str] = []
         #: tokens of A, tokens of B, groups, links, and whether the bytes fit, for each piece.
         self.stats = np.empty((0, 5), np.int64)
@@ -133,27 +138,24 @@ class Aligner:
         self.counts = np.empty(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        groups = list(batched(new))
-        texts = ["".join(pieces) for pieces in groups]
+        """New pieces, the blank in front left out."""
         stats, pairs, times, counts = [self.stats], [self.pairs], [self.times], [self.counts]
-        for pieces, text, own, other in zip(groups, texts, self.a(texts), self.b(texts), strict=True):
-            joined = self._aligned(pieces, text.encode(), own, other)
-            results = [(pieces, joined)] if joined else [([piece], self._alone(piece)) for piece in pieces]
+        for pieces in batched([" " + piece for piece in new]):
+            joined = self._aligned(pieces)
+            results = [(pieces, joined)] if joined else [([piece], self._aligned([piece])) for piece in pieces]
             for some, found in results:
                 shown, *arrays = found or _UNFIT
-                for piece in some:
-                    self.number[piece] = len(self.number)
+                self.number.update(zip([piece[1:] for piece in some], range(len(self.shown), len(self.shown) + len(some)), strict=True))
                 self.shown += shown
                 for kept, part in zip((stats, pairs, times, counts), arrays, strict=True):
                     kept.append(part)
         self.stats, self.pairs, self.times, self.counts = map(np.concatenate, (stats, pairs, times, counts))
 
-    def _alone(self, text: str):
-        return self._aligned([text], text.encode(), *next(zip(self.a([text]), self.b([text]), strict=True)))
-
-    def _aligned(self, pieces: list[str], raw: bytes, own: tuple, other: tuple):
+    def _aligned(self, pieces: list[str]):
         """What each piece has, from the tokens of all joined; None if the tokens' bytes are not the text's."""
-        (a, a_ends), (b, b_ends) = own, other
+        text = "".join(pieces)
+        raw = text.encode()
+        (a, a_ends), (b, b_ends) = self.a(text), self.b(text)
         if not (self.a.fits(a, raw) and self.b.fits(b, raw)):
             return None
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -184,9 +186,12 @@ class Aligner:
             total = np.concatenate([[0], np.cumsum(weight)])
             bounds = np.searchsorted(piece, np.arange(many + 1))
             stats[:, column] = total[bounds[1:]] - total[bounds[:-1]]
-        left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        left, right = [self.a.shown[i] for i in a.tolist()], [self.b.shown[i] for i in b.tolist()]
         to_a, to_b = np.cumsum(count_a).tolist(), np.cumsum(count_b).tolist()
-        shown = [",".join(left[i:j]) + "|" + ",".join(right[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        shown = [
+            left[i] + "|" + right[k] if i + 1 == j and k + 1 == m else ",".join(left[i:j]) + "|" + ",".join(right[k:m])
+            for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)
+        ]
         bounds = bounds.tolist()
         return (
             [";".join(shown[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)],
@@ -196,20 +201,34 @@ class Aligner:
             np.bincount(holder, minlength=many),
         )
 
-    def cut(self, text: str) -> list[str]:
-        return cut(text) if self.b.safe else [text]
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of texts that begin with a blank, the blank in front of each left out; all are known afterwards.
+
+        Where no blank is beside other white space, the words between blanks are the pieces.
+        """
+        if not self.b.safe:
+            split, odd = [[text[1:]] for text in texts], []
+        else:
+            split = [text.split(" ")[1:] for text in texts]
+            new = set().union(*split).difference(self.number, self.uneven)
+            self.uneven.update(word for word in new if not word or word[0].isspace() or "▁" in word)
+            self.learn(list(new - self.uneven))
+            odd = [n for n, words in enumerate(split) if not self.uneven.isdisjoint(words)]
+        for n in odd:
+            split[n] = [piece[1:] for piece in cut(texts[n])]
+        self.learn(list(set().union(*(split[n] for n in (odd if self.b.safe else range(len(texts))))).difference(self.number)))
+        return split
 
     def block(self, some: list[tuple[int, str]]) -> dict[int, tuple]:
         """document → (stats, shown groups of its pieces, pairs, times) for (document, part) in order of documents."""
         if len(self.number) > CACHED:
             self._clear()
-        split = [self.cut(part) for _, part in some]
-        known = self.number
-        self.learn(list(dict.fromkeys(piece for pieces in split for piece in pieces if piece not in known)))
-        numbers = np.array([known[piece] for pieces in split for piece in pieces], np.int64)
+        split = self.cut([part for _, part in some])
+        sizes = [len(pieces) for pieces in split]
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         documents = sorted({n for n, _ in some})
         place = {n: k for k, n in enumerate(documents)}
-        doc = np.repeat([place[n] for n, _ in some], [len(pieces) for pieces in split])
+        doc = np.repeat([place[n] for n, _ in some], sizes)
         bounds = np.searchsorted(doc, np.arange(len(documents) + 1))
         sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.stats[numbers], axis=0)])
         stats = sums[bounds[1:]] - sums[bounds[:-1]]
@@ -226,13 +245,13 @@ class Aligner:
         out = {}
         for k, n in enumerate(documents):
             some_pairs = slice(pair_bounds[k], pair_bounds[k + 1])
-            shown = ";".join([self.shown[i] for i in numbers[bounds[k] : bounds[k + 1]].tolist()])
+            shown = ";".join(map(self.shown.__getitem__, numbers[bounds[k] : bounds[k + 1]].tolist()))
             out[n] = stats[k], shown, keys[some_pairs] % space, times[some_pairs]
         return out
 
     def whole(self, text: str) -> tuple | None:
         """A text that its pieces don't fit, as one piece."""
-        found = self._alone(text)
+        found = self._aligned([text])
         return found and (found[1][0], found[0][0], found[2], found[3])
 
     def documents(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
