@@ -1,26 +1,32 @@
-"""Language identification by character n-gram profiles.
+"""Language identification by rank order of character n-grams (Cavnar and Trenkle).
 
-A language's profile is its most frequent trigrams over whole texts, blanks at the
-word ends included; how many is a parameter of the model.  A text is given the
-language whose profile shares most distinct trigrams with the text, and none if no
-profile shares any.  Of a text to identify only the first 1000 characters are looked
-at, by definition.
+A profile lists a language's most frequent sequences of one to three characters, most frequent
+first; a blank stands at both ends of every word and sequences do not span two words.  A text is ranked the same way,
+and its distance to a profile is the sum, over its own listed sequences, of how far apart the two ranks are, or the
+profile size where the profile lacks one.  The nearest language is taken, the lesser code on a tie, and
+none if no profile has any sequence of the text.  All numbers are whole.  Of a text to identify only
+the first 1000 characters are looked at, by definition; profiles are trained on whole texts.
 
-Identification is row-local: the profiles are a model of a few hundred trigrams
-per language, and a text's own trigrams never leave its row.
+Identification is row-local: profiles are a model of a few hundred sequences per language, which travels with the
+tasks, and only the letters of the looked-at part go to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
-from talkmill.functions.once import let, sql_list
 
 PROFILE_SIZE = 300
 MAX_MODEL_ROWS = 100_000
 UNKNOWN = "unknown"
+#: Distinct sequences a task counts before it passes them on.
+COUNTED = 500_000
 
 # Short plain texts in the languages known without any labelled data.
 SAMPLES = {
@@ -79,24 +85,62 @@ def letters(text: Column | str) -> Column:
     return F.concat(F.lit(" "), F.btrim(words), F.lit(" "))
 
 
-def grams(text: Column | str) -> Column:
-    """All trigrams of a text; the look-ahead makes neighbours overlap."""
-    return F.regexp_extract_all(letters(text), F.lit("(?=(...))"), F.lit(1))
+def _counting(held: int):
+    """The task that counts the sequences of ``language, letters`` batches."""
+
+    def counted(letters: str) -> tuple[np.ndarray, np.ndarray]:
+        # A sequence is one number, 21 bits a character; those of different lengths never meet.
+        c = np.frombuffer(letters.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = (c[:-1] << 21) | c[1:]
+        triples = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+        blank = c == 32
+        own = [c[~blank], pairs[~(blank[:-1] & blank[1:])], triples[~blank[1:-1]]]
+        return np.unique(np.concatenate(own), return_counts=True)
+
+    def spelled(key: int) -> str:
+        out = ""
+        while key:
+            key, last = key >> 21, key & 0x1FFFFF
+            out = chr(last) + out
+        return out
+
+    def task(batches):
+        import pyarrow as pa
+
+        def passed_on():
+            rows = [(language, spelled(key), n) for language, counter in counters.items() for key, n in counter.items()]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            kinds = (pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["language", "gram", "n"])
+
+        counters: dict[str, Counter] = {}
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for language, letters in zip(batch.column("language").to_pylist(), batch.column("letters").to_pylist(), strict=True):
+                texts.setdefault(language, []).append(letters or "")
+            for language, some in texts.items():
+                keys, n = counted("".join(some))
+                counters.setdefault(language, Counter()).update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            if sum(map(len, counters.values())) > held:
+                yield passed_on()
+                counters = {}
+        yield passed_on()
+
+    return task
 
 
 def profile(
     labelled: DataFrame, language: str = "lang", text: str = "text", size: int = PROFILE_SIZE
 ) -> DataFrame:
-    """``language, rank, gram``: the most frequent trigrams of every language.
+    """``language, rank, gram``: the most frequent sequences of every language.
 
-    Counts are merged in each task before the shuffle, and the rank limit drops
-    rarer n-grams there as well.
+    Tasks count before the shuffle, so what moves grows with the letters in use, not with the texts.
     """
+    rows = labelled.filter(F.col(language).isNotNull()).select(F.col(language).alias("language"), letters(text).alias("letters"))
     counts = (
-        labelled.filter(F.col(language).isNotNull())
-        .select(F.col(language).alias("language"), F.explode(grams(text)).alias("gram"))
+        rows.mapInArrow(_counting(COUNTED), "language string, gram string, n long")
         .groupBy("language", "gram")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     by_count = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
     return (
@@ -106,11 +150,11 @@ def profile(
     )
 
 
-def model(profile_rows: DataFrame) -> dict[str, list[str]]:
-    """Profiles as a plain value, checked to be small."""
-    rows = profile_rows.select("language", "rank", "gram").limit(MAX_MODEL_ROWS + 1).collect()
-    if len(rows) > MAX_MODEL_ROWS:
-        raise ValueError(f"language profiles have at most {MAX_MODEL_ROWS} n-grams")
+def model(profile_rows: DataFrame, most: int = MAX_MODEL_ROWS) -> dict[str, list[str]]:
+    """Profiles as a plain value, checked to have at most ``most`` sequences."""
+    rows = profile_rows.select("language", "rank", "gram").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"language profiles have at most {most} n-grams")
     profiles: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["language"], r["rank"])):
         profiles.setdefault(r["language"], []).append(r["gram"])
@@ -123,19 +167,36 @@ def sample_model(spark: SparkSession) -> dict[str, list[str]]:
     return model(profile(rows))
 
 
-def identify(text: Column | str, profiles: dict[str, list[str]]) -> Column:
-    """Language of a text: most shared trigrams, the lesser code on a tie, ``unknown`` without any."""
-
-    def best(own: Column) -> Column:
-        shared = [
-            F.struct(
-                (-F.size(F.array_intersect(own, F.expr(sql_list(known))))).alias("n"),
-                F.lit(language).alias("language"),
-            )
-            for language, known in profiles.items()
-        ]
-        most = F.array_min(F.array(*shared, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("language"))))
-        return F.when(most["n"] < 0, most["language"]).otherwise(UNKNOWN)
-
-    own = F.coalesce(grams(T.detection_prefix(text)), F.array().cast("array<string>"))
-    return let(F.array_distinct(own), best)
+def identify(text: Column | str, profiles: dict[str, list[str]], size: int = PROFILE_SIZE) -> Column:
+    """Language of a text whose profile is nearest, ``unknown`` without any letters the profiles know."""
+    languages = sorted(profiles)
+    rows = {gram: n for n, gram in enumerate(dict.fromkeys(g for grams in profiles.values() for g in grams))}
+    places = np.full((len(rows) + 1, len(languages)), -1)
+    for k, language in enumerate(languages):
+        for rank, gram in enumerate(profiles[language]):
+            places[rows[gram], k] = rank
+    unknown = UNKNOWN
+
+    def ranked(letters: str) -> list[str]:
+        """The sequences of a text, most frequent first, the lesser first among equals."""
+        counts = Counter(letters)
+        del counts[" "]
+        counts.update([letters[i : i + 2] for i in range(len(letters) - 1)])
+        counts.update([letters[i : i + 3] for i in range(len(letters) - 2) if letters[i + 1] != " "])
+        names = sorted(counts)
+        names.sort(key=counts.__getitem__, reverse=True)
+        return names[:size]
+
+    def nearest(letters: pd.Series) -> pd.Series:
+        out = []
+        for given in letters:
+            own = ranked(given) if given and given.strip() else []
+            at = places[[rows.get(gram, -1) for gram in own]]
+            if not (at >= 0).any():
+                out.append(unknown)
+                continue
+            apart = np.where(at >= 0, np.abs(at - np.arange(len(own))[:, None]), size)
+            out.append(languages[int(apart.sum(axis=0).argmin())])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(nearest, "string")(letters(T.detection_prefix(text)))

@@ -133,8 +133,13 @@ def letters(c: str) -> str:
     return rf"' ' || trim(regexp_replace(lower({c}), '[^\pL]+', ' ', 'g')) || ' '"
 
 
-def grams(c: str = "l") -> str:
-    return f"list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3))"
+def grams(c: str = "c") -> str:
+    """Sequences of one to three of the characters in a list, within words."""
+    one = f"list_filter({c}, lambda x: x <> ' ')"
+    two = f"list_filter(list_transform(range(1, len({c})), lambda i: {c}[i] || {c}[i + 1]), lambda x: x <> '  ')"
+    three = f"""list_transform(list_filter(range(1, len({c}) - 1), lambda i: {c}[i + 1] <> ' '),
+        lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2])"""
+    return f"list_concat({one}, {two}, {three})"
 
 
 def profiles(source: str) -> str:
@@ -142,21 +147,29 @@ def profiles(source: str) -> str:
     return f"""
     train AS ({source}),
     gram AS (SELECT lang AS language, unnest({grams()}) AS gram
-        FROM (SELECT lang, {letters("text")} AS l FROM train WHERE lang IS NOT NULL)),
+        FROM (SELECT lang, string_split({letters("text")}, '') AS c FROM train WHERE lang IS NOT NULL)),
     counted AS (SELECT language, gram, count(*) AS n FROM gram GROUP BY ALL),
     profile AS MATERIALIZED (SELECT language, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram)
         AS rank, gram FROM counted QUALIFY rank <= {PROFILE_SIZE})"""
 
 
 IDENTIFIED = f"""
-    own AS (SELECT doc_id, text, l, unnest(list_distinct({grams()})) AS gram
-        FROM (SELECT doc_id, text, {letters("substr(text, 1, 1000)")} AS l FROM documents)),
-    shared AS (SELECT doc_id, language, count(*) AS n FROM own JOIN profile USING (gram) GROUP BY ALL),
-    best AS MATERIALIZED (SELECT doc_id, language FROM shared
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) = 1),
+    own AS (SELECT doc_id, unnest({grams()}) AS gram
+        FROM (SELECT doc_id, string_split({letters("substr(text, 1, 1000)")}, '') AS c FROM documents)),
+    own_count AS (SELECT doc_id, gram, count(*) AS n FROM own GROUP BY ALL),
+    own_rank AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank
+        FROM own_count QUALIFY rank <= {PROFILE_SIZE}),
+    code AS (SELECT DISTINCT language FROM profile),
+    apart AS (SELECT o.doc_id, k.language, count(p.rank) AS met,
+        sum(CASE WHEN p.rank IS NULL THEN {PROFILE_SIZE} ELSE abs(o.rank - p.rank) END) AS distance
+        FROM own_rank o CROSS JOIN code k LEFT JOIN profile p ON p.language = k.language AND p.gram = o.gram GROUP BY ALL),
+    best AS MATERIALIZED (SELECT doc_id, CASE WHEN max(met) OVER (PARTITION BY doc_id) > 0 THEN language END AS language
+        FROM apart QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, language) = 1),
     identified AS (SELECT d.doc_id, d.text, coalesce(b.language, 'unknown') AS language
         FROM documents d LEFT JOIN best b USING (doc_id))"""
 
+TRAINING = "SELECT * FROM documents WHERE doc_id % 5 <> 0"
+
 SAMPLE_ROWS = "SELECT * FROM (VALUES " + ", ".join(
     f"({_s(k)}, {_s(v)})" for k, v in SAMPLES.items()
 ) + ") AS s(lang, text)"
@@ -391,11 +404,13 @@ ORACLE: dict[str, str] = {
         WHEN confidence_score <= 10 THEN '6-10' ELSE '>10' END AS bin, count(*) AS conversations
         FROM up GROUP BY 1""",
     "language_profile": f"WITH {profiles(DOCS)} SELECT language, rank, gram FROM profile",
-    "language_id": f"WITH {profiles(DOCS)}, {IDENTIFIED} SELECT doc_id, language FROM identified",
+    "language_id": f"WITH {profiles(TRAINING)}, {IDENTIFIED} SELECT doc_id, doc_id % 5 = 0 AS held_out, language FROM identified",
+    "language_accuracy": f"""WITH {profiles(TRAINING)}, {IDENTIFIED} SELECT lang, language, count(*) AS documents
+        FROM identified JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE doc_id % 5 = 0 GROUP BY 1, 2""",
     "language_samples": f"WITH {profiles(SAMPLE_ROWS)}, {IDENTIFIED} SELECT doc_id, language FROM identified",
     "language_misses": f"""SELECT DISTINCT {HASH} AS text_hash, substr(text, 1, 1000) AS prefix
         FROM documents WHERE {HASH} NOT IN (SELECT {HASH} FROM documents WHERE lang = 'en')""",
-    "language_cached": f"""WITH {profiles(DOCS)}, {IDENTIFIED}
+    "language_cached": f"""WITH {profiles(TRAINING)}, {IDENTIFIED}
         SELECT doc_id, {HASH} AS text_hash, language FROM identified""",
     "l2_norm": f"""WITH scaled AS (SELECT vec_id,
         list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (label + 2)) AS v FROM embeddings)
