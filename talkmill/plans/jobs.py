@@ -17,7 +17,8 @@ from talkmill.operators import metrics as M
 from talkmill.operators.extract import non_blank, with_text
 from talkmill.sources import admission
 from talkmill.sources import tables as S
-from talkmill.sources.exports import read_exports, split_files
+from talkmill.sources.arrays import json_segments
+from talkmill.sources.exports import read_exports, split_segments
 
 Profiles = dict[str, list[str]]
 
@@ -172,10 +173,7 @@ def upload_rows(
 
 
 def _upload_json(spark: SparkSession, paths: list[str], profiles: Profiles | None) -> DataFrame:
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), "value"
-    )
-    flattened = flatten(split_files(files), variant="upload")
+    flattened = flatten(split_segments(json_segments(spark, paths, None)), variant="upload")
     return clean_rows(flattened, profiles).select(*S.CLEAN_COLUMNS)
 
 
@@ -189,8 +187,7 @@ def analyze(
 ) -> tuple[DataFrame, DataFrame]:
     """Result rows and metrics of uploaded files; JSON and CSV may be mixed.
 
-    All JSON files are one scan, and so are all CSV files with one header, so the plan does not grow with
-    the number of files.
+    All JSON files are one scan, and so are all CSV files, so the plan does not grow with the number of files.
 
     Files are admitted as a whole or not at all; ``limits=False`` lifts that.
     """
@@ -201,7 +198,7 @@ def analyze(
     exports = [p for p in paths if p not in tables]
     parts = [_upload_json(spark, exports, profiles)] if exports else []
     if tables:
-        parts += [S.upload_csv_rows(spark, group) for group in S.by_header(spark, tables)]
+        parts.append(S.upload_csv_rows(spark, tables))
     clean = parts[0] if parts else spark.createDataFrame([], ", ".join(f"{c} string" for c in S.CLEAN_COLUMNS))
     for p in parts[1:]:
         clean = clean.unionByName(p)

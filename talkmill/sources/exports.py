@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators.extract import NOT_AN_OBJECT
+from talkmill.sources.arrays import LIST, VALUE, json_segments
 
 MALFORMED = "malformed_json"
 
@@ -13,8 +14,7 @@ MALFORMED = "malformed_json"
 def read_export_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source_file, value`` of every ``*.json`` file directly under ``path``.
 
-    A JSON document is one value, so a file is one task; see
-    ``read_export_lines`` for files too large for that.
+    For streams of small files; ``read_exports`` splits large ones.
     """
     files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("source_file"), "value")
@@ -63,54 +63,86 @@ def _one(raw: Column, is_object: bool) -> Column:
     return F.array(F.struct(raw.alias("raw"), F.lit(is_object).alias("is_object")))
 
 
-def split_files(files: DataFrame) -> DataFrame:
-    """``source_file, pos, conversation, reject`` from ``source_file, value``.
+_WHITE = " \t\r\n"
+_NONE = "struct<raw:string,is_object:boolean>"
 
-    A list gives its items, an object itself, any other JSON value nothing.  A
-    file that is no JSON gives one rejected row without a conversation.
-    """
-    v = F.btrim("value", F.lit(" \t\r\n"))
+
+def _of_value(v: Column) -> Column:
+    """Items of a trimmed JSON value: a list's own, an object itself, none of any other; null if it is no JSON."""
     a_list = F.startswith(v, F.lit("[")) & F.endswith(v, F.lit("]"))
     an_object = F.startswith(v, F.lit("{")) & F.endswith(v, F.lit("}"))
     scalar = ~F.startswith(v, F.lit("[")) & ~F.startswith(v, F.lit("{")) & (
         F.try_parse_json(v).isNotNull()
     )
-    found = (
+    return (
         F.when(a_list, _items(v))
         .when(an_object & F.json_object_keys(v).isNotNull(), _one(v, True))
-        .when(scalar, F.array_compact(F.array(F.lit(None).cast("struct<raw:string,is_object:boolean>"))))
+        .when(scalar, F.array_compact(F.array(F.lit(None).cast(_NONE))))
     )
-    items = files.select("source_file", found.alias("items"))
+
+
+def _rows(items: DataFrame) -> DataFrame:
+    """``source_file, pos, conversation, reject`` from ``source_file, before, items``; a row without items is one reject."""
     unread = F.array(
         F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("boolean").alias("is_object"))
     )
     rows = items.select(
-        "source_file", F.posexplode(F.coalesce("items", unread)).alias("pos", "item")
+        "source_file", "before", F.posexplode(F.coalesce("items", unread)).alias("pos", "item")
     )
     reason = F.when(F.col("item.is_object").isNull(), MALFORMED).when(
         ~F.col("item.is_object"), NOT_AN_OBJECT
     )
     return rows.select(
         "source_file",
-        (F.col("pos") + 1).cast("bigint").alias("pos"),
+        (F.col("before") + F.col("pos") + 1).cast("bigint").alias("pos"),
         F.col("item.raw").alias("conversation"),
         reason.alias("reject"),
     )
 
 
+def split_files(files: DataFrame) -> DataFrame:
+    """``source_file, pos, conversation, reject`` from ``source_file, value``.
+
+    A list gives its items, an object itself, any other JSON value nothing.  A
+    file that is no JSON gives one rejected row without a conversation.
+    """
+    found = _of_value(F.btrim("value", F.lit(_WHITE)))
+    return _rows(files.select("source_file", F.lit(0).alias("before"), found.alias("items")))
+
+
+def split_segments(segments: DataFrame) -> DataFrame:
+    """As ``split_files``, from the segments that large files are read in.
+
+    Each segment is read by itself: one that is no JSON is a rejected row, and the rest of its file is kept.
+    """
+    v = F.btrim("record", F.lit(_WHITE))
+    first = F.col("segment") == 0
+    opened = F.startswith(v, F.when(first, "[").otherwise(","))
+    closes = F.endswith(v, F.lit("]"))
+    body = F.substring(v, F.lit(2), F.char_length(v) - F.when(closes, 2).otherwise(1))
+    blank = F.btrim(body, F.lit(_WHITE)) == ""
+    none = F.array_compact(F.array(F.lit(None).cast(_NONE)))
+    of_list = (
+        F.when(~first & (v == "]"), none)
+        .when(opened & blank & first & closes, none)
+        .when(opened & ~blank, _items(F.concat(F.lit("["), body, F.lit("]"))))
+    )
+    found = F.when(F.col("kind") == LIST, of_list).when(F.col("kind") == VALUE, _of_value(v))
+    before = F.when((F.col("kind") == LIST) & ~first, F.col("base") + 1).otherwise(0)
+    return _rows(segments.select("source_file", before.alias("before"), found.alias("items")))
+
+
 def read_exports(
     spark: SparkSession, path: str | list[str], *, lines: bool = False, spread: int | None = None,
     pattern: str = LINES_PATTERN,
 ) -> DataFrame:
     """``source_file, pos, conversation, reject`` of all exports under ``path``.
 
-    With few large files, ``spread`` hands their conversations out to that many
-    tasks before the costly work; with many files leave it out and save a shuffle.
+    A large file is read by many tasks.  ``spread`` hands conversations out to that many tasks before the costly work, which
+    pays where single conversations are large.
     """
     if lines:
         rows = read_export_lines(spark, path, pattern)
     else:
-        rows = split_files(read_export_files(spark, path))
+        rows = split_segments(json_segments(spark, path))
     return rows.repartition(spread) if spread else rows
-
-

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
+from talkmill.sources.quoted import FILE, HEADER, ROW, read_quoted
 
 # CSV fields that mean "no value".
 NA_VALUES = [
@@ -35,13 +34,10 @@ NA_VALUES = [
 CLEAN_COLUMNS = ["conversation_id", "text", "language", "source_file"]
 
 _CSV = {
-    "header": True,
-    "multiLine": True,
     "quote": '"',
     "escape": '"',
-    "encoding": "UTF-8",
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 
@@ -50,41 +46,18 @@ def _value(name: str) -> Column:
     return F.when(~c.isin(NA_VALUES), c).alias(name)
 
 
-def _read_same_header(spark: SparkSession, paths: list[str]) -> DataFrame:
-    # A header that differs between the files fails the read instead of shifting columns.
-    raw = spark.read.options(**_CSV, inferSchema=False, enforceSchema=False).csv(paths)
-    return raw.select(
-        *[_value(c) for c in raw.columns], F.col("_metadata.file_name").alias("__file")
-    )
-
-
-def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """The files under ``paths``, those with the same first line together; one job for all of them.
-
-    One line for each file comes to the driver, which has to name the files of a scan in any case.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value"
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header")).collect()
-    groups: dict[str, list[str]] = {}
-    for r in sorted(first, key=lambda r: r["file"]):
-        groups.setdefault(r["header"], []).append(unquote(r["file"]))
-    return list(groups.values())
+def _read(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[list[str]]]:
+    rows, names = read_quoted(spark, paths, _CSV)
+    own = (FILE, ROW, HEADER)
+    return rows.select(*[_value(c) for c in rows.columns if c not in own], *own), names
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV files with every field as text and pandas' null spellings as null.
+    """CSV files with every field as text and pandas' null spellings as null, and the file's name in ``__file``.
 
-    Files named one by one may differ in their columns.
+    Files may differ in their columns. Large files are read by many tasks, line breaks in fields or not.
     """
-    if isinstance(paths, str):
-        return _read_same_header(spark, [paths])
-    frames = [_read_same_header(spark, group) for group in by_header(spark, paths)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return _read(spark, paths)[0].drop(ROW, HEADER)
 
 
 def _require_text(df: DataFrame) -> DataFrame:
@@ -95,57 +68,44 @@ def _require_text(df: DataFrame) -> DataFrame:
 
 def csv_for_categorize(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows to categorize: all columns; rows without text are left out."""
-    return _require_text(read_csv(spark, paths)).drop("__file").filter(F.col("text").isNotNull())
+    return _require_text(read_csv(spark, paths)).drop(FILE).filter(F.col("text").isNotNull())
 
 
 def csv_for_embed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows to embed: all columns; rows without text or with blank text are left out."""
-    df = _require_text(read_csv(spark, paths)).drop("__file")
+    df = _require_text(read_csv(spark, paths)).drop(FILE)
     return df.filter(F.col("text").isNotNull() & ~T.is_blank("text"))
 
 
-def _row_in_file(df: DataFrame) -> DataFrame:
-    """Add ``__row``, the position of a row in its file, from 0.
-
-    A multi-line CSV file is read by one task in order, so the rows of a file
-    have consecutive ids and the position is the distance to the file's least id:
-    one small row per file is joined, and no file is gathered.
-    """
-    numbered = df.withColumn("__id", F.monotonically_increasing_id())
-    starts = numbered.groupBy("__file").agg(F.min("__id").alias("__start"))
-    return numbered.join(starts, "__file").withColumn("__row", F.col("__id") - F.col("__start"))
-
-
 def upload_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Clean rows of an uploaded CSV, or of several with one header; none without a text column.
+    """Clean rows of uploaded CSV files; none of a file without a text column.
 
     A missing id column gives ``row_<position>``, a missing language ``unknown``;
     an empty field in either becomes the text ``nan``.
     """
-    df = _read_same_header(spark, [path] if isinstance(path, str) else path)
+    df, names = _read(spark, path)
     if "text" not in df.columns:
         schema = ", ".join(f"{c} string" for c in CLEAN_COLUMNS)
         return spark.createDataFrame([], schema)
-    if "conversation_id" in df.columns:
-        conversation_id = F.coalesce("conversation_id", F.lit("nan"))
-    else:
-        df = _row_in_file(df)
-        conversation_id = F.concat(F.lit("row_"), F.col("__row").cast("string"))
-    language = (
-        F.coalesce("language", F.lit("nan")) if "language" in df.columns else F.lit("unknown")
-    )
+
+    def given(column: str, otherwise: Column) -> Column:
+        with_it = [k for k, own in enumerate(names) if column in own]
+        if not with_it:
+            return otherwise
+        return F.when(F.col(HEADER).isin(with_it), F.coalesce(column, F.lit("nan"))).otherwise(otherwise)
+
+    numbered = F.concat(F.lit("row_"), F.col(ROW).cast("string"))
     return df.filter(F.col("text").isNotNull() & ~T.is_blank("text")).select(
-        conversation_id.alias("conversation_id"),
+        given("conversation_id", numbered).alias("conversation_id"),
         "text",
-        language.alias("language"),
-        F.col("__file").alias("source_file"),
+        given("language", F.lit("unknown")).alias("language"),
+        F.col(FILE).alias("source_file"),
     )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write with header; quotes are doubled and white space is kept."""
-    options = {k: v for k, v in _CSV.items() if k != "multiLine"}
-    df.write.mode(mode).options(**options, emptyValue="").csv(path)
+    df.write.mode(mode).options(**_CSV, header=True, encoding="UTF-8", emptyValue="").csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
