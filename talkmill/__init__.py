@@ -1 +1,8 @@
 """talkmill: conversation analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with their task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

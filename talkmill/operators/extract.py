@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
 from talkmill.functions.once import let, with_once
+from talkmill.operators.long_values import is_long, long_conversation
 
 # Search fields and bounds of the search in unknown shapes.
 SEARCH_FIELDS = ["text", "content", "message"]
@@ -39,6 +40,25 @@ BAD_MESSAGE = "message_not_an_object"
 BAD_PARTS = "parts_not_a_list"
 UNREADABLE = "unreadable_value"
 
+#: The rules for conversations too long for Spark's typed values.
+RULES = {
+    "white": T.WHITESPACE,
+    "fields": SEARCH_FIELDS,
+    "list_key": LIST_KEY,
+    "map_key": MAP_KEY,
+    "audio": AUDIO_PART,
+    "depth": MAX_DEPTH,
+    "values": MAX_VALUES,
+    "items": MAX_ITEMS,
+    "stop": STOP_AFTER,
+    "not_an_object": NOT_AN_OBJECT,
+    "bad_messages": BAD_MESSAGES,
+    "bad_mapping": BAD_MAPPING,
+    "bad_text": BAD_TEXT,
+    "bad_message": BAD_MESSAGE,
+    "bad_parts": BAD_PARTS,
+}
+
 _NONE = "cast(array() as array<string>)"
 
 
@@ -385,28 +405,41 @@ def _extract(name: str, application: str) -> Column:
     return let(F.json_object_keys(j), of_keys)
 
 
+def _made_up_id(pos: Column, source_file: Column, variant: str) -> Column:
+    if variant == "cli":
+        return F.concat(F.lit("conv_"), pos.cast("string"), F.lit("_"), source_file)
+    return F.concat(F.lit("conv_"), pos.cast("string"))
+
+
+def _given_id(keys: Column, value: Callable[[str], Column], made_up: Column, variant: str) -> Column:
+    names = ["uuid", "title"] if variant == "cli" else ["uuid", "title", "id"]
+    pick = F.when(F.array_contains(keys, names[0]), value(names[0]))
+    for name in names[1:]:
+        pick = pick.when(F.array_contains(keys, name), value(name))
+    return pick.otherwise(made_up)
+
+
 def conversation_id(j: Column, pos: Column, source_file: Column, *, variant: str = "cli") -> Column:
     """Id of a conversation; ``pos`` counts all conversations of the file from 1.
 
     An explicit null counts as given.  The upload analysis also looks at ``id``,
     leaves the file out of the made-up id, and writes null as ``None``.
     """
-    names = ["uuid", "title"] if variant == "cli" else ["uuid", "title", "id"]
-    if variant == "cli":
-        made_up = F.concat(F.lit("conv_"), pos.cast("string"), F.lit("_"), source_file)
-    else:
-        made_up = F.concat(F.lit("conv_"), pos.cast("string"))
+    made_up = _made_up_id(pos, source_file, variant)
 
     def of_keys(keys: Column) -> Column:
-        pick = F.when(F.array_contains(keys, names[0]), F.get_json_object(j, f"$.{names[0]}"))
-        for name in names[1:]:
-            pick = pick.when(F.array_contains(keys, name), F.get_json_object(j, f"$.{name}"))
-        return pick.otherwise(made_up)
+        return _given_id(keys, lambda name: F.get_json_object(j, f"$.{name}"), made_up, variant)
 
     found = let(F.json_object_keys(j), of_keys)
     return found if variant == "cli" else F.coalesce(found, F.lit("None"))
 
 
+def _long_id(pos: Column, source_file: Column, *, variant: str) -> Column:
+    """As ``conversation_id``, from what was read of a long conversation."""
+    found = _given_id(F.col("__long.names"), lambda name: F.col(f"__long.{name}"), _made_up_id(pos, source_file, variant), variant)
+    return found if variant == "cli" else F.coalesce(found, F.lit("None"))
+
+
 def with_text(
     conversations: DataFrame, *, variant: str = "cli", raw: str = "conversation"
 ) -> DataFrame:
@@ -414,9 +447,16 @@ def with_text(
     j = F.col(raw)
     kept = [c for c in conversations.columns if c not in (raw, "reject")]
     given = F.col("reject") if "reject" in conversations.columns else _no_text()
-    extracted = F.when(given.isNull(), extract(raw)).otherwise(_result(_no_text(), given))
-    named = conversation_id(j, F.col("pos"), F.col("source_file"), variant=variant)
-    rows = with_once(conversations, {"conversation_id": named, "__extracted": extracted})
+    long = is_long(j) & given.isNull()
+    seen = conversations.withColumn("__long", long_conversation(F.when(given.isNull(), j), RULES))
+    extracted = (
+        F.when(given.isNotNull(), _result(_no_text(), given))
+        .when(long, _result(F.col("__long.text"), F.col("__long.reject")))
+        .otherwise(extract(raw))
+    )
+    place = (F.col("pos"), F.col("source_file"))
+    named = F.when(long, _long_id(*place, variant=variant)).otherwise(conversation_id(j, *place, variant=variant))
+    rows = with_once(seen, {"conversation_id": named, "__extracted": extracted})
     return rows.select(
         "conversation_id",
         F.col("__extracted.text").alias("text"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.operators.extract import NOT_AN_OBJECT
+from talkmill.operators.long_values import is_long, long_items
 from talkmill.sources.arrays import LIST, VALUE, json_segments
 
 MALFORMED = "malformed_json"
@@ -56,7 +57,8 @@ def _items(value: Column) -> Column:
     flags = F.when(all_objects, F.transform(raw, lambda _: F.lit(True))).otherwise(
         F.coalesce(types, F.transform(raw, lambda r: F.json_object_keys(r).isNotNull()))
     )
-    return F.arrays_zip(raw.alias("raw"), flags.alias("is_object"))
+    items = F.arrays_zip(raw.alias("raw"), flags.alias("is_object"))
+    return F.when(is_long(value), long_items(value)).otherwise(items)
 
 
 def _one(raw: Column, is_object: bool) -> Column:
@@ -76,7 +78,7 @@ def _of_value(v: Column) -> Column:
     )
     return (
         F.when(a_list, _items(v))
-        .when(an_object & F.json_object_keys(v).isNotNull(), _one(v, True))
+        .when(an_object & (is_long(v) | F.json_object_keys(v).isNotNull()), _one(v, True))
         .when(scalar, F.array_compact(F.array(F.lit(None).cast(_NONE))))
     )
 
