@@ -39,6 +39,8 @@ TOP = 2000
 BITS = 26
 HOT = 100_000
 SHARDS = 64
+#: Parts that stripes are dealt to.
+PARTS = 4096
 ROWS = 1_500_000
 WORDS = 400_000
 #: Bytes of text cut into words at a time.
@@ -51,6 +53,8 @@ _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_UPPER + _ENDS + b"\t", _LOWER + b"\n" * len(_ENDS) + b" ")
 _TURN = 13
+#: A word that no text has, as it ends a piece.
+_TOTAL = "\r"
 _LANGUAGE_TURN = 5
 
 
@@ -227,7 +231,11 @@ class Stripes:
         self.held = len(first)
 
     def flush(self) -> Iterator:
-        """(lang, prefix, shard, next, n) in batches, one row a stripe; the total of words has a null prefix."""
+        """(part, lang, stripes, n) in batches: a row holds the stripes of a language that fall to one part.
+
+        A stripe is its prefix, a tab and the next words; n are the counts in the same order. The part of a stripe follows
+        from its prefix, for a hot one from the next word as well. The number of all words is under the prefix _TOTAL.
+        """
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -236,45 +244,41 @@ class Stripes:
         if not len(rows):
             return
         names = pa.array(self.names, pa.string())
-        hashes = np.fromiter(self.number, np.uint64, len(self.number))
         languages = pa.array(list(self.languages), pa.string())
+        hashes = np.fromiter(self.number, np.uint64, len(self.number))
         prefix = rows[:, :-1]
-        change = np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(axis=1)])
-        shard = (hashes[rows[:, -1]] % np.uint64(SHARDS)).astype(np.int32)
+        group = np.cumsum(np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(axis=1)]))
+        shard = hashes[rows[:, -1]] % np.uint64(SHARDS)
+        whole = np.array([language_hash(language) for language in self.languages], np.uint64)[prefix[:, 0]]
         if self.length > 1:
-            whole = np.array([language_hash(language) for language in self.languages], np.uint64)[prefix[:, 0]]
             for k in range(1, self.length):
                 whole = whole ^ _turned(hashes[prefix[:, k]], (k - 1) * _TURN)
             shard[~self.known.hot(whole)] = 0
-        group = np.cumsum(change)
-        order = np.lexsort((shard, group))
-        rows, counts, shard, group = rows[order], counts[order], shard[order], group[order]
-        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (shard[1:] != shard[:-1])]))
-        ends = np.append(first, len(rows))
+        part = (_mixed(whole + shard) % np.uint64(PARTS)).astype(np.int32)
+        order = np.lexsort((group, prefix[:, 0], part))
+        rows, counts, part, group = rows[order], counts[order], part[order], group[order]
+        new_row = np.concatenate([[True], (part[1:] != part[:-1]) | (rows[1:, 0] != rows[:-1, 0])])
+        new_stripe = new_row | np.concatenate([[True], group[1:] != group[:-1]])
+        first = np.flatnonzero(new_stripe)
+        stripe_ends = pa.array(np.append(first, len(rows)).astype(np.int32))
+        nexts = pc.binary_join(pa.ListArray.from_arrays(stripe_ends, names.take(pa.array(rows[:, -1]))), " ")
+        words = [names.take(pa.array(rows[first, k])) for k in range(1, self.length)]
+        before = pc.binary_join_element_wise(*words, " ") if words else pa.array([""] * len(first))
+        texts = pc.binary_join_element_wise(before, nexts, "\t")
+        row_ends = np.flatnonzero(new_row)
+        stripe_of = np.append(np.cumsum(new_stripe)[row_ends] - 1, len(first)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(stripe_of), texts), "\n")
+        numbers = pa.ListArray.from_arrays(pa.array(np.append(row_ends, len(rows)).astype(np.int32)), pa.array(counts))
+        out = ["part", "lang", "stripes", "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(part[row_ends]), languages.take(pa.array(rows[row_ends, 0])), lines, numbers], out)
         if self.length == 1:
             sums = np.bincount(rows[:, 0], counts, len(self.languages)).astype(np.int64)
             met = np.flatnonzero(sums)
-            yield _batch(languages.take(pa.array(met)), pa.nulls(len(met), pa.string()), np.zeros(len(met)), np.arange(len(met) + 1), pa.array([""] * len(met)), sums[met])
-        for a in range(0, len(first), 50_000):
-            b = min(a + 50_000, len(first))
-            at, some = first[a:b], slice(ends[a], ends[b])
-            parts = [names.take(pa.array(rows[at, k])) for k in range(1, self.length)]
-            if parts:
-                text = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
-            else:
-                text = pa.array([""] * len(at))
-            yield _batch(languages.take(pa.array(rows[at, 0])), text, shard[at], ends[a : b + 1] - ends[a], names.take(pa.array(rows[some, -1])), counts[some])
+            single = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1, dtype=np.int32)), pa.array(sums[met]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(met), np.int32)), languages.take(pa.array(met)), pa.array([f"{_TOTAL}\t{_TOTAL}"] * len(met)), single], out)
         self._clear()
 
 
-def _batch(language, prefix, shard, offsets, words, counts):
-    import pyarrow as pa
-
-    offsets = pa.array(offsets.astype(np.int32))
-    columns = [language, prefix, pa.array(shard.astype(np.int32)), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(counts))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "shard", "next", "n"])
-
-
 def stripes(docs: DataFrame, length: int, known: np.ndarray | None = None) -> DataFrame:
     """(lang, prefix, next, f): merged stripes of all phrases of (lang, text) that can be frequent.
 
@@ -293,9 +297,12 @@ def stripes(docs: DataFrame, length: int, known: np.ndarray | None = None) -> Da
                     yield from counter.add(language, block)
         yield from counter.flush()
 
-    kept = docs.mapInArrow(task, "lang string, prefix string, shard int, next array<string>, n array<long>")
-    dealt = kept.repartition("lang", "prefix", "shard").select("lang", "prefix", "shard", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    return dealt.groupBy("lang", "prefix", "shard", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("f")).drop("shard")
+    kept = docs.mapInArrow(task, "part int, lang string, stripes string, n array<long>").repartition("part")
+    entries = """flatten(transform(split(stripes, '\n', -1), s -> transform(split(split(s, '\t')[1], ' '),
+        w -> struct(split(s, '\t')[0] as prefix, w as next))))"""
+    dealt = kept.select("part", "lang", F.explode(F.arrays_zip(F.expr(entries).alias("e"), F.col("n").alias("n"))).alias("x"))
+    merged = dealt.groupBy("part", "lang", F.col("x.e.prefix").alias("prefix"), F.col("x.e.next").alias("next")).agg(F.sum("x.n").alias("f"))
+    return merged.select("lang", F.when(F.col("prefix") != _TOTAL, F.col("prefix")).alias("prefix"), "next", "f")
 
 
 def _bitmap(frequent: DataFrame, length: int) -> np.ndarray | None:
