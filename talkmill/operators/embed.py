@@ -22,14 +22,13 @@ from pyspark.sql import types as ST
 
 from talkmill.functions import text as T
 from talkmill.functions.once import let
-from talkmill.sources.store import read_store
+from talkmill.sources.store import written
+from talkmill.sources.vectors import VectorStore
 
 # Chunk of texts per call and the name of the usual sentence model.
 CHUNK_SIZE = 1000
 SENTENCE_MODEL = "paraphrase-multilingual-mpnet-base-v2"
 
-STORE_SCHEMA = "text_sha string, embedding array<float>, model string"
-
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
@@ -57,20 +56,28 @@ def hashing_encoder(dim: int = 256) -> Encoder:
     def expression(text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
-        def signed_place(word: Column) -> Column:
-            at = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim + 1
-            odd = F.substring(F.md5(word), 9, 1).isin(*"13579bdf")
-            return F.when(odd, -at).otherwise(at).cast("int")
+        def code(digest: Column) -> Column:
+            """Even for +1, odd for -1, two numbers for each place."""
+            at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
+            odd = F.substring(digest, 9, 1).isin(*"13579bdf").cast("int")
+            return (at * 2 + odd).cast("int")
+
+        def folded(codes: Column) -> Column:
+            """Every code stands in the sorted list once more than words have it, so runs begin at known turns."""
+            last = F.size(codes) - 1
+            new = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(codes, i) != F.get(codes, i - 1)))
+            return let(F.concat(new, F.array(last + 1)), signed)
 
-        def folded(places: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(1), F.lit(dim)),
-                lambda i: (
-                    F.size(F.array_remove(places, -i)) - F.size(F.array_remove(places, i))
-                ).cast("float"),
-            )
+        def signed(starts: Column) -> Column:
+            def at(k: Column) -> Column:
+                return F.get(starts, k)
 
-        return let(F.transform(words, signed_place), folded)
+            places = F.sequence(F.lit(0), F.lit(2 * dim - 2), F.lit(2))
+            return F.transform(places, lambda k: (2 * at(k + 1) - at(k) - at(k + 2)).cast("float"))
+
+        every = F.sequence(F.lit(0), F.lit(2 * dim - 1))
+        codes = F.transform(F.transform(words, F.md5), code)
+        return let(F.sort_array(F.concat(codes, every)), folded)
 
     def make_predict() -> Predict:
         @lru_cache(maxsize=100_000)
@@ -165,7 +172,11 @@ def cache_misses(keyed: DataFrame, known: DataFrame, text: str = "text") -> Data
     Hashes alone are compared first; texts move only if their hash is missing, and copies are merged
     inside each task before the shuffle.
     """
-    missing = keyed.select("text_sha").distinct().join(known.select("text_sha"), "text_sha", "left_anti")
+    hashes = keyed.select("text_sha").distinct()
+    return _texts_of(keyed, hashes.join(known.select("text_sha"), "text_sha", "left_anti"), text)
+
+
+def _texts_of(keyed: DataFrame, missing: DataFrame, text: str) -> DataFrame:
     return (
         keyed.select("text_sha", text)
         .join(missing, "text_sha", "left_semi")
@@ -186,30 +197,31 @@ def embed(
     """``key, model, text_sha, embedding`` of every row with text.
 
     Vectors are kept in ``store`` by content and model; only texts not seen before
-    are run through the encoder.  The final join carries keys and hashes, not
+    are run through the encoder.  The store's bitmaps tell most new hashes; its keys are read only for the
+    others, and not at all if there are none.  The final join carries keys and hashes, not
     texts, and AQE splits the partition of a text that many rows share.
     """
-    spark = df.sparkSession
+    kept = VectorStore(df.sparkSession, store)
     keyed = to_embed(df, text).withColumn("text_sha", cache_key(text, encoder.model_name))
     mine = F.col("model") == encoder.model_name
+    held = kept.vectors().filter(mine)
 
-    known = read_store(spark, store, STORE_SCHEMA).filter(mine)
-    new = embed_texts(cache_misses(keyed, known, text), encoder, text, chunk_size)
-    (
-        new.select("text_sha", "embedding", F.lit(encoder.model_name).alias("model"))
-        .write.mode("append")
-        .partitionBy("model")
-        .parquet(store)
-    )
-    # Two runs at the same time may both have kept a text; one vector is enough.
     asked = keyed.select("text_sha").distinct()
-    kept = (
-        read_store(spark, store, STORE_SCHEMA)
-        .filter(mine)
-        .join(asked, "text_sha", "left_semi")
-        .dropDuplicates(["text_sha"])
-    )
-    found = keyed.select(key, "text_sha").join(kept, "text_sha", "left")
+    new = asked
+    if kept.folders:
+        asked = written(kept.perhaps_known(asked, encoder.model_name), "asked")
+        new = asked.filter("not perhaps").select("text_sha")
+        perhaps = asked.filter("perhaps").select("text_sha")
+        if perhaps.isEmpty():
+            held = held.limit(0)
+        else:
+            new = new.union(perhaps.join(held.select("text_sha"), "text_sha", "left_anti"))
+    vectors = embed_texts(_texts_of(keyed, new, text), encoder, text, chunk_size)
+    before = list(kept.folders)
+    kept.add(vectors.select("text_sha", "embedding", F.lit(encoder.model_name).alias("model")))
+    added = kept.vectors([f for f in kept.folders if f not in before]).filter(mine)
+    wanted = held.join(asked.select("text_sha"), "text_sha", "left_semi") if before else held
+    found = keyed.select(key, "text_sha").join(wanted.unionByName(added), "text_sha", "left")
     lost = F.raise_error(F.concat(F.lit("no vector kept for "), F.col("text_sha")))
     return found.select(
         key,

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -11,6 +12,7 @@ from talkmill.operators import metrics as M
 from talkmill.plans import benchmark, jobs
 from talkmill.sources import admission as A
 from talkmill.sources import tables as S
+from talkmill.sources.vectors import VectorStore
 from talkmill.streaming.watch import watch_exports
 
 SAMPLE = [
@@ -198,14 +200,44 @@ def test_embedding(spark, tmp_path):
 
     store, encoder = str(tmp_path / "store"), E.hashing_encoder(16)
     first = E.embed(df, encoder, store).collect()
-    assert spark.read.parquet(store).count() == 7
+    assert VectorStore(spark, store).vectors().count() == 7
     assert len(first) == 50 and {r["model"] for r in first} == {"feature-hashing-16"}
     assert all(sum(x * x for x in r["embedding"]) == pytest.approx(1) for r in first)
     again = E.embed(df, encoder, store)
-    assert spark.read.parquet(store).count() == 7
+    assert VectorStore(spark, store).vectors().count() == 7 and VectorStore(spark, store).version == 1
     assert sorted(map(str, again.collect())) == sorted(map(str, first))
     E.embed(df, E.hashing_encoder(8), store).count()
-    assert spark.read.parquet(store).groupBy("model").count().count() == 2
+    assert VectorStore(spark, store).vectors().groupBy("model").count().count() == 2
+
+
+def test_runs_at_the_same_time_keep_each_vector_once(spark, tmp_path):
+    def vectors(names, model="m"):
+        rows = [(hashlib.sha256(n.encode()).hexdigest(), [1.0, float(ord(n))], model) for n in names]
+        return spark.createDataFrame(rows, "text_sha string, embedding array<float>, model string")
+
+    path = str(tmp_path / "store")
+    runs = [VectorStore(spark, path) for _ in range(3)]
+    runs[0].add(vectors("abc"))
+    runs[1].add(vectors("bcd"))
+    runs[2].add(vectors("ab"))
+    runs[2].add(vectors("e"))
+    store = VectorStore(spark, path)
+    assert store.version == 3 and len(store.folders) == 3
+    assert sorted(r["embedding"][1] for r in store.vectors().collect()) == [float(ord(c)) for c in "abcde"]
+    asked = vectors("aexyz").select("text_sha")
+    marked = {r["text_sha"]: r["perhaps"] for r in store.perhaps_known(asked, "m").collect()}
+    assert [marked[hashlib.sha256(n.encode()).hexdigest()] for n in "aexyz"] == [True, True, False, False, False]
+    assert not any(r["perhaps"] for r in store.perhaps_known(asked, "other").collect())
+    assert not VectorStore(spark, str(tmp_path / "none")).folders
+
+
+def test_a_cold_call_reads_no_kept_key(spark, tmp_path):
+    store, encoder = str(tmp_path / "store"), E.hashing_encoder(8)
+    E.embed(spark.createDataFrame([("1", "one")], "conversation_id string, text string"), encoder, store)
+    rows = E.embed(spark.createDataFrame([("2", "two")], "conversation_id string, text string"), encoder, store)
+    first = VectorStore(spark, store).folders[0]
+    assert first not in rows._jdf.queryExecution().optimizedPlan().toString() + str(rows.inputFiles())
+    assert rows.count() == 1
 
 
 def test_l2_normalise(spark):
