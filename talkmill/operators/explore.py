@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from talkmill.functions import text as T
 
 SEARCHED = ["text_preview", "conversation_id", "main_category"]
 PAGE_SIZE = 25
+RANGE = "__range"
 
 # Our bins: no hit, then up to each edge; the last cut is the high-confidence cut doubled.
 CONFIDENCE_BINS = [(0, "0"), (2, "1-2"), (5, "3-5"), (10, "6-10")]
@@ -94,6 +99,42 @@ def page_after(
     )
 
 
+@dataclass(frozen=True)
+class Pages:
+    """Rows kept in ranges of the sort order, with the number of rows in each; any page is read from the ranges it lies in."""
+
+    path: str
+    order: tuple[str, bool, str]
+    before: list[int]
+    schema: StructType
+    spark: SparkSession
+
+    @staticmethod
+    def build(df: DataFrame, column: str, path: str, *, descending: bool = False, tie: str = "conversation_id", ranges: int | None = None) -> Pages:
+        """Sort ``df`` once into ``path``.  One number for each range comes to the driver."""
+        spark = df.sparkSession
+        count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        value = _sort_value(column)
+        key = [value.desc() if descending else value.asc(), F.col(tie).asc()]
+        dealt = df.repartitionByRange(count, *key).withColumn(RANGE, F.spark_partition_id())
+        dealt.sortWithinPartitions(RANGE, *key).write.partitionBy(RANGE).parquet(path)
+        sizes = dict(spark.read.schema(dealt.schema).parquet(path).groupBy(RANGE).count().collect())
+        before = list(accumulate((sizes.get(k, 0) for k in range(count)), initial=0))
+        return Pages(path, (column, descending, tie), before, dealt.schema, spark)
+
+    def page(self, number: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+        """The rows that ``page`` of the whole would give."""
+        first, end = number * size, (number + 1) * size
+        touched = [k for k in range(len(self.before) - 1) if self.before[k] < end and self.before[k + 1] > first]
+        rows = self.spark.read.schema(self.schema).parquet(self.path)
+        if not touched:
+            return rows.drop(RANGE).limit(0)
+        column, descending, tie = self.order
+        some = rows.filter(F.col(RANGE).isin(touched)).drop(RANGE)
+        skipped = max(first - self.before[touched[0]], 0)
+        return sort_rows(some, column, descending=descending, tie=tie).offset(skipped).limit(end - max(first, self.before[touched[0]]))
+
+
 def confidence_histogram(df: DataFrame) -> DataFrame:
     """Rows per confidence bin that occurs."""
     c = F.col("confidence_score")

@@ -7,7 +7,7 @@ distributions and totals are rolled up from that relation by grouping sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
@@ -143,13 +143,43 @@ def label_counts(df: DataFrame, dims: list[str]) -> DataFrame:
     )
 
 
+def keep_facts(facts: DataFrame, path: str, part: str) -> None:
+    """Keep the facts of one part of the rows, a day for instance; kept again, they replace what it had."""
+    facts.write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+def merged_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of all parts kept, as if they came from all their rows at once; no row is read again."""
+    kept = spark.read.parquet(path).drop("part")
+    sums = [c for c in kept.columns if c in (*SUMS, "valid", "rejected")]
+    merge = {"shortest": F.min, "longest": F.max}
+    dims = [c for c in kept.columns if c not in sums and c not in merge]
+    return kept.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums], *[f(c).alias(c) for c, f in merge.items() if c in kept.columns])
+
+
+CLI_DIMS = ["main_category", "subcategory", "complexity"]
+UPLOAD_DIMS = ["main_category", "subcategory", "language", "complexity", "source_file"]
+
+
+def cli_facts(df: DataFrame, text: str = "text") -> DataFrame:
+    """The base of ``metrics_cli``, to be kept and merged."""
+    if "complexity" not in df.columns:
+        df = df.withColumn("complexity", T.complexity_cli(T.char_length(text)))
+    return category_facts(df, CLI_DIMS, text)
+
+
+def upload_facts(df: DataFrame) -> DataFrame:
+    """The base of ``metrics_upload``, to be kept and merged."""
+    return category_facts(df, UPLOAD_DIMS)
+
+
 def metrics_cli(df: DataFrame, text: str = "text") -> DataFrame:
     """The batch job's metrics as one row; zeros for an empty input."""
-    has = set(df.columns)
-    if "complexity" not in has:
-        df = df.withColumn("complexity", T.complexity_cli(T.char_length(text)))
-    dims = ["main_category", "subcategory", "complexity"]
-    rolled = _roll_up(category_facts(df, dims, text), dims, SUMS)
+    return cli_report(cli_facts(df, text))
+
+
+def cli_report(facts: DataFrame) -> DataFrame:
+    rolled = _roll_up(facts, CLI_DIMS, SUMS)
     labels = F.array(*[F.lit(c) for c in COMPLEXITIES])
     counts = F.array(*[_label_count("complexity", c) for c in COMPLEXITIES])
     return rolled.agg(
@@ -171,8 +201,11 @@ def metrics_cli(df: DataFrame, text: str = "text") -> DataFrame:
 
 def metrics_upload(df: DataFrame) -> DataFrame:
     """The upload analysis' metrics as one row; no row for an empty input."""
-    dims = ["main_category", "subcategory", "language", "complexity", "source_file"]
-    rolled = _roll_up(category_facts(df, dims), dims, SUMS)
+    return upload_report(upload_facts(df))
+
+
+def upload_report(facts: DataFrame) -> DataFrame:
+    rolled = _roll_up(facts, UPLOAD_DIMS, SUMS)
     n = _total("n")
     is_file = (F.col("kind") == "source_file") & F.col("key").isNotNull()
     return rolled.agg(
@@ -195,13 +228,17 @@ def ingest_summary(extracted: DataFrame) -> DataFrame:
     ``extracted`` holds every conversation, blank ones too, with ``source_file,
     text, language`` and ``reject`` (null unless it could not be read).
     """
+    return summary_report(summary_facts(extracted))
+
+
+def summary_facts(extracted: DataFrame) -> DataFrame:
+    """The base of ``ingest_summary``, to be kept and merged."""
     accepted = F.col("reject").isNull() if "reject" in extracted.columns else F.lit(True)
     valid = accepted & ~T.is_blank(F.coalesce("text", F.lit("")))
     rows = extracted.withColumns(
         {"valid": valid, "length": F.when(valid, T.char_length("text"))}
     )
-    dims = ["language", "source_file"]
-    facts = rows.groupBy(*dims).agg(
+    return rows.groupBy("language", "source_file").agg(
         F.count_if(accepted).alias("n"),
         F.count_if("valid").alias("valid"),
         F.count_if(~accepted).alias("rejected"),
@@ -209,6 +246,9 @@ def ingest_summary(extracted: DataFrame) -> DataFrame:
         F.min("length").alias("shortest"),
         F.max("length").alias("longest"),
     )
+
+
+def summary_report(facts: DataFrame) -> DataFrame:
     rolled = facts.groupingSets(
         [[F.col("language")], [F.col("source_file")], []], F.col("language"), F.col("source_file")
     ).agg(

@@ -29,11 +29,11 @@ def time_stage(name: str, build: Callable[[], DataFrame]) -> dict[str, object]:
 
 
 def job_stages(
-    spark: SparkSession, exports: str, output: str, encoder: Encoder | None = None
+    spark: SparkSession, exports: str, output: str, encoder: Encoder | None = None, **source
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Ingest, embed and categorize, each on what the one before has written under ``output``."""
+    """Ingest, embed and categorize, each on what the one before has written under ``output``; ``source`` goes to the ingest."""
     return {
-        "ingest": lambda: jobs.run_ingest(spark, exports, f"{output}/ingest").clean,
+        "ingest": lambda: jobs.run_ingest(spark, exports, f"{output}/ingest", **source).clean,
         "embed": lambda: jobs.run_embed(
             spark, spark.read.parquet(f"{output}/ingest/clean"), f"{output}/store", f"{output}/vectors", encoder
         ),
@@ -48,3 +48,8 @@ def run(stages: dict[str, Callable[[], DataFrame]]) -> dict[str, object]:
     results = [time_stage(name, build) for name, build in stages.items()]
     total = round(sum(r["seconds"] for r in results), 3)
     return {"stages": results, "total_seconds": total}
+
+
+def report(spark: SparkSession, results: dict[str, object]) -> DataFrame:
+    """``stage, seconds, rows, rows_per_second`` of a run, to be kept and compared with others."""
+    return spark.createDataFrame(results["stages"], "stage string, seconds double, rows long, rows_per_second double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
@@ -133,38 +133,75 @@ def categorize_rows(df: DataFrame, taxonomy: Taxonomy = DEFAULT, text: str = "te
     return C.with_length(C.categorize(df, text, taxonomy), text)
 
 
+#: Rows in a batch of the throughput report.
+BATCH_SIZE = 1000
+
+
 def run_categorize(
     spark: SparkSession,
     source: str | list[str] | DataFrame,
     output: str,
     taxonomy: Taxonomy = DEFAULT,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """Categorize a CSV or any rows with a text; writes ``<output>/categorized_csv`` and ``metrics``, returns the metrics.
+    """Categorize a CSV or any rows with a text; writes ``<output>/categorized_csv``, ``metrics`` and ``batches``, returns the metrics.
 
     The texts are scored once, while the Parquet copy is written; the CSV, the
-    metrics and the throughput come from that copy.
+    metrics and the throughput come from that copy.  A batch is so many rows that a task has scored one
+    after the other; each row is written with its batch and the time.
     """
     start = time.monotonic()
-    seen = Observation("categorized")
     given = source if isinstance(source, DataFrame) else S.csv_for_categorize(spark, source)
     rows = categorize_rows(given, taxonomy)
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    S.write_parquet(counted, f"{output}/categorized")
-    n = seen.get["rows"]
+    S.write_parquet(_timed(rows, batch_size), f"{output}/categorized")
 
+    scored = spark.read.parquet(f"{output}/categorized")
+    S.write_parquet(batch_report(scored), f"{output}/batches")
     kept = spark.read.schema(rows.schema).parquet(f"{output}/categorized")
     S.write_csv(kept, f"{output}/categorized_csv")
     elapsed = time.monotonic() - start
+    batches = spark.read.parquet(f"{output}/batches").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("batches"), F.min("rows_per_second").alias("slowest_batch")
+    )
+    figures = batches.first()
+    n = figures["rows"]
     performance = F.struct(
         F.lit(round(elapsed, 2)).alias("processing_time_seconds"),
         F.lit(round(n / elapsed, 1) if elapsed > 0 else 0.0).alias("conversations_per_second"),
         F.lit(n).alias("rows"),
+        F.lit(batch_size).alias("batch_size_used"),
+        F.lit(figures["batches"]).alias("batches"),
+        F.lit(figures["slowest_batch"]).cast("double").alias("slowest_batch_per_second"),
     )
     metrics = M.metrics_cli(kept).withColumn("performance", performance)
     S.write_json(metrics, f"{output}/metrics")
     return spark.read.json(f"{output}/metrics")
 
 
+def _timed(rows: DataFrame, batch_size: int) -> DataFrame:
+    """Rows with their task, their batch in it, and the time at which they were scored."""
+    number = F.monotonically_increasing_id()
+    return rows.withColumns(
+        {
+            "__task": F.shiftright(number, 33),
+            "__batch": F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) div {batch_size}"),
+            "__at": F.expr("reflect('java.lang.System', 'nanoTime')").cast("long"),
+        }
+    )
+
+
+def batch_report(scored: DataFrame) -> DataFrame:
+    """``task, batch, rows, seconds, rows_per_second``; a batch lasts until the next one's first row, the last to its last row."""
+    batches = scored.groupBy(F.col("__task").alias("task"), F.col("__batch").alias("batch")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("__at").alias("begin"), F.max("__at").alias("end")
+    )
+    following = F.lead("begin").over(Window.partitionBy("task").orderBy("batch"))
+    seconds = (F.coalesce(following, "end") - F.col("begin")) / 1e9
+    return batches.withColumn("seconds", seconds).select(
+        "task", "batch", "rows", "seconds", (F.col("rows") / F.greatest("seconds", F.lit(1e-9))).alias("rows_per_second")
+    )
+
+
 def upload_rows(
     clean: DataFrame, taxonomy: Taxonomy = DEFAULT
 ) -> DataFrame:

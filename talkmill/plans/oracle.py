@@ -306,7 +306,8 @@ UNPLACED = TURNS.replace(
 )
 # One conversation per document, a message per line.
 MESSAGES = f"""array_to_string(list_transform(list_filter({LINES}, lambda x: x <> ''), lambda x: {strip("x")}), ' ')"""
-EXPORTED = f"""exported AS (SELECT doc_id, 'd' || doc_id AS conversation_id, {MESSAGES} AS text FROM documents),
+EXPORTED = f"""exported AS (SELECT doc_id, 'd' || doc_id AS conversation_id, {MESSAGES} AS text,
+        row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS pos FROM documents),
     said AS (SELECT * FROM exported WHERE {strip("text")} <> '')"""
 
 ORACLE: dict[str, str] = {
@@ -482,9 +483,9 @@ ORACLE |= {
         'feature-hashing-{HASH_DIM}' AS model, {HASH_SHA} AS text_sha, vector
         FROM documents JOIN vector USING (doc_id) WHERE lang <> 'es'""",
     "ingest_job": f"""WITH {profiles(SAMPLE_ROWS)}, {EXPORTED}, {IDENTIFIED.replace("FROM documents", "FROM said")}
-        SELECT s.conversation_id, s.text, i.language, CAST(1 AS BIGINT) AS pos, substr(md5(s.text), 1, 16) AS text_hash
+        SELECT s.conversation_id, s.text, i.language, s.pos, substr(md5(s.text), 1, 16) AS text_hash
         FROM said s JOIN identified i USING (doc_id)""",
-    "ingest_job_summary": f"""WITH {EXPORTED} SELECT count(*) AS total_files_processed,
+    "ingest_job_summary": f"""WITH {EXPORTED} SELECT count(DISTINCT doc_id // 100) AS total_files_processed,
         (SELECT count(*) FROM exported) AS total_conversations,
         (SELECT count(*) FROM exported) - count(*) AS empty_conversations, count(*) AS valid_conversations,
         CAST(0 AS BIGINT) AS rejected_conversations,
@@ -505,3 +506,15 @@ def _analyze() -> str:
 
 
 ORACLE["analyze_job"] = _analyze()
+EXPORTED_DOCS = f"SELECT doc_id, 'd' || doc_id AS conversation_id, {MESSAGES} AS text FROM documents WHERE {strip(MESSAGES)} <> ''"
+ORACLE |= {
+    "deep_page": f"{UP_ROWS} ORDER BY char_length DESC, conversation_id LIMIT 25 OFFSET 500",
+    "metrics_merged": ORACLE["metrics_cli"],
+    "upload_metrics_merged": ORACLE["metrics_upload"],
+    "summary_merged": ORACLE["planted_summary"],
+    "throughput": """SELECT count(*) AS rows, CAST(64 AS BIGINT) AS batch_size, CAST(0 AS BIGINT) AS too_large,
+        CAST(0 AS BIGINT) AS not_timed, true AS all_reported FROM documents""",
+    "stage_benchmark": f"""WITH {EXPORTED} SELECT stage, CASE WHEN stage = 'categorize' THEN 1 ELSE n END AS rows, true AS timed
+        FROM (SELECT count(*) AS n FROM said), (SELECT unnest(['ingest', 'embed', 'categorize']) AS stage)""",
+    "arriving_exports": f"""WITH {scored(EXPORTED_DOCS)} SELECT conversation_id, main_category, {LENGTH} AS char_length FROM labelled""",
+}

@@ -18,11 +18,12 @@ from talkmill.operators import explore as X
 from talkmill.operators import extract as J
 from talkmill.operators import language_cache as LC
 from talkmill.operators import metrics as M
-from talkmill.plans import jobs
+from talkmill.plans import benchmark, jobs
 from talkmill.sources import admission as A
 from talkmill.sources import exports as S
 from talkmill.sources import tables as CSV
 from talkmill.sources.store import shared_folder
+from talkmill.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -862,20 +863,31 @@ def categorized_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Every document as a JSON file of its own, each line a message."""
+# Conversations in one exported list.
+LISTED = 100
+
+
+def export_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, value``: documents as JSON lists by ``doc_id``; each line of a document is a message."""
     messages = F.transform(_lines(), lambda line: F.struct(line.alias("text")))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("uuid")
-    rows = documents(spark, sf_dir).select(name, messages.alias(J.LIST_KEY))
-    rows.write.option("maxRecordsPerFile", 1).json(folder)
+    one = F.to_json(F.struct(name, messages.alias(J.LIST_KEY)))
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", one.alias("one"))))
+    files = documents(spark, sf_dir).groupBy(F.expr(f"doc_id div {LISTED}").alias("file")).agg(listed.alias("listed"))
+    items = F.transform("listed", lambda x: x["one"])
+    return files.select("file", F.concat(F.lit("["), F.array_join(items, ",\n"), F.lit("]")).alias("value"))
+
+
+def export_files(lists: DataFrame, folder: str) -> None:
+    lists.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(folder)
 
 
 @query
 def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingest job over a folder of JSON files, languages told by the samples."""
+    """The ingest job over a folder of JSON lists, languages told by the samples."""
     folder = shared_folder(spark, "ingest-job")
-    export_files(spark, sf_dir, f"{folder}/exports")
-    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out")
+    export_files(export_lists(spark, sf_dir), f"{folder}/exports")
+    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out", pattern="*.txt")
     rows = spark.read.parquet(f"{folder}/out/clean")
     return rows.select("conversation_id", "text", "language", "pos", "text_hash")
 
@@ -884,8 +896,8 @@ def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary that the ingest job writes as JSON."""
     folder = shared_folder(spark, "ingest-summary")
-    export_files(spark, sf_dir, f"{folder}/exports")
-    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out")
+    export_files(export_lists(spark, sf_dir), f"{folder}/exports")
+    jobs.run_ingest(spark, f"{folder}/exports", f"{folder}/out", pattern="*.txt")
     s = spark.read.json(f"{folder}/out/summary")
     return s.select(
         "total_files_processed",
@@ -902,7 +914,7 @@ def ingest_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyze_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upload analysis of a folder of JSON files and one of CSV without ids and languages."""
     folder = shared_folder(spark, "upload")
-    export_files(spark, sf_dir, f"{folder}/exports")
+    export_files(export_lists(spark, sf_dir), f"{folder}/exports")
     bare = planted_clean(spark, sf_dir).select("text")
     CSV.write_csv(bare, f"{folder}/rows.csv")
     _, metrics = jobs.analyze(spark, [f"{folder}/exports", f"{folder}/rows.csv"], limits=False)
@@ -917,3 +929,79 @@ def language_unknown_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("text", F.regexp_replace(strange, "[a-zà-ÿ]", ""))
     model = L.sample_model(spark)
     return docs.select("doc_id", L.identify("text", model).alias("language"))
+
+
+# Work that goes on from what earlier runs have kept
+
+
+@query
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far in, read from the one or two ranges that hold it."""
+    pages = X.Pages.build(uploaded(spark, sf_dir), "char_length", shared_folder(spark, "pages"), descending=True)
+    return pages.page(number=20)
+
+
+@query
+def metrics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two days, each counted once and kept, merged."""
+    rows, kept = categorized(spark, sf_dir), shared_folder(spark, "facts")
+    for day in (0, 1):
+        M.keep_facts(M.cli_facts(rows.filter(F.col("conversation_id").cast("long") % 2 == day)), kept, f"day-{day}")
+    return cli_fields(M.cli_report(M.merged_facts(spark, kept)))
+
+
+@query
+def upload_metrics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, kept = uploaded(spark, sf_dir), shared_folder(spark, "facts")
+    for day in (0, 1):
+        M.keep_facts(M.upload_facts(rows.filter(F.col("conversation_id").cast("long") % 2 == day)), kept, f"day-{day}")
+    return upload_fields(M.upload_report(M.merged_facts(spark, kept)))
+
+
+@query
+def summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, kept = planted_clean(spark, sf_dir), shared_folder(spark, "facts")
+    for day in (0, 1):
+        M.keep_facts(M.summary_facts(rows.filter(F.col("conversation_id").cast("long") % 2 == day)), kept, f"day-{day}")
+    return summary_fields(M.summary_report(M.merged_facts(spark, kept)))
+
+
+@query
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the categorize job reports of its batches."""
+    folder = shared_folder(spark, "throughput")
+    jobs.run_categorize(spark, planted_clean(spark, sf_dir), f"{folder}/out", batch_size=64)
+    batches = spark.read.parquet(f"{folder}/out/batches")
+    reported = spark.read.json(f"{folder}/out/metrics").select(
+        F.col("performance.batch_size_used").alias("batch_size"), F.col("performance.batches").alias("reported")
+    )
+    totals = batches.agg(
+        F.sum("rows").alias("rows"),
+        F.count_if(F.col("rows") > 64).alias("too_large"),
+        F.count_if((F.col("seconds") < 0) | F.col("rows_per_second").isNull()).alias("not_timed"),
+        F.count(F.lit(1)).alias("batches"),
+    )
+    return totals.join(reported).select(
+        "rows", "batch_size", "too_large", "not_timed", (F.col("batches") == F.col("reported")).alias("all_reported")
+    )
+
+
+@query
+def stage_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each timed stage, from JSON lists to metrics."""
+    folder = shared_folder(spark, "stages")
+    export_files(export_lists(spark, sf_dir), f"{folder}/exports")
+    stages = benchmark.job_stages(spark, f"{folder}/exports", f"{folder}/out", E.hashing_encoder(HASH_DIM), pattern="*.txt")
+    return benchmark.report(spark, benchmark.run(stages)).select("stage", "rows", (F.col("seconds") > 0).alias("timed"))
+
+
+@query
+def arriving_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports that arrive in two waves; each run takes what is new, and a batch that is run again changes nothing."""
+    folder = shared_folder(spark, "arriving")
+    job = watch.Arrivals(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", pattern="*.txt")
+    for wave in (0, 1):
+        export_files(export_lists(spark, sf_dir).filter(F.col("file") % 2 == wave), f"{folder}/in")
+        job.run()
+    job.replay()
+    return job.rows().select("conversation_id", "main_category", "char_length")

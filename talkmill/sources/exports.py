@@ -21,7 +21,8 @@ def read_export_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("source_file"), "value")
 
 
-# Names of files taken as JSON Lines.
+# Names of files taken as JSON documents, and as JSON Lines.
+FILES_PATTERN = "*.json"
 LINES_PATTERN = "*.{json,jsonl,ndjson,jsonl.gz}"
 
 
@@ -136,7 +137,7 @@ def split_segments(segments: DataFrame) -> DataFrame:
 
 def read_exports(
     spark: SparkSession, path: str | list[str], *, lines: bool = False, spread: int | None = None,
-    pattern: str = LINES_PATTERN,
+    pattern: str | None = None,
 ) -> DataFrame:
     """``source_file, pos, conversation, reject`` of all exports under ``path``.
 
@@ -144,7 +145,7 @@ def read_exports(
     pays where single conversations are large.
     """
     if lines:
-        rows = read_export_lines(spark, path, pattern)
+        rows = read_export_lines(spark, path, pattern or LINES_PATTERN)
     else:
-        rows = split_segments(json_segments(spark, path))
+        rows = split_segments(json_segments(spark, path, pattern or FILES_PATTERN))
     return rows.repartition(spread) if spread else rows
