@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from talkmill.llm.components import written
-from talkmill.llm.pieces import batched, byte_entries, cut, parts, safe_for
+from talkmill.llm.pieces import batched, byte_entries, cut, cut_word, fine_for, parts, safe_for
 from talkmill.llm.rows import narrow
 
 HEAVY = 400_000
@@ -63,6 +63,8 @@ def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
 _NONE = np.empty(0, np.int64)
 #: What a piece has whose bytes its tokens do not give.
 _UNFIT = [""], np.zeros((1, 5), np.int64), _NONE, _NONE, np.zeros(1, np.int64)
+_UNFIT_PAIR = ["", ""], np.zeros((2, 5), np.int64), _NONE, _NONE, np.zeros(2, np.int64)
+_GUARD = " a"
 
 
 class Side:
@@ -113,7 +115,7 @@ class Pieces(Side):
         self.model = SentencePieceProcessor(model_proto=model)
         entries = [self.model.id_to_piece(n) for n in range(self.model.get_piece_size())]
         super().__init__([bytes([int(e[3:5], 16)]) if self.model.is_byte(n) else e.replace("▁", " ").encode() for n, e in enumerate(entries)])
-        self.safe = safe_for(entries)
+        self.safe, self.fine = safe_for(entries), safe_for(entries) and fine_for(entries)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode(text[1:], return_type="offset_mapping", return_bytes=True)
@@ -129,7 +131,10 @@ class Aligner:
         self._clear()
 
     def _clear(self) -> None:
+        #: Numbers of pieces, and of words (the blank in front left out) with the numbers of their pieces.
         self.number: dict[str, int] = {}
+        self.word: dict[str, int] = {}
+        self.members, self.member_counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.uneven: set[str] = set()
         self.shown: list[str] = []
         #: tokens of A, tokens of B, groups, links, and whether the bytes fit, for each piece.
@@ -137,19 +142,36 @@ class Aligner:
         self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        """New pieces, the blank in front left out."""
+    def learn(self, words: list[str]) -> None:
+        """New words, the blank in front left out."""
+        split = [cut_word(" " + word) if self.b.fine else [" " + word] for word in words]
+        new = list(set(chain.from_iterable(split)).difference(self.number))
         stats, pairs, times, counts = [self.stats], [self.pairs], [self.times], [self.counts]
-        for pieces in batched([" " + piece for piece in new]):
+
+        def keep(pieces: list[str], found: tuple | None, step: int = 1) -> None:
+            shown, *arrays = found or _UNFIT
+            self.number.update(zip(pieces[step - 1 :: step], range(len(self.shown) + step - 1, len(self.shown) + len(pieces), step), strict=True))
+            self.shown += shown
+            for kept, part in zip((stats, pairs, times, counts), arrays, strict=True):
+                kept.append(part)
+
+        for pieces in batched([piece for piece in new if piece[0] == " "]):
             joined = self._aligned(pieces)
-            results = [(pieces, joined)] if joined else [([piece], self._aligned([piece])) for piece in pieces]
-            for some, found in results:
-                shown, *arrays = found or _UNFIT
-                self.number.update(zip([piece[1:] for piece in some], range(len(self.shown), len(self.shown) + len(some)), strict=True))
-                self.shown += shown
-                for kept, part in zip((stats, pairs, times, counts), arrays, strict=True):
-                    kept.append(part)
+            for some, found in [(pieces, joined)] if joined else [([piece], self._aligned([piece])) for piece in pieces]:
+                keep(some, found)
+        # Pieces without a blank in front stand behind a word of their own.
+        inner = [piece for piece in new if piece[0] != " "]
+        for start in range(0, len(inner), 2000):
+            pieces = [x for piece in inner[start : start + 2000] for x in (_GUARD, piece)]
+            joined = self._aligned(pieces)
+            pairs_of = [(pieces, joined)] if joined else [([_GUARD, piece], self._aligned([_GUARD, piece])) for piece in pieces[1::2]]
+            for some, found in pairs_of:
+                keep(some, found or _UNFIT_PAIR, 2)
         self.stats, self.pairs, self.times, self.counts = map(np.concatenate, (stats, pairs, times, counts))
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        members = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, many.sum())
+        self.word.update(zip(words, range(len(self.member_counts), len(self.member_counts) + len(words)), strict=True))
+        self.members, self.member_counts = np.concatenate([self.members, members]), np.concatenate([self.member_counts, many])
 
     def _aligned(self, pieces: list[str]):
         """What each piece has, from the tokens of all joined; None if the tokens' bytes are not the text's."""
@@ -202,21 +224,22 @@ class Aligner:
         )
 
     def cut(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of texts that begin with a blank, the blank in front of each left out; all are known afterwards.
+        """Words of texts that begin with a blank, the blank in front of each left out; all are known afterwards.
 
-        Where no blank is beside other white space, the words between blanks are the pieces.
+        Where no blank is beside other white space, words are what stands between blanks.
         """
         if not self.b.safe:
             split, odd = [[text[1:]] for text in texts], []
-        else:
-            split = [text.split(" ")[1:] for text in texts]
-            new = set().union(*split).difference(self.number, self.uneven)
-            self.uneven.update(word for word in new if not word or word[0].isspace() or "▁" in word)
-            self.learn(list(new - self.uneven))
-            odd = [n for n, words in enumerate(split) if not self.uneven.isdisjoint(words)]
+            self.learn(list(set().union(*split).difference(self.word)))
+            return split
+        split = [text.split(" ")[1:] for text in texts]
+        new = set().union(*split).difference(self.word, self.uneven)
+        self.uneven.update(word for word in new if not word or word[0].isspace() or "▁" in word)
+        self.learn(list(new - self.uneven))
+        odd = [n for n, words in enumerate(split) if not self.uneven.isdisjoint(words)]
         for n in odd:
             split[n] = [piece[1:] for piece in cut(texts[n])]
-        self.learn(list(set().union(*(split[n] for n in (odd if self.b.safe else range(len(texts))))).difference(self.number)))
+        self.learn(list(set().union(*(split[n] for n in odd)).difference(self.word)))
         return split
 
     def block(self, some: list[tuple[int, str]]) -> dict[int, tuple]:
@@ -224,8 +247,12 @@ class Aligner:
         if len(self.number) > CACHED:
             self._clear()
         split = self.cut([part for _, part in some])
-        sizes = [len(pieces) for pieces in split]
-        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        lengths = [len(words) for words in split]
+        words = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
+        many = self.member_counts[words]
+        numbers = self.members[_each((np.cumsum(self.member_counts) - self.member_counts)[words], many)]
+        ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(lengths)]
+        sizes = np.diff(ends, prepend=0)
         documents = sorted({n for n, _ in some})
         place = {n: k for k, n in enumerate(documents)}
         doc = np.repeat([place[n] for n, _ in some], sizes)

@@ -23,6 +23,8 @@ _BORDER = re.compile("(?<![ ▁])(?= \\S)")
 #: Without any of these, every blank is a border.
 _UNEVEN = re.compile(" \\s| \\Z|\\A |▁")
 _INNER = re.compile("[^▁]▁")
+#: Inside a word: after a Latin letter before punctuation, and before a line end.
+_FINE = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])|(?<=\\S)(?=\n)")
 
 
 def safe_for(entries: Iterable[str]) -> bool:
@@ -30,6 +32,17 @@ def safe_for(entries: Iterable[str]) -> bool:
     return not any(_INNER.search(entry) for entry in entries)
 
 
+def fine_for(entries: Iterable[str]) -> bool:
+    """No entry of the vocabulary reaches over a border within words."""
+    return not any(_FINE.search(entry) or "\n" in entry for entry in entries)
+
+
+def cut_word(word: str) -> list[str]:
+    """The pieces of a word at such borders, where neither kind of tokenizer joins both sides either: byte-level BPE never puts
+    letters and punctuation, or anything and white space behind it, into one word of its pattern."""
+    return _FINE.split(word)
+
+
 def parts(text: str, most: int = PART) -> Iterator[str]:
     """The text in consecutive parts that end at borders, of about so many characters."""
     start = 0
