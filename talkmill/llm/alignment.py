@@ -33,7 +33,7 @@ from talkmill.llm.rows import narrow
 
 HEAVY = 400_000
 #: Pieces kept with their groups in a task; beyond it the cache is emptied.
-CACHED = 600_000
+CACHED = 400_000
 #: Texts, or parts of long ones, of so many characters are added up together.
 TOGETHER = 1_000_000
 #: Distinct pairs a task holds while it counts documents.
@@ -134,13 +134,13 @@ class Aligner:
         #: Numbers of pieces, and of words (the blank in front left out) with the numbers of their pieces.
         self.number: dict[str, int] = {}
         self.word: dict[str, int] = {}
-        self.members, self.member_counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.members, self.member_counts = np.empty(0, np.int32), np.empty(0, np.int32)
         self.uneven: set[str] = set()
         self.shown: list[str] = []
         #: tokens of A, tokens of B, groups, links, and whether the bytes fit, for each piece.
-        self.stats = np.empty((0, 5), np.int64)
-        self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
+        self.stats = np.empty((0, 5), np.int32)
+        self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.counts = np.empty(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
         """New words, the blank in front left out."""
@@ -153,7 +153,7 @@ class Aligner:
             self.number.update(zip(pieces[step - 1 :: step], range(len(self.shown) + step - 1, len(self.shown) + len(pieces), step), strict=True))
             self.shown += shown
             for kept, part in zip((stats, pairs, times, counts), arrays, strict=True):
-                kept.append(part)
+                kept.append(part.astype(kept[0].dtype))
 
         for pieces in batched([piece for piece in new if piece[0] == " "]):
             joined = self._aligned(pieces)
@@ -168,8 +168,8 @@ class Aligner:
             for some, found in pairs_of:
                 keep(some, found or _UNFIT_PAIR, 2)
         self.stats, self.pairs, self.times, self.counts = map(np.concatenate, (stats, pairs, times, counts))
-        many = np.fromiter(map(len, split), np.int64, len(split))
-        members = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, many.sum())
+        many = np.fromiter(map(len, split), np.int32, len(split))
+        members = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32, int(many.sum()))
         self.word.update(zip(words, range(len(self.member_counts), len(self.member_counts) + len(words)), strict=True))
         self.members, self.member_counts = np.concatenate([self.members, members]), np.concatenate([self.member_counts, many])
 
@@ -250,24 +250,24 @@ class Aligner:
         lengths = [len(words) for words in split]
         words = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
         many = self.member_counts[words]
-        numbers = self.members[_each((np.cumsum(self.member_counts) - self.member_counts)[words], many)]
+        numbers = self.members[_each((np.cumsum(self.member_counts) - self.member_counts)[words], many)].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(lengths)]
         sizes = np.diff(ends, prepend=0)
         documents = sorted({n for n, _ in some})
         place = {n: k for k, n in enumerate(documents)}
         doc = np.repeat([place[n] for n, _ in some], sizes)
         bounds = np.searchsorted(doc, np.arange(len(documents) + 1))
-        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.stats[numbers], axis=0)])
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.stats[numbers], axis=0, dtype=np.int64)])
         stats = sums[bounds[1:]] - sums[bounds[:-1]]
         stats[:, 4] = stats[:, 4] == np.diff(bounds)
         size = max(1, len(self.shown))
         each, often = _gathered(doc * size + numbers, np.ones(len(doc), np.int64))
         own, number = each // size, each % size
-        first = np.cumsum(self.counts) - self.counts
+        first = np.cumsum(self.counts, dtype=np.int64) - self.counts
         held = self.counts[number]
         at = _each(first[number], held)
         space = self.a.size * self.b.size
-        keys, times = _gathered(np.repeat(own, held) * space + self.pairs[at], np.repeat(often, held) * self.times[at])
+        keys, times = _gathered(np.repeat(own, held) * space + self.pairs[at], np.repeat(often, held) * self.times[at].astype(np.int64))
         pair_bounds = np.searchsorted(keys, np.arange(len(documents) + 1) * space)
         out = {}
         for k, n in enumerate(documents):
@@ -332,9 +332,7 @@ def align(docs: DataFrame, definition: str, model: bytes) -> DataFrame:
 
         aligner, row = Aligner(*shared.value), TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             stats, digests, pairs, times = zip(*((s, d, p.astype("<u8").tobytes(), t.astype("<u4").tobytes()) for s, d, p, t in aligner.documents(batch.column("text").to_pylist())), strict=True)
             stats = np.array(stats).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
@@ -346,6 +344,13 @@ def align(docs: DataFrame, definition: str, model: bytes) -> DataFrame:
     return docs.mapInArrow(task, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary")
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of few rows, as what a row becomes is larger than the row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _joined(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a column of arrays, and the number of the row of each."""
     raw = column.to_pylist()
@@ -360,7 +365,7 @@ def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
         import pyarrow as pa
 
         keys, docs = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             new, _ = _joined(batch.column("pairs"), "<u8")
             keys, docs = _gathered(np.concatenate([keys, new]), np.concatenate([docs, np.ones(len(new), np.int64)]))
             if len(keys) > COUNTED:
@@ -396,7 +401,7 @@ def resolve(aligned: DataFrame, counts: DataFrame, heavy: int = HEAVY) -> DataFr
         import pyarrow as pa
 
         pairs, docs, best = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             keys, row = _joined(batch.column("pairs"), "<u8")
             times, _ = _joined(batch.column("times"), "<u4")
             at = np.searchsorted(pairs, keys)
