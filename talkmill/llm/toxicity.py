@@ -19,6 +19,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,16 +55,32 @@ def tokens_of(text: str) -> list[str]:
     found = text.split()
     if max(map(len, found), default=0) <= 2 * WORDS:
         return text.lower().split()
-    return [t[a:z].lower() for t in found for a, z in _cuts(t)]
+    out = []
+    for t in found:
+        if len(t) <= 2 * WORDS:
+            out.append(t.lower())
+        else:
+            out += [t[a:z].lower() for a, z in _cuts(t)]
+    return out
+
+
+_AS_WORD, _AS_START, _AS_END = (zlib.crc32(kind) for kind in (b"w", b"p", b"s"))
+_LENGTHS = [zlib.crc32(f"l{n}".encode()) % DIMENSIONS for n in range(21)]
+
+
+def word_features(word: str) -> tuple[int, int, int]:
+    """Hashed features of one word: itself, its first four characters, its last three."""
+    raw = word.encode("utf-8", "surrogatepass")
+    if len(raw) == len(word):
+        start, end = raw[:4], raw[-3:]
+    else:
+        start, end = word[:4].encode("utf-8", "surrogatepass"), word[-3:].encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw, _AS_WORD) % DIMENSIONS, zlib.crc32(start, _AS_START) % DIMENSIONS, zlib.crc32(end, _AS_END) % DIMENSIONS
 
 
 def features(token: str) -> list[int]:
     """Hashed features of one token, in lower case."""
-    found = []
-    for word in _WORD.findall(token):
-        found += ["w" + word, "p" + word[:4], "s" + word[-3:]]
-    found.append(f"l{min(len(token), 20)}")
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % DIMENSIONS for f in found]
+    return [*chain.from_iterable(map(word_features, _WORD.findall(token))), _LENGTHS[min(len(token), 20)]]
 
 
 @dataclass
@@ -225,22 +242,34 @@ def train_field(sample: DataFrame, toxic: int, clean: int, rounds: int = ROUNDS)
 
 
 class Tagger:
-    """Marginals of texts under a field; the emission of each distinct token is kept, within a bound."""
+    """Marginals of texts under a field; the emission of each distinct token and of each word is kept, within a bound."""
 
     def __init__(self, now: Field):
-        self.now, self.known = now, {}
+        self.now, self.known, self.words = now, {}, {}
+        self.weights = now.weights.tolist()
+
+    def emission(self, token: str) -> float:
+        words, weights = self.words, self.weights
+        total = weights[_LENGTHS[min(len(token), 20)]]
+        for word in _WORD.findall(token):
+            own = words.get(word)
+            if own is None:
+                a, b, c = word_features(word)
+                own = words[word] = weights[a] + weights[b] + weights[c]
+            total += own
+        return total
 
     def __call__(self, texts: list[str]):
         """For each text: its number of tokens and the marginals of its tokens."""
         for part in _in_parts(texts):
             tokens = [tokens_of(text) for text in texts[part]]
             if len(self.known) > CACHED:
-                self.known = {}
-            known, weights = self.known, self.now.weights
-            for token in {t for row in tokens for t in row} - known.keys():
-                known[token] = float(weights[features(token)].sum())
+                self.known, self.words = {}, {}
+            known = self.known
+            for token in set().union(*tokens).difference(known):
+                known[token] = self.emission(token)
             lengths = np.array([len(row) for row in tokens])
-            emission = np.fromiter((known[t] for row in tokens for t in row), np.float64, int(lengths.sum()))
+            emission = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.float64, int(lengths.sum()))
             chance, _ = marginals(emission, lengths, self.now.transitions)
             ends = np.cumsum(lengths)
             yield from (chance[end - n : end] for n, end in zip(lengths, ends, strict=True))
