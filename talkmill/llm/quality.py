@@ -27,7 +27,7 @@ SAMPLE = 8000
 DIMENSIONS = 1 << 16
 ROUNDS = 20
 KEEP = 0.5
-CACHED = 200_000
+CACHED = 300_000
 RUN = 100
 PIECE = 40
 JUNK, ABSTAIN, CLEAN = 0, 1, 2
@@ -36,18 +36,58 @@ JUNK, ABSTAIN, CLEAN = 0, 1, 2
 _KINDS = np.array([1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4 for c in map(chr, range(256))], np.uint8)
 
 
+class Lexicon:
+    """Distinct words by number, with what labellers and scorer look at in each; emptied beyond CACHED words."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        #: Length, ends a sentence, plain, ends in one symbol twice, separator; then hashed word, shape and end.
+        self.table = np.zeros((1024, 8), np.int32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > CACHED:
+            self._clear()
+        number = self.number
+        for word in set(words).difference(number):
+            k = number[word] = len(number)
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[k] = (*_looks(word), *(_features(word) if len(word) <= PIECE else (-1, -1, -1)))
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
+def _looks(word: str) -> tuple[int, bool, bool, bool, bool]:
+    last = word[-1]
+    return (
+        len(word),
+        last in ".?!",
+        word.isalpha() or word[:-1].isalpha(),
+        len(word) > 2 and last == word[-2] and not last.isalnum(),
+        len(word) < 4 and not any(c.isalnum() for c in word),
+    )
+
+
 class Measures:
     """What the labellers look at."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, lexicon: Lexicon | None = None):
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = np.bincount(_KINDS[np.minimum(points, 255)][points < 256], minlength=5)
         self.chars = max(1, len(points))
         self.letters = max(1, int(kinds[0] + kinds[1] + (points >= 256).sum()))
         self.upper, self.digits, self.symbols = int(kinds[1]), int(kinds[2]), int(kinds[4])
         self.words = text.split()
+        lexicon = lexicon or Lexicon()
+        self.numbers = numbers = lexicon.numbers(self.words)
+        looks = lexicon.table[numbers, :5].sum(axis=0, dtype=np.int64).tolist()
+        self.size, self.sentence_ends, self.plain, self.symbol_runs, self.separators = looks
+        self.same = int((numbers[1:] == numbers[:-1]).sum())
         #: Distinct words of each run of RUN words, summed over all runs.
-        self.fresh = sum(len(set(self.words[k : k + RUN])) for k in range(0, len(self.words), RUN))
+        runs = np.sort(numbers[: len(numbers) // RUN * RUN].reshape(-1, RUN), axis=1)
+        self.fresh = int((runs[:, 1:] != runs[:, :-1]).sum()) + len(runs) + len(set(numbers[runs.size :].tolist()))
         self.lines = [line for line in text.split("\n") if line.strip()]
 
 
@@ -64,7 +104,7 @@ def symbol_runs(m: Measures) -> int:
     """Words that end in one symbol twice."""
     if len(m.words) < 5:
         return ABSTAIN
-    return _over(sum(len(w) > 2 and w[-1] == w[-2] and not w[-1].isalnum() for w in m.words) / len(m.words), 0.1)
+    return _over(m.symbol_runs / len(m.words), 0.1)
 
 
 def capitals(m: Measures) -> int:
@@ -79,7 +119,7 @@ def repeats(m: Measures) -> int:
     """Words equal to the one before."""
     if len(m.words) < 10:
         return ABSTAIN
-    return _over(sum(a == b for a, b in zip(m.words, m.words[1:], strict=False)) / len(m.words), 0.1)
+    return _over(m.same / len(m.words), 0.1)
 
 
 def variety(m: Measures) -> int:
@@ -97,11 +137,11 @@ def separators(m: Measures) -> int:
     """Words without a letter or digit, as between the items of a menu."""
     if len(m.words) < 5:
         return ABSTAIN
-    return _over(sum(len(w) < 4 and not any(c.isalnum() for c in w) for w in m.words) / len(m.words), 0.1)
+    return _over(m.separators / len(m.words), 0.1)
 
 
 def _sentence_share(m: Measures) -> float:
-    return sum(w[-1] in ".?!" for w in m.words) / max(1, len(m.words))
+    return m.sentence_ends / max(1, len(m.words))
 
 
 def sentences(m: Measures) -> int:
@@ -119,8 +159,7 @@ def plain_words(m: Measures) -> int:
     """Words of usual length, nearly all of them letters but for a mark at the end, changing, in lines that differ."""
     if len(m.words) < 3:
         return ABSTAIN
-    size = sum(map(len, m.words)) / len(m.words)
-    plain = sum(w.isalpha() or w[:-1].isalpha() for w in m.words) / len(m.words)
+    size, plain = m.size / len(m.words), m.plain / len(m.words)
     return CLEAN if 2.5 <= size <= 9 and plain >= 0.9 and m.fresh > 0.5 * len(m.words) and len(set(m.lines)) > 0.6 * len(m.lines) else ABSTAIN
 
 
@@ -129,9 +168,9 @@ LABELLERS: tuple[Callable[[Measures], int], ...] = (
 )
 
 
-def pattern(text: str, labellers=LABELLERS) -> int:
+def pattern(text: str | Measures, labellers=LABELLERS) -> int:
     """The votes as one number in base three."""
-    m, code = Measures(text), 0
+    m, code = Measures(text) if isinstance(text, str) else text, 0
     for labeller in labellers:
         code = code * 3 + labeller(m)
     return code
@@ -183,35 +222,45 @@ _KIND_OF, _LONG_RUN = _Kinds(), re.compile(r"(.)\1{3,}", re.DOTALL)
 
 def _shape(word: str) -> str:
     """The word's pattern of letters, digits and others, runs cut to three."""
+    body = word if word[-1].isalnum() else word[:-1]
+    if body.isalpha() and body.islower():
+        return "aaa"[: len(body)] + word[len(body) :]
     return _LONG_RUN.sub(r"\1\1\1", word.translate(_KIND_OF))
 
 
+_AS_WORD, _AS_SHAPE, _AS_END = (zlib.crc32(kind) for kind in (b"w", b"s", b"e"))
+
+
+def _features(word: str) -> tuple[int, int, int]:
+    """Hashes of a word, of its shape and of its end."""
+    parts = ((word, _AS_WORD), (_shape(word), _AS_SHAPE), (word[-2:], _AS_END))
+    return tuple(zlib.crc32(part.encode("utf-8", "surrogatepass"), kind) % DIMENSIONS for part, kind in parts)
+
+
 class Hasher:
     """Texts to sparse features: words, their shapes, their ends, and whether a word repeats the one before.
 
     A word of more than PIECE characters is as many words of PIECE characters, and a rest, as it takes.
     """
 
-    def __init__(self):
-        self.known: dict[str, tuple[int, int, int]] = {}
+    def __init__(self, lexicon: Lexicon | None = None):
+        self.lexicon = lexicon or Lexicon()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
-        if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if any(len(w) > PIECE for w in new):  # such words are never among the known
-            words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
-            new = [w for w in set(words) if w not in known]
-        for word in new:
-            parts = ("w" + word, "s" + _shape(word), "e" + word[-2:])
-            known[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % DIMENSIONS for p in parts)
+        return self.of_words(words, self.lexicon.numbers(words))
+
+    def of_words(self, words: list[str], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of words and their numbers in the lexicon."""
         if not words:
             return np.empty(0, np.int64), np.empty(0)
-        rows = np.array([known[w] for w in words]).ravel()
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        ids, counts = np.unique(np.append(rows, np.full(same, zlib.crc32(b"same") % DIMENSIONS)), return_counts=True)
+        rows = self.lexicon.table[numbers, 5:]
+        if (rows[:, 0] < 0).any():
+            words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+            numbers = self.lexicon.numbers(words)
+            rows = self.lexicon.table[numbers, 5:]
+        same = int((numbers[1:] == numbers[:-1]).sum())
+        ids, counts = np.unique(np.append(rows.ravel(), np.full(same, zlib.crc32(b"same") % DIMENSIONS)), return_counts=True)
         return ids, np.sqrt(counts / len(words))
 
 
@@ -219,8 +268,9 @@ def _pattern_counts(docs: DataFrame) -> dict[int, int]:
     def task(batches):
         import pandas as pd
 
+        lexicon = Lexicon()
         for batch in batches:
-            yield pd.DataFrame({"pattern": [pattern(t) for t in batch["text"]]})
+            yield pd.DataFrame({"pattern": [pattern(Measures(t, lexicon)) for t in batch["text"]]})
 
     counted = docs.select("text").mapInPandas(task, "pattern int").groupBy("pattern").count()
     return {r.pattern: r["count"] for r in counted.collect()}
@@ -255,8 +305,11 @@ def _train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(key, doc_id, pattern, posterior, score), one row per row of df; key is the row key."""
+def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, votes: bool = True) -> DataFrame:
+    """(key, doc_id, pattern, posterior, score), one row per row of df; key is the row key.
+
+    Without votes, which the score does not need, pattern and posterior are null.
+    """
     docs = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     counts = _pattern_counts(docs)
     total = sum(counts.values())
@@ -281,22 +334,28 @@ def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import pandas as pd
 
         weights, bias, posterior = model.value
-        hasher = Hasher()
+        lexicon = Lexicon()
+        hasher = Hasher(lexicon)
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                ids, values = hasher(text)
-                code = pattern(text)
+                code = None
+                if votes:
+                    m = Measures(text, lexicon)
+                    code, (ids, values) = pattern(m), hasher.of_words(m.words, m.numbers)
+                else:
+                    ids, values = hasher(text)
                 z = float(weights[ids] @ values) + bias
-                rows.append((code, posterior[code], 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))))
-            yield pd.concat([batch[["key", "doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["pattern", "posterior", "score"])], axis=1)
+                rows.append((code, None if code is None else posterior[code], 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))))
+            scored = pd.DataFrame(rows, columns=["pattern", "posterior", "score"]).astype({"pattern": "Int32", "posterior": "Float64"})
+            yield pd.concat([batch[["key", "doc_id"]].reset_index(drop=True), scored], axis=1)
 
     return docs.mapInPandas(task, "key string, doc_id long, pattern int, posterior double, score double")
 
 
 def keep_clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows of df whose text's score is at least keep."""
-    rejected = score_quality(df, id_col, text_col).filter(F.col("score") < keep).select("key").distinct()
+    rejected = score_quality(df, id_col, text_col, votes=False).filter(F.col("score") < keep).select("key").distinct()
     rows = df.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(rejected, "key", "left_anti")
     return rows.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
