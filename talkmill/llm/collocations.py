@@ -298,8 +298,9 @@ def stripes(docs: DataFrame, length: int, known: np.ndarray | None = None) -> Da
         yield from counter.flush()
 
     kept = docs.mapInArrow(task, "part int, lang string, stripes string, n array<long>").repartition("part")
-    entries = """flatten(transform(split(stripes, '\n', -1), s -> transform(split(split(s, '\t')[1], ' '),
-        w -> struct(split(s, '\t')[0] as prefix, w as next))))"""
+    # Each stripe is split once: into its prefix and its words, held in a list of one.
+    entries = """flatten(flatten(transform(split(stripes, '\n', -1), s -> transform(array(split(s, '\t')),
+        t -> transform(split(t[1], ' '), w -> struct(t[0] as prefix, w as next))))))"""
     dealt = kept.select("part", "lang", F.explode(F.arrays_zip(F.expr(entries).alias("e"), F.col("n").alias("n"))).alias("x"))
     merged = dealt.groupBy("part", "lang", F.col("x.e.prefix").alias("prefix"), F.col("x.e.next").alias("next")).agg(F.sum("x.n").alias("f"))
     return merged.select("lang", F.when(F.col("prefix") != _TOTAL, F.col("prefix")).alias("prefix"), "next", "f")
