@@ -37,9 +37,10 @@ _KINDS = np.array([1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit()
 
 
 class Lexicon:
-    """Distinct words by number, with what labellers and scorer look at in each; emptied beyond CACHED words."""
+    """Distinct words by number, with what labellers and, if asked for, the scorer look at in each; emptied beyond CACHED words."""
 
-    def __init__(self):
+    def __init__(self, scored: bool = True):
+        self.scored = scored
         self._clear()
 
     def _clear(self) -> None:
@@ -48,25 +49,32 @@ class Lexicon:
         self.table = np.zeros((1024, 8), np.int32)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > CACHED:
-            self._clear()
         number = self.number
-        for word in set(words).difference(number):
-            k = number[word] = len(number)
-            if k == len(self.table):
+        if len(number) > CACHED:
+            self._clear()
+            number = self.number
+        new = list(set(words).difference(number))
+        if new:
+            first, end = len(number), len(number) + len(new)
+            number.update(zip(new, range(first, end), strict=True))
+            while end > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = (*_looks(word), *(_features(word) if len(word) <= PIECE else (-1, -1, -1)))
+            self.table[first:end, :5] = [_looks(word) for word in new]
+            if self.scored:
+                self.table[first:end, 5:] = [_features(word) if len(word) <= PIECE else (-1, -1, -1) for word in new]
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def _looks(word: str) -> tuple[int, bool, bool, bool, bool]:
-    last = word[-1]
+    size, last = len(word), word[-1]
+    if word.isalpha():
+        return size, False, True, False, False
     return (
-        len(word),
+        size,
         last in ".?!",
-        word.isalpha() or word[:-1].isalpha(),
-        len(word) > 2 and last == word[-2] and not last.isalnum(),
-        len(word) < 4 and not any(c.isalnum() for c in word),
+        word[:-1].isalpha(),
+        size > 2 and last == word[-2] and not last.isalnum(),
+        size < 4 and not any(map(str.isalnum, word)),
     )
 
 
@@ -80,7 +88,7 @@ class Measures:
         self.letters = max(1, int(kinds[0] + kinds[1] + (points >= 256).sum()))
         self.upper, self.digits, self.symbols = int(kinds[1]), int(kinds[2]), int(kinds[4])
         self.words = text.split()
-        lexicon = lexicon or Lexicon()
+        lexicon = lexicon or Lexicon(scored=False)
         self.numbers = numbers = lexicon.numbers(self.words)
         looks = lexicon.table[numbers, :5].sum(axis=0, dtype=np.int64).tolist()
         self.size, self.sentence_ends, self.plain, self.symbol_runs, self.separators = looks
@@ -233,8 +241,9 @@ _AS_WORD, _AS_SHAPE, _AS_END = (zlib.crc32(kind) for kind in (b"w", b"s", b"e"))
 
 def _features(word: str) -> tuple[int, int, int]:
     """Hashes of a word, of its shape and of its end."""
-    parts = ((word, _AS_WORD), (_shape(word), _AS_SHAPE), (word[-2:], _AS_END))
-    return tuple(zlib.crc32(part.encode("utf-8", "surrogatepass"), kind) % DIMENSIONS for part, kind in parts)
+    raw, shape = word.encode("utf-8", "surrogatepass"), _shape(word).encode("utf-8", "surrogatepass")
+    end = raw[-2:] if len(raw) == len(word) else word[-2:].encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw, _AS_WORD) % DIMENSIONS, zlib.crc32(shape, _AS_SHAPE) % DIMENSIONS, zlib.crc32(end, _AS_END) % DIMENSIONS
 
 
 class Hasher:
@@ -268,7 +277,7 @@ def _pattern_counts(docs: DataFrame) -> dict[int, int]:
     def task(batches):
         import pandas as pd
 
-        lexicon = Lexicon()
+        lexicon = Lexicon(scored=False)
         for batch in batches:
             yield pd.DataFrame({"pattern": [pattern(Measures(t, lexicon)) for t in batch["text"]]})
 
