@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from talkmill.llm.rows import narrow
 
 LONG = 200
-CACHED_PIECES, CACHED_WORDS = 250_000, 600_000
+CACHED_PIECES, CACHED_WORDS = 600_000, 600_000
 #: Texts of so many characters go through the database together.
 TOGETHER = 4_000_000
 MEMORY = "300MB"
@@ -91,9 +91,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def letters_of(raw: bytes) -> str:
+def letters_of(tokens: list[bytes]) -> list[str]:
     """Each byte as one character above the control characters, since tokens need not be valid text."""
-    return raw.decode("latin-1").translate({b: b + 256 for b in range(256)})
+    import numpy as np
+
+    joined = (np.frombuffer(b"".join(tokens), np.uint8).astype("<u2") + 256).tobytes().decode("utf-16-le")
+    ends = np.cumsum([len(t) for t in tokens]).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def bytes_of(letters: str) -> bytes:
@@ -124,7 +128,7 @@ class Codec:
             if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
         ]
         self.table("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int32())}))
-        self.table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "letters": list(map(letters_of, ranks))}))
+        self.table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "letters": letters_of(list(ranks))}))
 
     def table(self, name: str, rows) -> None:
         self.db.register("given", rows)
@@ -165,6 +169,21 @@ class Codec:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + piece for piece in rest]
 
+    def split(self, pieces: list[str]) -> dict[str, list[str]]:
+        """The pattern's words of each piece; those with a blank in front and no other white space at their ends are cut in one go."""
+        import numpy as np
+
+        out: dict[str, list[str]] = {}
+        plain = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        for start in range(0, len(plain), 5000):
+            some = plain[start : start + 5000]
+            words = self.pattern.findall("".join(some))
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            edges = (np.searchsorted(ends, np.cumsum([len(p) for p in some])) + 1).tolist()
+            out.update((piece, words[a:b]) for piece, a, b in zip(some, [0, *edges], edges, strict=False))
+        out.update((piece, self.pattern.findall(piece)) for piece in pieces if piece not in out)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut_pieces(text) for text in texts]
         if len(self.pieces) > CACHED_PIECES:
@@ -173,7 +192,7 @@ class Codec:
             self.words = {}
         known = self.pieces
         new = dict.fromkeys(piece for pieces in cut for piece in pieces if piece not in known)
-        split = {piece: self.pattern.findall(piece) for piece in new}
+        split = self.split(list(new))
         fresh = list(dict.fromkeys(word for words in split.values() for word in words if word not in self.words))
         for start in range(0, len(fresh), 200_000):
             block = fresh[start : start + 200_000]
