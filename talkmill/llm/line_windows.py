@@ -44,7 +44,10 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return merged.selectExpr("row", "text", "split(text, '\\n', -1) as line", "starts").selectExpr(
         "row",
         "cast(size(line) as bigint) as n_lines",
-        f"""if(starts is null, line, filter(line, (x, i) -> not ({' or '.join(f'array_contains(starts, i - {k})' for k in range(WINDOW))}))) as kept""",
+        # The places left over are found by a set of the covered ones, so a text of many lines costs no more a line.
+        f"""if(starts is null, line, transform(
+            array_except(sequence(0, size(line) - 1), flatten(transform(starts, s -> sequence(s, s + {WINDOW - 1})))),
+            i -> line[i])) as kept""",
     ).selectExpr("row", "n_lines", "n_lines - size(kept) as n_removed", "array_join(kept, '\\n') as kept")
 
 

@@ -50,3 +50,9 @@ def test_given_texts(spark):
     want = brute(rows)
     got = {r.doc_id: r.text for r in line_windows.dedup_lines(df).collect()}
     assert got == {i: want[i, t] for i, t in rows}
+
+
+def test_many_lines(spark):
+    """Two equal texts of 200,000 lines: the first stays, the second goes."""
+    text = "\n".join(f"line {n}" for n in range(200_000))
+    assert run(spark, [(1, text), (2, text)]) == sorted([(1, text), (2, "")], key=repr)
