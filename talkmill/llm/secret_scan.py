@@ -88,7 +88,9 @@ def _hot(cls: EntropyClass) -> str:
     w = cls.window
     f = "array(" + ", ".join(f"{round(n * math.log2(n) * SCALE) if n else 0}L" for n in range(w + 1)) + ")"
     most = math.floor((math.log2(w) - cls.least_bits) * w * SCALE)  # hot: the sum is at most this
-    place = f"instr({_quoted(cls.alphabet)}, substr(c.m, {{}}, 1)) - 1"
+    # p holds the place of every character in the alphabet, looked up once.
+    places = f"transform(split(c.m, ''), x -> instr({_quoted(cls.alphabet)}, x) - 1)"
+    place = "get(p, {} - 1)"
     enter = f"{f}[b.n[q.i] + 1] - {f}[b.n[q.i]]"
     leave = f"if(q.o >= 0, {f}[b.n[q.o]] - {f}[b.n[q.o] - 1], 0L)"
     spans = f"""case
@@ -96,7 +98,7 @@ def _hot(cls: EntropyClass) -> str:
         when size(b.out) > 0 and element_at(b.out, -1).e >= j - {w}
           then concat(slice(b.out, 1, size(b.out) - 1), array(named_struct('s', element_at(b.out, -1).s, 'e', j)))
         else concat(b.out, array(named_struct('s', j - {w}, 'e', j))) end"""
-    return f"""aggregate(
+    return f"""transform(array({places}), p -> aggregate(
         sequence(1, char_length(c.m)),
         named_struct('n', array_repeat(0, {len(cls.alphabet)}), 't', 0L, 'out', cast(array() as array<struct<s:int,e:int>>)),
         (b, j) -> transform(
@@ -106,7 +108,7 @@ def _hot(cls: EntropyClass) -> str:
                     'n', transform(b.n, (x, k) -> x + if(k = q.i, 1, 0) - if(k = q.o, 1, 0)),
                     't', b.t + if(q.i = q.o, 0L, {enter} - {leave}))),
             d -> named_struct('n', d.n, 't', d.t, 'out', {spans}))[0],
-        b -> b.out)"""
+        b -> b.out))[0]"""
 
 
 def _entropy_spans(text: str, order: int, cls: EntropyClass) -> str:

@@ -94,3 +94,14 @@ def test_query(spark):
         base = base_spans(texts_of[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[3] == k for s in base) for k in BASE]
         assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + entropy_spans(texts_of[r.doc_id])))
+
+
+def test_a_long_run(spark):
+    """One candidate of 200,000 characters: hot but for a stretch of one letter."""
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    run = "".join(rng.choices(letters, k=100_000)) + "a" * 1000 + "".join(rng.choices(letters, k=99_000))
+    row = secret_scan.scan_secrets(spark.createDataFrame([(1, run)], "doc_id long, text string")).first()
+    spans = [(x.s, x.e) for x in row.entropy]
+    assert spans and spans[0][0] < 100 and spans[-1][1] > 199_900
+    assert not any(s < 100_500 < e for s, e in spans)
