@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 
 from talkmill.llm import quality
@@ -76,3 +79,71 @@ def test_a_text_without_blanks_counts_whole():
     short = hasher("a quiet river " + "x" * 40)
     assert np.allclose(hasher("a quiet river " + "x" * 40)[1], short[1]) and crc("w" + "x" * 40) in short[0]
     assert np.array_equal(hasher("y" * 40 + "river")[0], hasher("y" * 40 + " river")[0])
+
+
+def plain_em(counts, labellers, rounds=200):
+    """The same estimates one pattern, one labeller, one vote at a time."""
+    prior, right = 0.9, [0.95] * labellers
+
+    def posterior(code):
+        odds = prior / (1 - prior)
+        for vote, rate in zip(quality.votes_of(code, labellers), right, strict=True):
+            odds *= rate / (1 - rate) if vote == quality.CLEAN else (1 - rate) / rate if vote == quality.JUNK else 1
+        return odds / (1 + odds)
+
+    for _ in range(rounds):
+        after = {code: posterior(code) for code in counts}
+        total = sum(counts.values())
+        new = [0.0] * labellers
+        for k in range(labellers):
+            agreed = votes = 0.0
+            for code, n in counts.items():
+                vote = quality.votes_of(code, labellers)[k]
+                if vote != quality.ABSTAIN:
+                    votes += n
+                    agreed += n * (after[code] if vote == quality.CLEAN else 1 - after[code])
+            new[k] = min(max((agreed + 19) / (votes + 20), 0.6), 0.995)
+        prior = min(max((sum(n * after[code] for code, n in counts.items()) + 9) / (total + 10), 0.05), 0.95)
+        moved = max(abs(a - b) for a, b in zip(new, right, strict=True))
+        right = new
+        if moved < 1e-9:
+            break
+    return prior, right, {code: posterior(code) for code in counts}
+
+
+def test_estimates_by_plain_loops():
+    rng = random.Random(12)
+    for labellers in (2, 3, 4):
+        counts = {code: rng.randint(1, 50) for code in rng.sample(range(3**labellers), min(3**labellers, 12))}
+        model = quality.LabelModel(counts, labellers)
+        prior, right, posterior = plain_em(counts, labellers)
+        assert math.isclose(model.prior, prior, rel_tol=1e-9)
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(model.right, right, strict=True))
+        assert all(math.isclose(model.posterior[c], posterior[c], rel_tol=1e-6, abs_tol=1e-12) for c in counts)
+
+
+def test_scorer_by_plain_gradient_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["good", "plain", "words", "!!", "buy", "now"], k=rng.randint(1, 9))) for _ in range(25)]
+    hasher = quality.Hasher()
+    found = [(*hasher(t), rng.random()) for t in texts]
+    rows = [(ids.astype("int64").tobytes(), values.tobytes(), truth) for ids, values, truth in found]
+    sample = spark.createDataFrame(rows, "ids binary, counts binary, posterior double").repartition(3)
+    weights, bias = quality._train(sample, rounds=6)
+    own, squares, at, at_squares = {}, {}, 0.0, 1e-3
+    for _ in range(6):
+        gradient, slope = {i: -0.05 * w for i, w in own.items()}, 0.0
+        for ids, values, truth in found:
+            z = at + sum(own.get(int(i), 0.0) * v for i, v in zip(ids, values, strict=True))
+            gap = truth - 1 / (1 + math.exp(-z))
+            slope += gap
+            for i, v in zip(ids, values, strict=True):
+                gradient[int(i)] = gradient.get(int(i), 0.0) + gap * v
+        at_squares += slope**2
+        for i, g in gradient.items():
+            squares[i] = squares.get(i, 1e-3) + g * g
+            own[i] = own.get(i, 0.0) + g / math.sqrt(squares[i])
+        at += 0.5 * slope / math.sqrt(at_squares)
+    assert math.isclose(bias, at, rel_tol=1e-9)
+    assert all(math.isclose(weights[i], w, rel_tol=1e-7, abs_tol=1e-12) for i, w in own.items())
+    assert set(weights.nonzero()[0].tolist()) <= set(own)
