@@ -51,6 +51,7 @@ LEFT JOIN (SELECT doc_id, min(other) AS other FROM reached GROUP BY 1) r USING (
 ORACLE = {
     "op3_secret_scan": secret_scan.secrets_sql(),
     "op7_line_dedup": line_windows.LINE_DEDUP_SQL,
+    "op8_suffix_dedup": suffix_dedup.SUFFIX_SQL,
     "op9_jaccard_join": JACCARD_SQL,
     "op12_collocations": collocations.COLLOCATIONS_SQL,
 }

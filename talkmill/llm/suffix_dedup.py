@@ -308,3 +308,32 @@ def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suffix-array dedup leaves of each document."""
     done = drop_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+#: Every 400-byte string by its digest, over texts in hexadecimal: for tables of a few thousand documents.
+SUFFIX_SQL = """
+WITH letters AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS MATERIALIZED (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS s
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 399)) AS i FROM letters WHERE len(h) >= 800)
+), repeated AS (
+  SELECT doc_id, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER w + 400, true) AS new FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT doc_id, i, sum(new::int) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), runs AS MATERIALIZED (
+  SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY ALL
+), edges AS (
+  SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS z FROM runs
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(r.z), 0), any_value(len(d.h) // 2) FROM letters d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, sha256(from_hex(string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a))) AS kept_sha256
+  FROM edges JOIN letters USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM letters d JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(z - a)::bigint AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id) r USING (doc_id)
+"""
