@@ -170,15 +170,15 @@ class Taxonomy:
         return spark.createDataFrame(rows, TABLE_SCHEMA)
 
     @classmethod
-    def from_table(cls, df: DataFrame) -> Taxonomy:
-        """Read a taxonomy kept as rows (see :meth:`table`); it must be small."""
+    def from_table(cls, df: DataFrame, most: int = MAX_TAXONOMY_ROWS) -> Taxonomy:
+        """Read a taxonomy kept as rows (see :meth:`table`), at most so many."""
         rows = (
             df.select("cat_ord", "category", "sub_ord", "subcategory", "kw_ord", "keyword")
-            .limit(MAX_TAXONOMY_ROWS + 1)
+            .limit(most + 1)
             .collect()
         )
-        if len(rows) > MAX_TAXONOMY_ROWS:
-            raise ValueError(f"a taxonomy has at most {MAX_TAXONOMY_ROWS} keyword rows")
+        if len(rows) > most:
+            raise ValueError(f"a taxonomy has at most {most} keyword rows")
         lists: dict[tuple[str, str | None], list[str]] = {}
         for r in sorted(rows, key=lambda r: (r["cat_ord"], r["sub_ord"], r["kw_ord"])):
             lists.setdefault((r["category"], r["subcategory"]), []).append(r["keyword"])

@@ -280,7 +280,7 @@ def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(r["__file"], n) for r, n in zip(sizes, before, strict=False)], "source_file string, before long"
     )
     own = F.substring_index("conversation_id", "_", -1).cast("long")
-    return CSV.upload_csv_rows(spark, folder).join(F.broadcast(parts), "source_file").select(
+    return CSV.upload_csv_rows(spark, folder).join(parts, "source_file").select(
         F.concat(F.lit("row_"), (own + F.col("before")).cast("string")).alias("conversation_id"), "text", "language"
     )
 
