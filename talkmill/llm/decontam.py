@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic search, with rare words beside it so that no copy is missed.
 
 1. Words of the benchmark are the vocabulary; how many documents hold each is counted over all documents.
-2. A distributed randomised SVD of TF-IDF passages (all of the benchmark's, and those of a sample of documents bounded
-   by about SAMPLE) gives a latent space: tasks sum A'AQ, the driver orthogonalises vocabulary x RANK numbers.
+2. A distributed randomised SVD of TF-IDF passages (all of the benchmark's and of the documents') gives a latent space:
+   tasks sum A'AQ, the sums meet by shares of the vocabulary, the driver orthogonalises vocabulary x RANK numbers.
 3. Every whole document is cut into overlapping passages. A benchmark passage is a candidate of each document passage whose
    latent cosine with it reaches COSINE, wherever its words stand. Beside this, each benchmark passage has leading words: its rarest, so many
    that the others weigh less than SHARE of it. What holds SHARE holds a leading word, so a benchmark passage is also a
@@ -12,7 +12,8 @@
    for one near in the latent space NEAR of the weight is enough beside the answer, as clauses may have changed places.
 
 Benchmark passages are cut short enough to lie within one document passage, wherever they stand. The benchmark is a stated
-query set, taken in blocks of ITEMS; a block is what is broadcast. Null and empty texts and items have no words and never
+query set, taken in blocks of ITEMS; a block is what is broadcast. Documents are split into words once a block, and their
+numbers, four bytes a word, are written for the passes that follow. Null and empty texts and items have no words and never
 match; rows that repeat give equal results, once per (document, item); an item of several passages leaks if one does.
 """
 
@@ -29,11 +30,14 @@ from talkmill.llm.rows import row_key, text_or_empty
 
 PASSAGE, STRIDE = 64, 16
 RANK, SPARE, POWERS = 96, 16, 3
-SAMPLE = 2000
 SHARE, SURE, ANSWER = 0.6, 0.8, 0.5
 COSINE, NEAR = 0.8, 0.4
-#: Words of a document whose latent vectors are held at a time.
+#: Words whose latent vectors are held at a time, whole steps; shorter documents are put together up to it.
 HELD = 16_384
+#: Passages that are multiplied at a time, and shares of the vocabulary that products are added up by.
+ROWS, SHARES = 64, 32
+#: Document passages, and pairs of them and benchmark passages, that are compared at a time.
+COMPARED, PAIRS = 64, 20_000
 ITEMS = 20_000
 #: Pairs of a leading word and a benchmark passage that are held at a time.
 TOGETHER = 200_000
@@ -119,18 +123,32 @@ class Benchmark:
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those with each word."""
+def _numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(key, doc_id, ids): each document's words by their numbers, written for all passes over them."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def task(batches):
+        import pyarrow as pa
+
+        numbers = Numbers(sent.value)
+        for batch in batches:
+            ids = pa.array([numbers.of(text).tobytes() for text in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), ids], ["key", "doc_id", "ids"])
+
+    return written(docs.select("key", "doc_id", "text").mapInArrow(task, "key string, doc_id long, ids binary"), "numbered")
+
+
+def _frequencies(numbered: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those with each of size words."""
+
     def task(batches):
         import pandas as pd
 
-        numbers, seen, rows = Numbers(sent.value), np.zeros(len(sent.value) + 1, np.int64), 0
+        seen, rows = np.zeros(size + 1, np.int64), 0
         present = np.zeros(len(seen), np.bool_)  # the last place is that of other words
         for batch in batches:
-            for text in batch["text"]:
-                ids = numbers.of(text)
+            for raw in batch["ids"]:
+                ids = np.frombuffer(raw, np.int32)
                 present[ids] = True
                 seen += present
                 present[ids] = False
@@ -139,60 +157,84 @@ def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.n
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"word": at, "seen": seen[at]})
 
-    counted = docs.select("text").mapInPandas(task, "word long, seen long").groupBy("word").agg(F.sum("seen").alias("seen"))
-    out = np.zeros(len(vocabulary) + 1, np.int64)
+    counted = numbered.select("ids").mapInPandas(task, "word long, seen long").groupBy("word").agg(F.sum("seen").alias("seen"))
+    out = np.zeros(size + 1, np.int64)
     for r in counted.collect():  # one row for each word of a block of the benchmark
         out[r.word] = r.seen
     return int(out[-1]), out[:-1]
 
 
-def _tf_idf(ids: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-    """A passage's row: words of the vocabulary, and their weights in a vector of length 1 over all words."""
-    known, counts = np.unique(ids[ids >= 0], return_counts=True)
-    values = counts * bench.idf[known]
-    norm = math.sqrt(float(values @ values) + float((ids < 0).sum()) * bench.unknown**2)
-    return known, values / max(norm, 1e-9)
-
-
-def _basis(docs: DataFrame, bench: Benchmark, documents: int, rank: int, sample: int) -> np.ndarray:
+def _groups(found: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of documents that have words of the vocabulary, of about HELD words together; a longer one stands alone."""
+    group, size = [], 0
+    for n, ids in enumerate(found):
+        if not len(ids) or ids.max() < 0:
+            continue
+        if group and size + len(ids) > HELD:
+            yield group
+            group, size = [], 0
+        group.append(n)
+        size += len(ids)
+    if group:
+        yield group
+
+
+def _add_products(total: np.ndarray, found: list[np.ndarray], idf: np.ndarray, unknown: float, q: np.ndarray) -> None:
+    """Adds A'AQ to total, where a row of A is a passage: its words' weights in a vector of length 1 over all words."""
+    sizes = np.array([len(x) for x in found])
+    ids, parts = np.concatenate(found), -(-sizes // PASSAGE)
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    passage = np.repeat(np.cumsum(parts) - parts, sizes) + at // PASSAGE
+    known, rows = ids >= 0, int(parts.sum())
+    keys, counts = np.unique(passage[known] * len(idf) + ids[known], return_counts=True)
+    row, word = np.divmod(keys, len(idf))
+    values = counts * idf[word]
+    others = np.bincount(passage[~known], minlength=rows) * unknown**2
+    values /= np.sqrt(np.bincount(row, values**2, minlength=rows) + others)[row]
+    for first in range(0, rows, ROWS):
+        a, z = np.searchsorted(row, (first, first + ROWS))
+        if a < z:
+            words, column = np.unique(word[a:z], return_inverse=True)
+            block = np.zeros((ROWS, len(words)), np.float32)
+            block[row[a:z] - first, column] = values[a:z]
+            total[words] += block.T @ (block @ q[words])
+
+
+def _basis(numbered: DataFrame, bench: Benchmark, rank: int) -> np.ndarray:
     """The leading right singular vectors of the passages, vocabulary x rank."""
-    spark = docs.sparkSession
-    size = len(bench.vocabulary)
-    take = math.ceil(1e6 * min(1, sample / max(1, documents)))
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1_000_000)) < take).dropDuplicates()
-    vocabulary = bench.vocabulary
-
-    def cut(batches):
-        import pandas as pd
-
-        numbers = Numbers(vocabulary)
-        for batch in batches:
-            parts = (ids[k : k + PASSAGE] for ids in map(numbers.of, batch["text"]) for k in range(0, len(ids), PASSAGE))
-            yield pd.DataFrame({"ids": [p.tobytes() for p in parts if (p >= 0).any()]})
-
-    own = spark.createDataFrame([(bytearray(p.tobytes()),) for p in bench.passages], "ids binary")
-    passages = written(chosen.mapInPandas(cut, "ids binary").union(own).repartition(12), "passages")
+    context = numbered.sparkSession.sparkContext
+    size = len(bench.idf)
     width = min(size, rank + SPARE)
     q = np.linalg.qr(np.random.default_rng(17).standard_normal((size, width)))[0]
-    sent_bench = spark.sparkContext.broadcast(vars(bench))
+    edges = np.linspace(0, size, SHARES + 1).astype(int).tolist()
+    passages = numbered.select("ids").coalesce(2 * context.defaultParallelism)  # each task gives vocabulary x rank numbers
     for _ in range(POWERS):
-        sent = spark.sparkContext.broadcast(q)
+        sent = context.broadcast((bench.idf, bench.unknown, q.astype(np.float32)))
 
         def task(batches, sent=sent):
             import pandas as pd
 
-            bench, q = Benchmark.of(sent_bench.value), sent.value
-            total = np.zeros_like(q)
+            idf, unknown, q = sent.value
+            total = np.zeros(q.shape)
             for batch in batches:
-                for raw in batch["ids"]:
-                    known, values = _tf_idf(np.frombuffer(raw, np.int32), bench)
-                    total[known] += np.outer(values, values @ q[known])
-            yield pd.DataFrame({"part": [total.astype(np.float32).tobytes()]})
-
-        rows = passages.mapInPandas(task, "part binary").collect()  # vocabulary x rank numbers for each of 12 tasks
-        total = sum((np.frombuffer(r.part, np.float32).reshape(q.shape).astype(float) for r in rows), np.zeros_like(q))
-        left, _, _ = np.linalg.svd(total, full_matrices=False)
-        q = left
+                found = [np.frombuffer(raw, np.int32) for raw in batch["ids"]]
+                for group in _groups(found):
+                    _add_products(total, [found[n] for n in group], idf, unknown, q)
+            parts = [total[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            yield pd.DataFrame({"share": range(SHARES), "part": parts})
+
+        def added(parts):
+            import pandas as pd
+
+            whole = sum(np.frombuffer(part) for part in parts["part"])
+            return pd.DataFrame({"share": parts["share"].iloc[:1], "part": [whole.tobytes()]})
+
+        shares = passages.mapInPandas(task, "share int, part binary").groupBy("share").applyInPandas(added, "share int, part binary")
+        total = np.zeros(q.shape)
+        for r in shares.collect():  # vocabulary x rank numbers
+            total[edges[r.share] : edges[r.share + 1]] = np.frombuffer(r.part).reshape(-1, width)
+        _add_products(total, bench.passages, bench.idf, bench.unknown, q.astype(np.float32))
+        q = np.linalg.svd(total, full_matrices=False)[0]
     return q[:, :rank]
 
 
@@ -248,71 +290,111 @@ def _near(ids: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, np.ndarray]]
     for start in range(0, len(ids), HELD):
         # Passages that begin in this part; the last ones reach into the next.
         part = ids[start : start + HELD + PASSAGE - STRIDE]
+        part = np.append(part, np.full(-len(part) % STRIDE, -1, part.dtype))
         starts = np.arange(0, len(part), STRIDE)
         mass = _passage_sums(bench.mass[part], starts)
         able = np.flatnonzero(mass[: HELD // STRIDE] >= least[0])
         if not len(able):
             continue
-        steps = np.add.reduceat(bench.rows[part], starts, axis=0)
+        steps = bench.rows[part].reshape(-1, STRIDE, bench.rows.shape[1]).sum(axis=1)
         steps = np.vstack([steps, np.zeros((across, steps.shape[1]), np.float32)])
         latent = sum(steps[able + k] for k in range(across))
         cosine = latent @ bench.latent.T
         cosine /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        at, near = np.nonzero((cosine >= COSINE) & (mass[able, None] >= least[None, :]))
-        for one in np.unique(at):
-            yield int(able[one]) + start // STRIDE, near[at == one]
-
-
-def _leaks_of(ids: np.ndarray, bench: Benchmark) -> Iterator[tuple]:
-    """(item, cosine, share, answer) of the leaks in one document."""
-    yield from _compared(ids, bench, _near(ids, bench), NEAR)
-    yield from _compared(ids, bench, _candidates(ids, bench), SHARE)
+        at, near = np.nonzero(cosine >= COSINE)
+        heavy = mass[able[at]] >= least[near]
+        at, near = at[heavy], near[heavy]
+        edges = np.flatnonzero(np.diff(at, prepend=-1))
+        for a, z in zip(edges, [*edges[1:], len(at)], strict=False):
+            yield int(able[at[a]]) + start // STRIDE, near[a:z]
+
+
+def _leaks_of(found: list[np.ndarray], bench: Benchmark) -> Iterator[tuple]:
+    """(place of the document, item, cosine, share, answer) of the leaks in some documents."""
+    across = PASSAGE // STRIDE
+    # End to end, each filled up to whole steps and so many more that no passage of one reaches into the next.
+    steps = np.array([-(-len(x) // STRIDE) for x in found])
+    begin = np.cumsum(steps + across - 1) - (steps + across - 1)
+    ids = np.full((int(begin[-1] + steps[-1]) + across - 1) * STRIDE, -1, np.int32)
+    owner = np.full(len(ids) // STRIDE, -1)
+    for n, (x, first, many) in enumerate(zip(found, begin.tolist(), steps.tolist(), strict=True)):
+        ids[first * STRIDE : first * STRIDE + len(x)] = x
+        owner[first : first + many] = n
+    owner = owner.tolist()
+
+    def own(candidates):
+        return ((step, near) for step, near in candidates if owner[step] >= 0)
+
+    for step, *leak in _compared(ids, bench, own(_near(ids, bench)), NEAR):
+        yield owner[step], *leak
+    for step, *leak in _compared(ids, bench, own(_candidates(ids, bench)), SHARE):
+        yield owner[step], *leak
+
+
+def _some(candidates: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Candidates of about COMPARED document passages and PAIRS pairs."""
+    some, pairs = [], 0
+    for step, near in candidates:
+        some.append((step, near))
+        pairs += len(near)
+        if len(some) >= COMPARED or pairs >= PAIRS:
+            yield some
+            some, pairs = [], 0
+    if some:
+        yield some
 
 
 def _compared(ids: np.ndarray, bench: Benchmark, candidates: Iterator[tuple[int, np.ndarray]], least: float) -> Iterator[tuple]:
-    """Leaks among candidates, of which least of the weight must be found in order where the answer stands as well."""
-    present = np.zeros(len(bench.idf) + 1, np.bool_)  # the last place is that of other words
-    for step, near in candidates:
-        passage = ids[step * STRIDE : step * STRIDE + PASSAGE]
-        words = bench.flat[_spread(bench.begin[near], bench.size[near])]
-        present[passage] = True
-        held = present[words]
-        present[passage] = False
-        edges = np.cumsum(bench.size[near]) - bench.size[near]
+    """(step, item, cosine, share, answer) of the leaks among candidates, of which least of the weight must be found in order where the answer stands as well."""
+    present = np.zeros((COMPARED, len(bench.idf) + 1), np.bool_)  # the last column is that of other words
+    line = np.arange(COMPARED)[:, None]
+    for some in _some(candidates):
+        begin = np.array([step for step, _ in some]) * STRIDE
+        near, row = np.concatenate([n for _, n in some]), np.repeat(np.arange(len(some)), [len(n) for _, n in some])
+        passages = ids[begin[:, None] + np.arange(PASSAGE)]
+        sizes = bench.size[near]
+        words = bench.flat[_spread(bench.begin[near], sizes)]
+        present[line[: len(some)], passages] = True
+        held = present[np.repeat(row, sizes), words]
+        present[line[: len(some)], passages] = False
+        edges = np.cumsum(sizes) - sizes
         common = np.add.reduceat(bench.mass[words] * held, edges)
         # no common subsequence can weigh more than the words in common
         for at in np.flatnonzero(common >= least * bench.weight[near] - 1e-9):
-            k, size = near[at], bench.size[near[at]]
+            k, size, passage = near[at], sizes[at], passages[row[at]]
             share = common_weight(bench.passages[k], passage, bench.idf) / bench.weight[k]
             answer = float(held[edges[at] : edges[at] + size][-max(1, size // 4) :].mean())
             if share >= SURE or share >= least and answer >= ANSWER:
                 latent = bench.rows[passage].sum(axis=0)
-                yield bench.item[k], float(latent @ bench.latent[k] / max(np.linalg.norm(latent), 1e-9)), share, answer
+                yield some[row[at]][0], bench.item[k], float(latent @ bench.latent[k] / max(np.linalg.norm(latent), 1e-9)), share, answer
 
 
-def _block_leaks(docs: DataFrame, bench: Benchmark, rank: int, sample: int) -> DataFrame:
-    bench.weigh(*_frequencies(docs, bench.vocabulary))
-    bench.project(_basis(docs, bench, int(round(math.exp(bench.unknown))) - 1, rank, sample))
+def _block_leaks(docs: DataFrame, bench: Benchmark, rank: int) -> DataFrame:
+    numbered = _numbered(docs, bench.vocabulary)
+    documents, frequency = _frequencies(numbered, len(bench.vocabulary))
+    bench.weigh(documents, frequency)
+    bench.project(_basis(numbered, bench, rank))
+    bench.vocabulary = {}  # documents are numbers from here on
     sent = docs.sparkSession.sparkContext.broadcast(vars(bench))
 
     def task(batches):
         import pandas as pd
 
         bench = Benchmark.of(sent.value)
-        numbers = Numbers(bench.vocabulary)
         for batch in batches:
-            rows = []
-            for key, doc_id, text in zip(batch["key"], batch["doc_id"], batch["text"], strict=True):
-                best: dict[int, tuple] = {}
-                for item, *found in _leaks_of(numbers.of(text), bench):
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (found[1], found[0], found[2]))
-                rows += [(key, doc_id, item, cosine, share, held) for item, (share, cosine, held) in best.items()]
+            found, best = [np.frombuffer(raw, np.int32) for raw in batch["ids"]], {}
+            for group in _groups(found):
+                for place, item, cosine, share, answer in _leaks_of([found[n] for n in group], bench):
+                    pair = group[place], item
+                    best[pair] = max(best.get(pair, (0.0, 0.0, 0.0)), (share, cosine, answer))
+            keys, doc_ids = batch["key"], batch["doc_id"]
+            rows = [(keys.iat[n], doc_ids.iat[n], item, cosine, share, answer) for (n, item), (share, cosine, answer) in best.items()]
             yield pd.DataFrame(rows, columns=["key", "doc_id", "item_id", "cosine", "common", "answer"])
 
-    return docs.mapInPandas(task, "key string, doc_id long, item_id long, cosine double, common double, answer double")
+    return numbered.mapInPandas(task, "key string, doc_id long, item_id long, cosine double, common double, answer double")
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, sample: int = SAMPLE, items: int = ITEMS) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, items: int = ITEMS) -> DataFrame:
     """(key, doc_id, item_id, cosine, common, answer): every document with every benchmark item it holds."""
     docs = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
@@ -322,7 +404,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").collect()
         bench = Benchmark([tuple(r) for r in rows])
         if bench.passages:
-            found = _block_leaks(docs, bench, rank, sample)
+            found = _block_leaks(docs, bench, rank)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.filter("false").select("key", "doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answer")))

@@ -176,3 +176,72 @@ def test_candidates_in_groups_against_all_pairs(monkeypatch):
             for k, item in enumerate(model.passages):
                 held = min(model.idf[item[np.isin(item, passage)]].sum(), model.mass[passage].sum())
                 assert held < model.limit[k] + 1e-6 or (step, k) in got
+
+
+def plain_basis(passages, idf, unknown, rank):
+    """Power steps on the whole matrix of passages, from the start that the operator takes."""
+    rows = np.zeros((len(passages), len(idf)))
+    for row, ids in zip(rows, passages, strict=True):
+        for i in ids[ids >= 0]:
+            row[i] += idf[i]
+        row /= max(np.sqrt((row**2).sum() + (ids < 0).sum() * unknown**2), 1e-9)
+    q = np.linalg.qr(np.random.default_rng(17).standard_normal((len(idf), min(len(idf), rank + decontam.SPARE))))[0]
+    for _ in range(decontam.POWERS):
+        q = np.linalg.svd(rows.T @ (rows @ q), full_matrices=False)[0]
+    return q[:, :rank]
+
+
+def test_the_latent_space_is_that_of_all_documents(spark):
+    """More documents than any sample took, copies among them: cosines equal those of the whole matrix."""
+    docs, items, _ = invented(31)
+    rng = random.Random(4)
+    own = [w for _, t in items for w in t.split()]
+    more = [" ".join(rng.choices(own, k=rng.randint(3, 150))) for _ in range(2000)]
+    rows = docs + [(1000 + i, t) for i, t in enumerate([*more, *more[:20] * 60])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, rank=20).collect()
+    model = decontam.Benchmark(items)
+    numbers, seen = decontam.Numbers(model.vocabulary), np.zeros(len(model.vocabulary))
+    ids = {i: numbers.of(t) for i, t in rows}
+    for x in ids.values():
+        seen[np.unique(x[x >= 0])] += 1
+    model.weigh(len(rows), seen)
+    cut = [x[k : k + 64] for x in ids.values() for k in range(0, len(x), 64)]
+    model.project(plain_basis([*cut, *model.passages], model.idf, model.unknown, 20))
+    assert len({r.doc_id for r in found}) >= 50
+    for r in found:
+        x = ids[r.doc_id]
+        cosines = []
+        for k in [k for k, item in enumerate(model.item) if item == r.item_id]:
+            for step in range(-(-len(x) // 16)):
+                latent = model.rows[x[step * 16 : step * 16 + 64]].sum(axis=0)
+                cosines.append(float(latent @ model.latent[k] / max(np.linalg.norm(latent), 1e-9)))
+        assert min(abs(r.cosine - c) for c in cosines) < 1e-4
+
+
+def test_documents_together_as_one_at_a_time(monkeypatch):
+    """Put end to end, no passage reaches into the next document."""
+    docs, items, _ = invented(41)
+    model = decontam.Benchmark(items)
+    numbers, seen = decontam.Numbers(model.vocabulary), np.zeros(len(model.vocabulary))
+    # an item cut in two neighbouring documents is in neither
+    words = items[3][1].split()
+    texts = [t for _, t in docs[:80]] + ["", "?!", " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :]), "zz yy", items[5][1], items[5][1]]
+    ids = [numbers.of(t) for t in texts]
+    for x in ids:
+        seen[np.unique(x[x >= 0])] += 1
+    model.weigh(len(texts), seen)
+    model.project(np.linalg.qr(np.random.default_rng(3).standard_normal((len(model.idf), 60)))[0])
+    able = [n for n, x in enumerate(ids) if len(x) and x.max() >= 0]
+
+    def leaks(groups):
+        return sorted((g[place], item, round(cosine, 4), round(share, 6), answer) for g in groups for place, item, cosine, share, answer in decontam._leaks_of([ids[n] for n in g], model))
+
+    alone = leaks([n] for n in able)
+    assert len(alone) > 20
+    for held in (64, 1024, 16_384):
+        monkeypatch.setattr(decontam, "HELD", held)
+        groups = list(decontam._groups(ids))
+        assert [n for g in groups for n in g] == able and leaks(groups) == alone
+    monkeypatch.setattr(decontam, "PAIRS", 2)
+    assert leaks(decontam._groups(ids)) == alone
