@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from talkmill.llm.rows import narrow
 
 LONG = 200
-CACHED_PIECES, CACHED_WORDS = 600_000, 600_000
+CACHED_PIECES, CACHED_WORDS = 400_000, 400_000
 #: Texts of so many characters go through the database together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 MEMORY = "300MB"
 
 #: White space as the tokenizer's pattern sees it.

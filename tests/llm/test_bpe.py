@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -71,3 +72,20 @@ def test_given_texts(spark, library):
         assert bytes(r.decoded).decode() == texts[r.doc_id]
         raw = bytes(r.ids)
         assert [int.from_bytes(raw[k : k + 4], "little") for k in range(0, len(raw), 4)] == library.encode_ordinary(texts[r.doc_id])
+
+
+def test_memory_does_not_grow_with_the_texts_of_a_batch(ranks):
+    """Four times the texts, of words that are known already, hold little more at a time."""
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    words = [f"{a}{b}" for a in ("water", "stone", "light", "over") for b in range(200)]
+    text = " ".join(words[(i * i) % len(words)] for i in range(3000))
+    codec.decode(codec.encode([text]))
+    peaks = []
+    for many in (60, 240):
+        texts = [text] * many
+        tracemalloc.start()
+        for part in bpe.blocks(texts):
+            assert len(codec.decode(codec.encode(texts[part]))) == len(texts[part])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 4_000_000 and peaks[1] < 1.5 * peaks[0]
