@@ -2,9 +2,10 @@
 
 Each labeller votes junk, clean or abstains on a whole text. The counts of vote patterns over all texts
 (at most 3 ** labellers rows) go to the driver, where expectation-maximisation estimates how
-often each labeller is right when it votes, with no true label. Its posteriors label a sample, bounded by about
-SAMPLE texts picked by hash, on which a logistic scorer over hashed token features is trained by full gradients
-that tasks sum. Every text gets the scorer's score; texts under KEEP are rejected.
+often each labeller is right when it votes, with no true label. Its posteriors label all texts, copies of one
+once, and on all of them a logistic scorer over hashed token features is trained by full gradients that tasks sum.
+Texts are split into words once: votes and features are written, and what follows reads them from there. Every
+text gets the scorer's score; texts under KEEP are rejected.
 
 Null and empty texts have no tokens: every labeller abstains and the score is that of an empty text. Rows that
 repeat get equal results. An empty table has no rows to score.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from talkmill.llm.components import written
 from talkmill.llm.rows import narrow, row_key, text_or_empty
 
-SAMPLE = 8000
+#: Texts that a gradient counts as at most, so that steps and regularisation are alike for tables of any size.
+STRENGTH = 8000
 DIMENSIONS = 1 << 16
 ROUNDS = 20
 KEEP = 0.5
 CACHED = 300_000
 RUN = 100
 PIECE = 40
+#: Features that are looked up at a time, and shares that gradients are added up by.
+TOGETHER, SHARES = 1_000_000, 8
 JUNK, ABSTAIN, CLEAN = 0, 1, 2
 
 #: Classes of the first 256 code points: letter in lower case or caseless, upper case, digit, white space, other; the rest are letters.
@@ -261,8 +265,13 @@ class Hasher:
 
     def of_words(self, words: list[str], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Features of words and their numbers in the lexicon."""
+        ids, counts, size = self.counted(words, numbers)
+        return ids, np.sqrt(counts / size)
+
+    def counted(self, words: list[str], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Features in ascending order, how often each occurs, and the number of words."""
         if not words:
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0, np.int64), 1
         rows = self.lexicon.table[numbers, 5:]
         if (rows[:, 0] < 0).any():
             words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
@@ -270,101 +279,140 @@ class Hasher:
             rows = self.lexicon.table[numbers, 5:]
         same = int((numbers[1:] == numbers[:-1]).sum())
         ids, counts = np.unique(np.append(rows.ravel(), np.full(same, zlib.crc32(b"same") % DIMENSIONS)), return_counts=True)
-        return ids, np.sqrt(counts / len(words))
+        return ids, counts, len(words)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers, each as the bytes of value 255 that it holds and one byte for the rest."""
+    full, rest = np.divmod(numbers, 255)
+    out = np.full(int(full.sum()) + len(full), 255, np.uint8)
+    out[np.cumsum(full + 1) - 1] = rest
+    return out.tobytes()
+
 
+def _unpacked(cells) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells end to end, and how many each cell has."""
+    raw = np.frombuffer(b"".join(cells), np.uint8)
+    ends = np.flatnonzero(raw != 255)
+    reached = np.append(0, np.cumsum(raw, dtype=np.int64)[ends])
+    cells_end = np.searchsorted(ends, np.cumsum([len(cell) for cell in cells]))
+    return np.diff(reached), np.diff(cells_end, prepend=0)
+
+
+def _looked_at(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, same, pattern, words, ids, counts): votes and features of each text, written for all passes over them; equal texts have equal same.
+
+    Ids are ascending; steps from one to the next are written, which are small.
+    """
 
-def _pattern_counts(docs: DataFrame) -> dict[int, int]:
     def task(batches):
         import pandas as pd
 
-        lexicon = Lexicon(scored=False)
+        lexicon = Lexicon()
+        hasher = Hasher(lexicon)
         for batch in batches:
-            yield pd.DataFrame({"pattern": [pattern(Measures(t, lexicon)) for t in batch["text"]]})
+            rows = []
+            for text in batch["text"]:
+                m = Measures(text, lexicon)
+                ids, counts, size = hasher.counted(m.words, m.numbers)
+                rows.append((pattern(m), size, _packed(np.diff(ids, prepend=0)), _packed(counts)))
+            found = pd.DataFrame(rows, columns=["pattern", "words", "ids", "counts"])
+            yield pd.concat([batch[["key", "doc_id", "same"]].reset_index(drop=True), found], axis=1)
+
+    texts = docs.select("key", "doc_id", F.unhex(F.md5("text")).alias("same"), "text")
+    return written(texts.mapInPandas(task, "key string, doc_id long, same binary, pattern int, words long, ids binary, counts binary"), "quality-features")
+
+
+def _features_of(batches) -> Iterator[tuple]:
+    """(rows of a batch, ids, values, places of their texts) for about TOGETHER features at a time; rows without a number of words hold ids and values as they are."""
+    for batch in batches:
+        share = np.cumsum(batch["ids"].map(len).to_numpy(np.int64)) // TOGETHER
+        for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(share)) + 1):
+            part = batch.iloc[rows]
+            if "words" in batch:
+                steps, sizes = _unpacked(part["ids"].tolist())
+                text = np.repeat(np.arange(len(part)), sizes)
+                reached = np.append(0, np.cumsum(steps))
+                ids = reached[1:] - reached[np.cumsum(sizes) - sizes][text]
+                values = np.sqrt(_unpacked(part["counts"].tolist())[0] / part["words"].to_numpy()[text])
+            else:
+                ids, values = np.frombuffer(b"".join(part["ids"]), np.int64), np.frombuffer(b"".join(part["counts"]))
+                text = np.repeat(np.arange(len(part)), part["ids"].map(len).to_numpy(np.int64) // 8)
+            yield part, ids, values, text
+
+
+def _scores(weights: np.ndarray, bias: float, ids: np.ndarray, values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    z = np.bincount(text, weights[ids] * values, minlength=texts) + bias
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _train(labelled: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and intercept by adaptive gradient ascent on the expected log-likelihood of the posteriors.
+
+    A gradient meets by shares, so the driver gets DIMENSIONS numbers a round, however many tasks there are.
+    """
+    context = labelled.sparkSession.sparkContext
+    rows = labelled.coalesce(context.defaultParallelism)  # each task gives DIMENSIONS numbers
+    weights, squares, bias, bias_squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-3), 0.0, 1e-3
+    edges = np.linspace(0, DIMENSIONS + 2, SHARES + 1).astype(int).tolist()
 
-    counted = docs.select("text").mapInPandas(task, "pattern int").groupBy("pattern").count()
-    return {r.pattern: r["count"] for r in counted.collect()}
+    def added(parts):
+        import pandas as pd
 
-
-def _train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and intercept by adaptive gradient ascent on the expected log-likelihood of the posteriors."""
-    weights, squares, bias, bias_squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-3), 0.0, 1e-3
+        whole = sum(np.frombuffer(part) for part in parts["part"])
+        return pd.DataFrame({"share": parts["share"].iloc[:1], "part": [whole.tobytes()]})
 
     for _ in range(rounds):
-        now, at = weights, bias
+        sent = context.broadcast((weights, bias))
 
-        def task(batches, now=now, at=at):
+        def task(batches, sent=sent):
             import pandas as pd
 
-            total, slope = np.zeros(DIMENSIONS), 0.0
-            for batch in batches:
-                for raw_ids, raw_values, truth in zip(batch["ids"], batch["counts"], batch["posterior"], strict=True):
-                    ids, values = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw_values)
-                    gap = truth - 1 / (1 + math.exp(-max(-30.0, min(30.0, float(now[ids] @ values) + at))))
-                    total[ids] += gap * values
-                    slope += gap
-            yield pd.DataFrame({"gradient": [np.append(total, slope).tobytes()]})
-
-        rows = sample.mapInPandas(task, "gradient binary").collect()  # one vector for each task of a bounded sample
-        whole = sum((np.frombuffer(r.gradient) for r in rows), np.zeros(DIMENSIONS + 1))
+            now, at = sent.value
+            total = np.zeros(DIMENSIONS + 2)  # last the intercept's slope and the texts
+            for part, ids, values, text in _features_of(batches):
+                gap = part["posterior"].to_numpy() - _scores(now, at, ids, values, text, len(part))
+                total[:DIMENSIONS] += np.bincount(ids, gap[text] * values, minlength=DIMENSIONS)
+                total[DIMENSIONS:] += gap.sum(), len(part)
+            parts = [total[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            yield pd.DataFrame({"share": range(SHARES), "part": parts})
+
+        shares = rows.mapInPandas(task, "share int, part binary").groupBy("share").applyInPandas(added, "share int, part binary")
+        whole = np.concatenate([np.frombuffer(r.part) for r in sorted(shares.collect(), key=lambda r: r.share)])  # DIMENSIONS + 2 numbers
+        whole = whole[:-1] * min(1.0, STRENGTH / max(1.0, whole[-1]))
         gradient = whole[:-1] - 0.05 * weights
         squares += gradient**2
         bias_squares += whole[-1] ** 2
         weights = weights + gradient / np.sqrt(squares)
         bias += 0.5 * whole[-1] / math.sqrt(bias_squares)
+        sent.destroy()
     return weights, bias
 
 
-def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, votes: bool = True) -> DataFrame:
-    """(key, doc_id, pattern, posterior, score), one row per row of df; key is the row key.
-
-    Without votes, which the score does not need, pattern and posterior are null.
-    """
+def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, doc_id, pattern, posterior, score), one row per row of df; key is the row key."""
     docs = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    counts = _pattern_counts(docs)
-    total = sum(counts.values())
-    if not total:
+    looked = _looked_at(docs)
+    counts = {r.pattern: r["count"] for r in looked.groupBy("pattern").count().collect()}  # at most 3 ** labellers
+    if not counts:
         return docs.select("key", "doc_id", F.lit(0).alias("pattern"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"))
-    posterior = LabelModel(counts).posterior
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < math.ceil(1e6 * min(1, sample / total)))
-
-    def label(batches):
-        import pandas as pd
-
-        hasher = Hasher()
-        for batch in batches:
-            found = [hasher(t) for t in batch["text"]]
-            yield pd.DataFrame({"ids": [i.astype(np.int64).tobytes() for i, _ in found], "counts": [v.tobytes() for _, v in found], "posterior": [posterior[pattern(t)] for t in batch["text"]]})
-
-    # copies of one text count once: a hot group would be all of the sample
-    labelled = written(chosen.dropDuplicates(["text"]).mapInPandas(label, "ids binary, counts binary, posterior double").repartition(12), "quality-sample")
-    model = docs.sparkSession.sparkContext.broadcast((*_train(labelled), posterior))  # DIMENSIONS numbers, at most 3 ** labellers posteriors
+    spark = docs.sparkSession
+    posterior = F.broadcast(spark.createDataFrame(list(LabelModel(counts).posterior.items()), "pattern int, posterior double"))
+    # copies of one text count once: a hot group would be most of the training
+    labelled = written(looked.dropDuplicates(["same"]).join(posterior, "pattern").select("words", "ids", "counts", "posterior"), "quality-labelled")
+    model = spark.sparkContext.broadcast(_train(labelled))  # DIMENSIONS numbers
 
     def task(batches):
-        import pandas as pd
-
-        weights, bias, posterior = model.value
-        lexicon = Lexicon()
-        hasher = Hasher(lexicon)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                code = None
-                if votes:
-                    m = Measures(text, lexicon)
-                    code, (ids, values) = pattern(m), hasher.of_words(m.words, m.numbers)
-                else:
-                    ids, values = hasher(text)
-                z = float(weights[ids] @ values) + bias
-                rows.append((code, None if code is None else posterior[code], 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))))
-            scored = pd.DataFrame(rows, columns=["pattern", "posterior", "score"]).astype({"pattern": "Int32", "posterior": "Float64"})
-            yield pd.concat([batch[["key", "doc_id"]].reset_index(drop=True), scored], axis=1)
+        weights, bias = model.value
+        for part, ids, values, text in _features_of(batches):
+            yield part[["key", "doc_id", "pattern", "posterior"]].assign(score=_scores(weights, bias, ids, values, text, len(part)))
 
-    return docs.mapInPandas(task, "key string, doc_id long, pattern int, posterior double, score double")
+    return looked.join(posterior, "pattern").select("key", "doc_id", "pattern", "posterior", "words", "ids", "counts").mapInPandas(task, "key string, doc_id long, pattern int, posterior double, score double")
 
 
 def keep_clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows of df whose text's score is at least keep."""
-    rejected = score_quality(df, id_col, text_col, votes=False).filter(F.col("score") < keep).select("key").distinct()
+    rejected = score_quality(df, id_col, text_col).filter(F.col("score") < keep).select("key").distinct()
     rows = df.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("key")).join(rejected, "key", "left_anti")
     return rows.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 

@@ -147,3 +147,43 @@ def test_scorer_by_plain_gradient_steps(spark, monkeypatch):
     assert math.isclose(bias, at, rel_tol=1e-9)
     assert all(math.isclose(weights[i], w, rel_tol=1e-7, abs_tol=1e-12) for i, w in own.items())
     assert set(weights.nonzero()[0].tolist()) <= set(own)
+
+
+def test_all_texts_train_the_scorer(spark, monkeypatch):
+    """Every different text is in the training, however many there are; copies count once."""
+    trained = []
+    train = quality._train
+
+    def seen(labelled, *args, **options):
+        trained.append(labelled.count())
+        return train(labelled, *args, **options)
+
+    monkeypatch.setattr(quality, "_train", seen)
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('the quiet river runs past mill ', id) AS text")
+    out = quality.score_quality(docs.union(docs.limit(500)))
+    assert trained == [20_000] and out.count() == 20_500
+
+
+def test_steps_are_alike_at_any_size(spark):
+    """Texts given many times over lead to the same scorer, beyond the strength of a gradient."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(quality.STRENGTH // 4):
+        ids, values = quality.Hasher()(" ".join(rng.choices(["good", "plain", "!!", "buy"], k=4)))
+        rows.append((ids.astype("int64").tobytes(), values.tobytes(), rng.random()))
+    one = spark.createDataFrame(rows * 4, "ids binary, counts binary, posterior double")
+    weights, bias = quality._train(one, rounds=3)
+    more, more_bias = quality._train(one.union(one).union(one), rounds=3)
+    assert math.isclose(bias, more_bias, rel_tol=1e-6) and np.allclose(weights, more, rtol=1e-6)
+
+
+def test_written_features_are_those_of_the_texts(spark):
+    texts = ["", "a quiet river", "x " * 70_000 + "end", "y" * 5000, "Ünïcode wörds, 12 of them!"] * 2
+    docs = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "key string, doc_id long, text string")
+    read = quality._looked_at(docs).toPandas().sort_values("doc_id")
+    (part, ids, values, text), = quality._features_of([read])
+    hasher = quality.Hasher()
+    for k, given in enumerate(texts):
+        own, counts = hasher(given)
+        assert np.array_equal(ids[text == k], own) and np.array_equal(values[text == k], counts)
