@@ -3,8 +3,8 @@
 Every task holds a DuckDB database in memory with the merge table: (left id, right id) to the merged id,
 whose number is its rank. The words that a batch adds are rows of (word, position, id); a recursive query
 joins neighbouring positions with the merge table, contracts each word's leftmost pair of least rank,
-and ends when no word has a pair left. An ordered aggregation over token rows joined with the vocabulary
-decodes each text's ids.
+and ends when no word has a pair left. The vocabulary is one list by id, of which each text's ids select
+the letters that decode them.
 
 A text is cut into words by the tokenizer's pattern. It is cut at blanks first, which are always word
 borders when a non-space character follows, so the words of each piece are looked up once. Both caches
@@ -21,6 +21,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,8 +82,7 @@ GROUP BY 1
 """
 
 DECODE = """
-SELECT doc, string_agg(letters, '' ORDER BY spot) AS letters
-FROM text_ids JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, array_to_string(list_select((SELECT letters FROM vocabulary), spots), '') AS letters FROM text_ids
 """
 
 
@@ -128,7 +128,9 @@ class Codec:
             if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
         ]
         self.table("merges", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int32())}))
-        self.table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "letters": letters_of(list(ranks))}))
+        by_id = sorted(ranks.items(), key=lambda item: item[1])
+        self.ids = np.array([rank for _, rank in by_id], np.int32)
+        self.table("vocabulary", pa.table({"letters": [letters_of([token for token, _ in by_id])]}))
 
     def table(self, name: str, rows) -> None:
         self.db.register("given", rows)
@@ -169,20 +171,27 @@ class Codec:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + piece for piece in rest]
 
-    def split(self, pieces: list[str]) -> dict[str, list[str]]:
-        """The pattern's words of each piece; those with a blank in front and no other white space at their ends are cut in one go."""
+    def split(self, pieces: list[str]) -> tuple[list[str], list[str], list[int]]:
+        """The pieces in another order, the pattern's words of all of them end to end, and where each piece's words begin and end.
+
+        Those with a blank in front and no other white space at their ends are cut in one go.
+        """
         import numpy as np
 
-        out: dict[str, list[str]] = {}
         plain = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        words, edges = [], [0]
         for start in range(0, len(plain), 5000):
             some = plain[start : start + 5000]
-            words = self.pattern.findall("".join(some))
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-            edges = (np.searchsorted(ends, np.cumsum([len(p) for p in some])) + 1).tolist()
-            out.update((piece, words[a:b]) for piece, a, b in zip(some, [0, *edges], edges, strict=False))
-        out.update((piece, self.pattern.findall(piece)) for piece in pieces if piece not in out)
-        return out
+            found = self.pattern.findall("".join(some))
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            edges += (np.searchsorted(ends, np.cumsum([len(p) for p in some])) + 1 + len(words)).tolist()
+            words += found
+        easy = set(plain)
+        others = [p for p in pieces if p not in easy]
+        for piece in others:
+            words += self.pattern.findall(piece)
+            edges.append(len(words))
+        return plain + others, words, edges
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut_pieces(text) for text in texts]
@@ -191,27 +200,26 @@ class Codec:
         if len(self.words) > CACHED_WORDS:
             self.words = {}
         known = self.pieces
-        new = dict.fromkeys(piece for pieces in cut for piece in pieces if piece not in known)
-        split = self.split(list(new))
-        fresh = list(dict.fromkeys(word for words in split.values() for word in words if word not in self.words))
+        pieces, words, edges = self.split(list(dict.fromkeys(filterfalse(known.__contains__, chain.from_iterable(cut)))))
+        fresh = list(dict.fromkeys(filterfalse(self.words.__contains__, words)))
         for start in range(0, len(fresh), 200_000):
             block = fresh[start : start + 200_000]
             self.words.update(zip(block, self.merge(block), strict=True))
-        for piece, words in split.items():
-            known[piece] = b"".join([self.words[word] for word in words])
-        return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
+        ids = list(map(self.words.__getitem__, words))
+        # a piece of one word shares that word's ids
+        known.update((piece, ids[a] if z - a == 1 else b"".join(ids[a:z])) for piece, a, z in zip(pieces, edges, edges[1:], strict=False))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         import numpy as np
         import pyarrow as pa
 
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        if not sizes.sum():
-            return [b""] * len(ids)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        at = np.arange(sizes.sum(), dtype=np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        self.db.register("text_ids", pa.table({"doc": doc, "spot": at, "id": flat}))
+        if not len(flat):
+            return [b""] * len(ids)
+        spots = np.searchsorted(self.ids, flat).astype(np.int32) + 1
+        edges = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
+        self.db.register("text_ids", pa.table({"doc": np.arange(len(ids), dtype=np.int32), "spots": pa.ListArray.from_arrays(edges, spots)}))
         out = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("text_ids")
         found = dict(zip(out.column("doc").to_pylist(), out.column("letters").to_pylist(), strict=True))

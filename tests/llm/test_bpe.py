@@ -89,3 +89,16 @@ def test_memory_does_not_grow_with_the_texts_of_a_batch(ranks):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert sum(map(len, texts)) > 4_000_000 and peaks[1] < 1.5 * peaks[0]
+
+
+def test_words_of_pieces_end_to_end(ranks):
+    """Words of all pieces are one list with borders, no list for each piece; ids with gaps select their own letters."""
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    given = [" one", " two,", "\n x", " three-four", "a "]
+    pieces, words, edges = codec.split(given)
+    assert sorted(pieces) == sorted(given) and len(edges) == len(pieces) + 1
+    assert all("".join(words[a:z]) == piece for piece, a, z in zip(pieces, edges, edges[1:], strict=False))
+    gaps = bpe.Codec({bytes([b]): 3 * b + 7 for b in range(256)}, public_tokenizers.PATTERN)
+    ids = gaps.encode(["a b", "", "ü"])
+    assert ids[0] == b"".join((3 * b + 7).to_bytes(4, "little") for b in b"a b")
+    assert gaps.decode(ids) == [b"a b", b"", "ü".encode()]
