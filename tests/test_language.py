@@ -1,7 +1,9 @@
+import random
 import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from talkmill.functions import language as L
 
@@ -52,3 +54,21 @@ def test_memory_does_not_grow_with_the_rows_of_a_batch():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 60e6
+
+
+def test_ranks_as_plain_strings(spark):
+    """The language is that of sequences counted one by one as strings, also beyond the basic plane and for texts of one letter."""
+    rng = random.Random(8)
+    texts = ["", " ", "a", "Aa aA", "١٢", "𐐷𐐨 𐐷", "日本 語", *(" ".join("".join(rng.choices("aeinrstüж𐐨", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 80))) for _ in range(200))]
+    given = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    trained = given.withColumn("lang", F.expr("concat('l', n % 3)"))
+    profiles = L.model(L.profile(trained))
+    rows = given.select("text", L.letters(F.substring("text", 1, 1000)).alias("letters"), L.identify("text", profiles).alias("got")).collect()
+    for r in rows:
+        s = r.letters
+        counts = Counter(s) + Counter(s[i : i + 2] for i in range(len(s) - 1)) + Counter(s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " ")
+        del counts[" "]
+        own = sorted(counts, key=lambda g: (-counts[g], g))[: L.PROFILE_SIZE] if s.strip() else []
+        far = {code: sum(abs(grams.index(g) - k) if g in grams else L.PROFILE_SIZE for k, g in enumerate(own)) for code, grams in profiles.items()}
+        met = any(g in grams for grams in profiles.values() for g in own)
+        assert r.got == (min(sorted(far), key=far.__getitem__) if met else L.UNKNOWN), r.text
