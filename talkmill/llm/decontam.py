@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,7 +42,10 @@ COMPARED, PAIRS = 64, 20_000
 ITEMS = 20_000
 #: Pairs of a leading word and a benchmark passage that are held at a time.
 TOGETHER = 200_000
-CACHED = 300_000
+#: Pairs whose common subsequences are found together, and words whose latent vectors are summed together, whole steps.
+WEIGHED, SUMMED = 256, 2048
+#: Characters that are split into words together; a longer text stands alone.
+SPLIT = 1 << 20
 STRIPPED = ".,;:!?\"'()[]{}<>*#$%&|-_=+/\\`~"
 
 
@@ -49,23 +53,42 @@ def words_of(text: str) -> list[str]:
     return [w for w in (t.strip(STRIPPED) for t in text.lower().split()) if w]
 
 
-class Numbers(dict):
-    """Tokens to vocabulary numbers, -1 for other words, -2 for tokens without a word."""
+class Numbers:
+    """Words of texts by their vocabulary numbers, -1 for other words; tokens are split and looked up by Arrow."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+        import pyarrow as pa
 
-    def __missing__(self, token: str) -> int:
-        word = token.strip(STRIPPED)
-        if len(self) > CACHED:
-            self.clear()
-        self[token] = number = self.vocabulary.get(word, -1) if word else -2
-        return number
+        self.words = pa.array(list(vocabulary), pa.large_string())
+        self.numbers = np.append(np.fromiter(vocabulary.values(), np.int32, len(vocabulary)), np.int32(-1))  # last: other words
 
     def of(self, text: str) -> np.ndarray:
-        tokens = text.lower().split()
-        found = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
-        return found[found > -2]
+        return self._of_some([text])[0]
+
+    def of_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > SPLIT:
+                yield from self._of_some(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        if some:
+            yield from self._of_some(some)
+
+    def _of_some(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # Arrow splits at the same characters as Python, but lowers a few letters otherwise; it reads one character beyond
+        # blanks, so a token without a word stands behind the last ones
+        tokens = pc.utf8_split_whitespace(pa.array([text.lower() + " ." for text in texts], pa.large_string()))
+        words = pc.utf8_trim(tokens.values, STRIPPED)
+        found = self.numbers[pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()]
+        held = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # the others are tokens without a word
+        edges = np.append(0, np.cumsum(held))[tokens.offsets.to_numpy()].tolist()
+        found = found[held]
+        return [found[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class Benchmark:
@@ -132,7 +155,7 @@ def _numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
         numbers = Numbers(sent.value)
         for batch in batches:
-            ids = pa.array([numbers.of(text).tobytes() for text in batch.column("text").to_pylist()], pa.binary())
+            ids = pa.array([ids.tobytes() for ids in numbers.of_all(batch.column("text").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), ids], ["key", "doc_id", "ids"])
 
     return written(docs.select("key", "doc_id", "text").mapInArrow(task, "key string, doc_id long, ids binary"), "numbered")
@@ -179,25 +202,42 @@ def _groups(found: list[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
-def _add_products(total: np.ndarray, found: list[np.ndarray], idf: np.ndarray, unknown: float, q: np.ndarray) -> None:
-    """Adds A'AQ to total, where a row of A is a passage: its words' weights in a vector of length 1 over all words."""
+def _rows(found: list[np.ndarray], idf: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, word and value of all entries of A, by rows, and the number of rows: of each passage the words' weights in a vector of length 1 over all words."""
     sizes = np.array([len(x) for x in found])
-    ids, parts = np.concatenate(found), -(-sizes // PASSAGE)
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    passage = np.repeat(np.cumsum(parts) - parts, sizes) + at // PASSAGE
-    known, rows = ids >= 0, int(parts.sum())
-    keys, counts = np.unique(passage[known] * len(idf) + ids[known], return_counts=True)
-    row, word = np.divmod(keys, len(idf))
-    values = counts * idf[word]
-    others = np.bincount(passage[~known], minlength=rows) * unknown**2
+    parts = -(-sizes // PASSAGE)
+    rows, other, none = int(parts.sum()), len(idf), len(idf) + 1
+    # a line for each passage, filled up with none; sorted, a word's occurrences stand together
+    grid, ids = np.full(rows * PASSAGE, none, np.int32), np.concatenate(found)
+    grid[_spread((np.cumsum(parts) - parts) * PASSAGE, sizes)] = np.where(ids < 0, other, ids)
+    grid = grid.reshape(rows, PASSAGE)
+    grid.sort(axis=1)
+    others = (grid == other).sum(axis=1) * unknown**2
+    flat = grid.ravel()
+    first = np.append(True, flat[1:] != flat[:-1])
+    first[::PASSAGE] = True
+    at = np.flatnonzero(first)
+    counts = np.diff(at, append=len(flat))
+    known = flat[at] < other
+    row, word = at[known] // PASSAGE, flat[at[known]]
+    values = counts[known] * idf[word]
     values /= np.sqrt(np.bincount(row, values**2, minlength=rows) + others)[row]
-    for first in range(0, rows, ROWS):
-        a, z = np.searchsorted(row, (first, first + ROWS))
+    return row, word, values, rows
+
+
+def _add_products(total: np.ndarray, found: list[np.ndarray], idf: np.ndarray, unknown: float, q: np.ndarray) -> None:
+    """Adds A'AQ to total."""
+    row, word, values, rows = _rows(found, idf, unknown)
+    edges = np.searchsorted(row, range(0, rows + ROWS, ROWS)).tolist()
+    seen, place = np.zeros(len(idf), np.bool_), np.zeros(len(idf), np.intp)
+    for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a < z:
-            words, column = np.unique(word[a:z], return_inverse=True)
+            seen[word[a:z]] = True
+            words = np.flatnonzero(seen)
+            seen[words], place[words] = False, np.arange(len(words))
             block = np.zeros((ROWS, len(words)), np.float32)
-            block[row[a:z] - first, column] = values[a:z]
-            total[words] += block.T @ (block @ q[words])
+            block[row[a:z] - k * ROWS, place[word[a:z]]] = values[a:z]
+            total[words] += block.T @ (block @ q.take(words, axis=0))
 
 
 def _basis(numbered: DataFrame, bench: Benchmark, rank: int) -> np.ndarray:
@@ -238,13 +278,18 @@ def _basis(numbered: DataFrame, bench: Benchmark, rank: int) -> np.ndarray:
     return q[:, :rank]
 
 
+def common_weights(items: np.ndarray, passages: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Of each pair of rows the idf weight of the heaviest common subsequence of words; items are filled up with -2, passages with -1."""
+    best = np.zeros((len(passages), passages.shape[1] + 1))
+    for word in items.T:
+        reached = best[:, :-1] + np.where(passages == word[:, None], idf[word][:, None], -1.0)
+        np.maximum.accumulate(np.maximum(best[:, 1:], reached), axis=1, out=best[:, 1:])
+    return best[:, -1]
+
+
 def common_weight(item: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> float:
-    """The idf weight of the heaviest common subsequence of words."""
-    best = np.zeros(len(passage) + 1)
-    for word in item:
-        reached = best[:-1] + np.where(passage == word, idf[word], -1.0)
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], reached))
-    return float(best[-1])
+    """The same of one pair."""
+    return float(common_weights(item[None], passage[None], idf)[0])
 
 
 def _passage_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -286,7 +331,7 @@ def _candidates(ids: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, np.nda
 
 def _near(ids: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, np.ndarray]]:
     """(step, benchmark passages) of the document passages that are near in the latent space and weigh enough."""
-    across, least = PASSAGE // STRIDE, bench.weight * NEAR
+    across, least, each = PASSAGE // STRIDE, bench.weight * NEAR, np.ones((1, STRIDE), np.float32)
     for start in range(0, len(ids), HELD):
         # Passages that begin in this part; the last ones reach into the next.
         part = ids[start : start + HELD + PASSAGE - STRIDE]
@@ -296,17 +341,20 @@ def _near(ids: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, np.ndarray]]
         able = np.flatnonzero(mass[: HELD // STRIDE] >= least[0])
         if not len(able):
             continue
-        steps = bench.rows[part].reshape(-1, STRIDE, bench.rows.shape[1]).sum(axis=1)
-        steps = np.vstack([steps, np.zeros((across, steps.shape[1]), np.float32)])
+        steps = [each @ bench.rows.take(part[k : k + SUMMED], axis=0).reshape(-1, STRIDE, bench.rows.shape[1]) for k in range(0, len(part), SUMMED)]
+        steps = np.vstack([np.concatenate(steps)[:, 0], np.zeros((across, bench.rows.shape[1]), np.float32)])
         latent = sum(steps[able + k] for k in range(across))
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         cosine = latent @ bench.latent.T
-        cosine /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        at, near = np.nonzero(cosine >= COSINE)
+        some = np.flatnonzero(cosine.max(axis=1) >= COSINE)
+        at, near = np.nonzero(cosine[some] >= COSINE)
+        at = some[at]
         heavy = mass[able[at]] >= least[near]
         at, near = at[heavy], near[heavy]
         edges = np.flatnonzero(np.diff(at, prepend=-1))
-        for a, z in zip(edges, [*edges[1:], len(at)], strict=False):
-            yield int(able[at[a]]) + start // STRIDE, near[a:z]
+        ends = [*edges[1:].tolist(), len(at)]
+        for step, a, z in zip((able[at[edges]] + start // STRIDE).tolist(), edges.tolist(), ends, strict=False):
+            yield step, near[a:z]
 
 
 def _leaks_of(found: list[np.ndarray], bench: Benchmark) -> Iterator[tuple]:
@@ -323,7 +371,7 @@ def _leaks_of(found: list[np.ndarray], bench: Benchmark) -> Iterator[tuple]:
     owner = owner.tolist()
 
     def own(candidates):
-        return ((step, near) for step, near in candidates if owner[step] >= 0)
+        return (one for one in candidates if owner[one[0]] >= 0)
 
     for step, *leak in _compared(ids, bench, own(_near(ids, bench)), NEAR):
         yield owner[step], *leak
@@ -334,9 +382,9 @@ def _leaks_of(found: list[np.ndarray], bench: Benchmark) -> Iterator[tuple]:
 def _some(candidates: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Candidates of about COMPARED document passages and PAIRS pairs."""
     some, pairs = [], 0
-    for step, near in candidates:
-        some.append((step, near))
-        pairs += len(near)
+    for one in candidates:
+        some.append(one)
+        pairs += len(one[1])
         if len(some) >= COMPARED or pairs >= PAIRS:
             yield some
             some, pairs = [], 0
@@ -344,29 +392,42 @@ def _some(candidates: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[tuple[i
         yield some
 
 
-def _compared(ids: np.ndarray, bench: Benchmark, candidates: Iterator[tuple[int, np.ndarray]], least: float) -> Iterator[tuple]:
-    """(step, item, cosine, share, answer) of the leaks among candidates, of which least of the weight must be found in order where the answer stands as well."""
+def _able(ids: np.ndarray, bench: Benchmark, candidates: Iterator[tuple[int, np.ndarray]], least: float) -> Iterator[tuple[int, int, float]]:
+    """(step, benchmark passage, answer) of the candidates that have enough words in common."""
     present = np.zeros((COMPARED, len(bench.idf) + 1), np.bool_)  # the last column is that of other words
     line = np.arange(COMPARED)[:, None]
     for some in _some(candidates):
-        begin = np.array([step for step, _ in some]) * STRIDE
-        near, row = np.concatenate([n for _, n in some]), np.repeat(np.arange(len(some)), [len(n) for _, n in some])
-        passages = ids[begin[:, None] + np.arange(PASSAGE)]
+        steps, near = np.array([step for step, _ in some]), np.concatenate([n for _, n in some])
+        row = np.repeat(np.arange(len(some)), [len(n) for _, n in some])
+        passages = ids[(steps * STRIDE)[:, None] + np.arange(PASSAGE)]
         sizes = bench.size[near]
         words = bench.flat[_spread(bench.begin[near], sizes)]
         present[line[: len(some)], passages] = True
-        held = present[np.repeat(row, sizes), words]
+        held = present.ravel().take(np.repeat(row * present.shape[1], sizes) + words)
         present[line[: len(some)], passages] = False
         edges = np.cumsum(sizes) - sizes
         common = np.add.reduceat(bench.mass[words] * held, edges)
         # no common subsequence can weigh more than the words in common
-        for at in np.flatnonzero(common >= least * bench.weight[near] - 1e-9):
-            k, size, passage = near[at], sizes[at], passages[row[at]]
-            share = common_weight(bench.passages[k], passage, bench.idf) / bench.weight[k]
+        for at in np.flatnonzero(common >= least * bench.weight[near] - 1e-9).tolist():
+            size = sizes[at]
             answer = float(held[edges[at] : edges[at] + size][-max(1, size // 4) :].mean())
-            if share >= SURE or share >= least and answer >= ANSWER:
-                latent = bench.rows[passage].sum(axis=0)
-                yield some[row[at]][0], bench.item[k], float(latent @ bench.latent[k] / max(np.linalg.norm(latent), 1e-9)), share, answer
+            if common[at] >= SURE * bench.weight[near[at]] - 1e-9 or answer >= ANSWER:
+                yield steps[row[at]], near[at], answer
+
+
+def _compared(ids: np.ndarray, bench: Benchmark, candidates: Iterator[tuple[int, np.ndarray]], least: float) -> Iterator[tuple]:
+    """(step, item, cosine, share, answer) of the leaks among candidates, of which least of the weight must be found in order where the answer stands as well."""
+    able = _able(ids, bench, candidates, least)
+    while some := list(islice(able, WEIGHED)):
+        steps, near, answer = (np.array(x) for x in zip(*some, strict=True))
+        passages = ids[(steps * STRIDE)[:, None] + np.arange(PASSAGE)]
+        sizes = bench.size[near]
+        items = np.full((len(near), sizes.max()), -2, np.int32)
+        items[np.repeat(np.arange(len(near)), sizes), _spread(np.zeros_like(sizes), sizes)] = bench.flat[_spread(bench.begin[near], sizes)]
+        share = common_weights(items, passages, bench.idf) / bench.weight[near]
+        for at in np.flatnonzero((share >= SURE) | (share >= least) & (answer >= ANSWER)):
+            k, latent = near[at], bench.rows[passages[at]].sum(axis=0)
+            yield int(steps[at]), bench.item[k], float(latent @ bench.latent[k] / max(np.linalg.norm(latent), 1e-9)), float(share[at]), float(answer[at])
 
 
 def _block_leaks(docs: DataFrame, bench: Benchmark, rank: int) -> DataFrame:

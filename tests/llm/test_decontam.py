@@ -245,3 +245,54 @@ def test_documents_together_as_one_at_a_time(monkeypatch):
         assert [n for g in groups for n in g] == able and leaks(groups) == alone
     monkeypatch.setattr(decontam, "PAIRS", 2)
     assert leaks(decontam._groups(ids)) == alone
+
+
+def test_numbers_of_odd_texts(monkeypatch):
+    """Split, lowered and stripped by Arrow as by Python, at every character that may part words, whatever is split together."""
+    blanks = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() or c in (0x180E, 0x200B, 0x2060, 0xFEFF))
+    rng = random.Random(4)
+    vocabulary = {w: n for n, w in enumerate(["the", "of", "don't", "é", "i̇x", "ς", "σ", "ß", "a​b", "x-y", "\U0001f600"])}
+    pieces = [*vocabulary, *(w.upper() for w in vocabulary), "İX", "ΟΔΟΣ", "…", *decontam.STRIPPED, "(the)", "--", "'don't'", *blanks]
+    texts = ["", "   ", "?!", "\x1f the\u0085of\x1c", *("".join(rng.choices(pieces, k=rng.randint(0, 60))) for _ in range(300))]
+    texts += [rng.choice(blanks).join(rng.choices(pieces, k=rng.randint(0, 90))) for _ in range(300)]
+    want = [[vocabulary.get(w, -1) for w in decontam.words_of(t)] for t in texts]
+    numbers = decontam.Numbers(vocabulary)
+    for split in (1, 200, 1 << 20):
+        monkeypatch.setattr(decontam, "SPLIT", split)
+        assert [x.tolist() for x in numbers.of_all(texts)] == want
+    assert sum(k >= 0 for x in want for k in x) > 1000
+    for _ in range(30):  # blanks at the end of what is split together, whatever stands behind in memory
+        assert [numbers.of(t).tolist() for t in texts] == want
+
+
+def test_rows_by_plain_counts():
+    rng = np.random.default_rng(6)
+    idf = rng.random(9) + 0.1
+    found = [rng.integers(-1, 9, n).astype(np.int32) for n in (1, 64, 65, 200, 7)] + [np.full(70, -1, np.int32)]
+    row, word, values, rows = decontam._rows(found, idf, 2.0)
+    got = np.zeros((rows, 9))
+    got[row, word] = values
+    passages = [x[k : k + 64] for x in found for k in range(0, len(x), 64)]
+    assert rows == len(passages)
+    for line, ids in zip(got, passages, strict=True):
+        plain = np.bincount(ids[ids >= 0], minlength=9) * idf
+        assert np.allclose(line, plain / max(np.sqrt((plain**2).sum() + (ids < 0).sum() * 4.0), 1e-9))
+
+
+def test_pairs_are_compared_together(monkeypatch):
+    """Equal to one pair at a time, by a few calls for many copies."""
+    docs, items, _ = invented(51)
+    model = decontam.Benchmark(items)
+    numbers, seen = decontam.Numbers(model.vocabulary), np.zeros(len(model.vocabulary))
+    ids = [numbers.of(f"{text} {items[k % 40][1]}") for k, (_, text) in enumerate(docs)]
+    for x in ids:
+        seen[np.unique(x[x >= 0])] += 1
+    model.weigh(len(ids), seen)
+    model.project(np.linalg.qr(np.random.default_rng(3).standard_normal((len(model.idf), 60)))[0])
+    calls, plain = [], decontam.common_weights
+    monkeypatch.setattr(decontam, "common_weights", lambda *x: calls.append(len(x[0])) or plain(*x))
+    groups = list(decontam._groups(ids))
+    leaks = [leak for g in groups for leak in decontam._leaks_of([ids[n] for n in g], model)]
+    assert len(leaks) > 400 and sum(calls) >= len(leaks) and len(calls) <= sum(calls) / decontam.WEIGHED + 2 * len(groups)
+    monkeypatch.setattr(decontam, "WEIGHED", 1)
+    assert [leak for g in groups for leak in decontam._leaks_of([ids[n] for n in g], model)] == leaks
