@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from talkmill.llm import suffix_dedup
@@ -73,6 +74,35 @@ def test_repeated_rows_and_empty_table(spark):
     assert {(r.doc_id, bytes(r.kept)) for r in kept.collect()} == {(1, b"q"), (2, b"")}
 
 
+@pytest.mark.parametrize("most", [2048, 1])
+def test_shared_anchors_without_repeated_strings(spark, most):
+    """Texts that share 330 bytes have an anchor in common and nothing to remove: a task may find no ranges at all."""
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = prose(330)
+    rows = [(1, prose(200) + shared + prose(200)), (2, prose(300) + shared + prose(100))]
+    assert run(spark, rows, most=most) == brute(rows)
+    assert {r[2] for r in brute(rows)} == {0}
+
+
+def test_last_ranges_of_a_task_fill_a_frame():
+    """A task whose last group fills a frame has none left; every frame has rows, as empty lists have no type."""
+    text = bytes(random.Random(8).choices(b"abcdefgh", k=700))
+
+    class Groups:
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):  # noqa: N802
+            return self
+
+        def mapInPandas(self, task, schema):  # noqa: N802
+            batch = pd.DataFrame({"core": range(5001), "name": [str(k).encode() for k in range(5001)], "context": [text] * 5001, "anchor": 300, "copies": 2})
+            return list(task([batch]))
+
+    assert [len(frame) for frame in suffix_dedup._judge(Groups(), 400)] == [5001]
+
+
 def test_chunks_of_long_texts(monkeypatch):
     data = np.frombuffer("".join(random.Random(4).choices("abcd", k=9000)).encode(), np.uint8)
     whole = suffix_dedup.anchors(data)
