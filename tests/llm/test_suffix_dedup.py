@@ -103,6 +103,27 @@ def test_last_ranges_of_a_task_fill_a_frame():
     assert [len(frame) for frame in suffix_dedup._judge(Groups(), 400)] == [5001]
 
 
+def test_a_repeated_word_has_few_rows():
+    """Equal contexts close together in a text are one row, and every start is still in one of them."""
+    for text in (b"The " * 5000, b"x" * 3000, b"The " * 900 + bytes(random.Random(9).choices(b"abcdef", k=900)) + b"The " * 900):
+        gram, place, first, last = (x.tolist() for x in suffix_dedup.anchors(np.frombuffer(text, np.uint8)))
+        rows = suffix_dedup.named_anchors(text)
+        assert sum(rows["times"]) == len(gram) > 5 * len(rows["gram"])
+        covered = np.zeros(len(text), bool)
+        for a, far, width in zip(rows["first"], rows["far"], rows["width"], strict=True):
+            covered[a : far + width + 400] = True
+        assert covered.all()
+
+
+def test_repeated_words_against_all_strings(spark):
+    rng = random.Random(10)
+    prose = lambda n: "".join(rng.choices("abcdefgh éñ", k=n))
+    texts = [prose(rng.randint(0, 300)) + word * rng.randint(90, 700) + prose(rng.randint(0, 600)) + word * rng.randint(1, 300) for word in ("The ", "La ", "é", "abcdefghijk ") for _ in range(4)]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (99, texts[1])]
+    for most in (2048, 3):
+        assert run(spark, rows, most=most) == brute(rows)
+
+
 def test_chunks_of_long_texts(monkeypatch):
     data = np.frombuffer("".join(random.Random(4).choices("abcd", k=9000)).encode(), np.uint8)
     whole = suffix_dedup.anchors(data)
